@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from guardwalk.llm import quality, secrets, sharding
+from guardwalk.llm import bpe, licenses, quality, secrets, sharding, unigram
 
 QUERIES = {
+    "op1_license_scans": licenses.query,
+    "op4_token_counts": unigram.query,
     "op6_sharding": sharding.query,
+    "op7_byte_bpe": bpe.query,
     "op8_secret_scans": secrets.query,
     "op10_quality_rules": quality.query,
 }
