@@ -38,3 +38,31 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, make: Callable[[
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def map_groups(df: DataFrame, columns: list[Column], schema: str, make: Callable[[], Callable[[list[tuple]], list[tuple]]], weigh: int, limit: int = 1 << 20) -> DataFrame:
+    """Like map_rows, but the function gets runs of rows whose column `weigh` adds up to about `limit` bytes, and may return any rows."""
+    names = [f"c{i}" for i in range(len(columns))]
+    inner = df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in df.sparkSession.createDataFrame([], schema).schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        held: list[tuple] = []
+        size = 0
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                for row in zip(*[part.column(i).to_pylist() for i in range(part.num_columns)], strict=True):
+                    held.append(row)
+                    size += len(row[weigh] or b"") + 192
+                    if size >= limit:
+                        if made := f(held):
+                            yield _batch(made, out)
+                        held, size = [], 0
+        if held and (made := f(held)):
+            yield _batch(made, out)
+
+    return inner.mapInArrow(run, schema)

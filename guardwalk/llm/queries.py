@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from guardwalk.llm import bpe, licenses, quality, secrets, sharding, unigram
+from guardwalk.llm import bpe, licenses, quality, secrets, sharding, unigram, warc
 
 QUERIES = {
     "op1_license_scans": licenses.query,
+    "op3_warc_salvage": warc.query,
     "op4_token_counts": unigram.query,
     "op6_sharding": sharding.query,
     "op7_byte_bpe": bpe.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_quality_rules": quality.query,
 }
 ORACLES = {
+    "op3_warc_salvage": warc.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op8_secret_scans": secrets.ORACLE,
     "op10_quality_rules": quality.ORACLE,
