@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from guardwalk.llm import bpe, licenses, quality, secrets, sharding, unigram, warc
+from guardwalk.llm import bpe, flac, licenses, quality, secrets, sharding, unigram, warc
 
 QUERIES = {
     "op1_license_scans": licenses.query,
+    "op2_media_flac": flac.query,
     "op3_warc_salvage": warc.query,
     "op4_token_counts": unigram.query,
     "op6_sharding": sharding.query,
