@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guardwalk.llm import bpe, flac, licenses, quality, secrets, sharding, unigram, warc
+from guardwalk.llm import bpe, flac, licenses, mixing, quality, secrets, sharding, unigram, warc
 
 QUERIES = {
     "op1_license_scans": licenses.query,
@@ -12,11 +12,13 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op7_byte_bpe": bpe.query,
     "op8_secret_scans": secrets.query,
+    "op9_mixing": mixing.query,
     "op10_quality_rules": quality.query,
 }
 ORACLES = {
     "op3_warc_salvage": warc.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op8_secret_scans": secrets.ORACLE,
+    "op9_mixing": mixing.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
