@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from guardwalk.llm import bpe, flac, licenses, mixing, quality, secrets, sharding, unigram, warc
+from guardwalk.llm import bpe, flac, licenses, mixing, neardup, quality, secrets, sharding, unigram, warc
 
 QUERIES = {
     "op1_license_scans": licenses.query,
     "op2_media_flac": flac.query,
     "op3_warc_salvage": warc.query,
     "op4_token_counts": unigram.query,
+    "op5_minhash_near_dedup": neardup.query,
     "op6_sharding": sharding.query,
     "op7_byte_bpe": bpe.query,
     "op8_secret_scans": secrets.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_warc_salvage": warc.ORACLE,
+    "op5_minhash_near_dedup": neardup.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op8_secret_scans": secrets.ORACLE,
     "op9_mixing": mixing.ORACLE,
