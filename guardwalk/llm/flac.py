@@ -251,6 +251,13 @@ def _words(buf: np.ndarray) -> np.ndarray:
 
 def decode_frames(buf: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Samples [n, 192] of the frames at `starts` and where they end; both CRCs are verified."""
+    try:
+        return _decode_frames(buf, starts, numbers)
+    except IndexError as e:
+        raise BadStream("a frame runs past the end") from e
+
+
+def _decode_frames(buf: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(starts)
     words = _words(buf)
     take = lambda i: buf[np.minimum(starts + i, len(buf) - 1)].astype(np.int64)

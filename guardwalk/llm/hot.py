@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
+def is_hot(count: str, total: int) -> Column:
+    return F.col(count) * HOT_SHARE >= max(total, HOT_SHARE * 8)
+
+
 def join_facts(rows: DataFrame, key: str, spread: list[Column], facts: DataFrame, count: str, total: int, drop_when_hot: dict[str, Column] | None = None) -> DataFrame:
     """Left join `facts` (one row per `key`, with its group's size in `count`) to `rows`.
 
@@ -19,7 +23,7 @@ def join_facts(rows: DataFrame, key: str, spread: list[Column], facts: DataFrame
     """
     facts = facts.withColumnRenamed(key, "_k")
     names = [c for c in facts.columns if c != "_k"]
-    large = F.col(count) * HOT_SHARE >= max(total, HOT_SHARE * 8)
+    large = is_hot(count, total)
     hot = facts.filter(large).select("_k", *[F.col(c).alias(f"_h_{c}") for c in names])
     a = rows.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left")
     met = F.col("_k").isNotNull()

@@ -219,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
         n = e.count()
         if not n:
             break
-        both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u"))).select("u", "v")
+        both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u"))).select("u", "v")
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
         large = join_facts(both.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], m.withColumnRenamed("u", "k"), "d", 2 * n)
         l = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardwalk.llm.hot import is_hot, join_facts
+
 RULE_VERSION = "2024-1"
 
 
@@ -85,26 +87,28 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_versi
     """Ledger rows (blob_id, rule_version, findings) for blob and rule-version pairs not in `ledger`.
 
     One holder of each blob is chosen from digests alone, so texts move once, dealt
-    by blob and holder; copies of a hot blob don't meet.
+    by blob and holder; copies of a hot blob don't meet. The patterns run behind that
+    join (the text they read is null without a holder), so only chosen texts are read.
     """
     holders = versions.groupBy("blob_id").agg(F.min("path").alias("holder"))
-    if ledger is not None:
-        holders = holders.join(ledger.filter(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
-    h = holders.select(F.col("blob_id").alias("_id"), "holder").hint("shuffle_hash")
+    h = holders.select(F.col("blob_id").alias("_id"), "holder")
+    if ledger is None:
+        h = h.hint("shuffle_hash")  # texts are streamed past it unsorted
+    else:  # few blobs are new, so that Spark may broadcast them once it has seen their size
+        h = h.join(ledger.filter(F.col("rule_version") == rule_version).select(F.col("blob_id").alias("_id")), "_id", "left_anti")
     texts = versions.join(h, (F.col("blob_id") == F.col("_id")) & F.col("path").eqNullSafe(F.col("holder")))
-    found = texts.select("blob_id", findings_of(F.col("_text"), kinds).alias("findings"))
-    once = found.filter(F.size("findings") > 0).groupBy("blob_id").agg(F.first("findings").alias("findings"))
-    return (
-        holders.select("blob_id").join(once, "blob_id", "left")
-        .select("blob_id", F.lit(rule_version).alias("rule_version"), F.coalesce("findings", F.from_json(F.lit("[]"), FINDING)).alias("findings"))
-    )
+    found = texts.select("blob_id", findings_of(F.when(F.col("_id").isNotNull(), F.col("_text")).otherwise(""), kinds).alias("findings"))
+    return found.groupBy("blob_id").agg(F.first("findings").alias("findings")).select("blob_id", F.lit(rule_version).alias("rule_version"), "findings")
 
 
-def findings_by_path(versions: DataFrame, rows: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+def findings_by_path(versions: DataFrame, rows: DataFrame, total: int, rule_version: str = RULE_VERSION) -> DataFrame:
     """Every version of every path with its blob's findings (empty where the blob has none)."""
+    none = F.from_json(F.lit("[]"), FINDING)
     hits = rows.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob_id").alias("_id"), "findings")
-    j = versions.select("path", "blob_id").join(hits, F.col("blob_id") == F.col("_id"), "left")
-    return j.select("path", "blob_id", F.coalesce("findings", F.from_json(F.lit("[]"), FINDING)).alias("findings"))
+    counts = versions.groupBy("blob_id").agg(F.count("*").alias("n_paths"))
+    facts = counts.join(hits, F.col("blob_id") == F.col("_id"), "left").filter(F.col("findings").isNotNull() | is_hot("n_paths", total)).drop("_id")
+    j = join_facts(versions.select("path", "blob_id"), "blob_id", [F.col("path")], facts, "n_paths", total)
+    return j.select("path", "blob_id", F.coalesce("findings", none).alias("findings"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -112,7 +116,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id
     versions = address(docs, id_col, text_col)
     new = scan_unseen(versions, ledger)
     known = new if ledger is None else ledger.select("blob_id", "rule_version", "findings").unionByName(new)
-    return findings_by_path(versions, known), new
+    return findings_by_path(versions, known, docs.count()), new
 
 
 def listed(spans: Column) -> Column:
@@ -144,11 +148,13 @@ def redacted(text: Column, findings: Column, mark: str = "[secret]") -> Column:
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents and columns, secrets in their texts replaced; texts without any stay as they are."""
-    _, new = scan(docs, None, id_col, text_col)
+    new = scan_unseen(address(docs, id_col, text_col))
     hits = new.filter(F.size("findings") > 0).select(F.col("blob_id").alias("_id"), F.col("findings").alias("_found"))
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("_blob"))
-    # The side with the texts is streamed past a table of the few blobs that hold a secret.
-    j = row.join(hits.hint("shuffle_hash"), F.col("_blob") == F.col("_id"), "left")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_path"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("_blob"))
+    counts = row.groupBy("_blob").agg(F.count("*").alias("_n"))
+    total = docs.count()
+    facts = counts.join(hits, F.col("_blob") == F.col("_id"), "left").filter(F.col("_found").isNotNull() | is_hot("_n", total)).drop("_id")
+    j = join_facts(row, "_blob", [F.col("_path")], facts, "_n", total)
     clean = F.when(F.col("_found").isNull(), F.col("_row")[text_col]).otherwise(redacted(F.col("_row")[text_col], F.col("_found")))
     return j.select(*[clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 

@@ -80,6 +80,7 @@ class Counter:
             return 0, 0, 0.0
         if not self.by_word:
             return self.search(SPACE + text.replace(" ", SPACE))
+        text = text.replace(SPACE, " ")  # a mark in the text is taken for a space
         pieces = unknown = 0
         total = 0.0
         get = self.memory.get
