@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guardwalk.plans import scalar
+from guardwalk.plans import relational, scalar
 
-QUERIES = {**scalar.QUERIES}
-ORACLES = {**scalar.ORACLES}
+QUERIES = {**scalar.QUERIES, **relational.QUERIES}
+ORACLES = {**scalar.ORACLES, **relational.ORACLES}
