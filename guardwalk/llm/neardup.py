@@ -50,7 +50,7 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 WIDTH, PERCENT = 4, 80
 TREES, SKETCH, BRANCHES, DEPTH = 12, 128, 3, 6
 #: Members of a node that is compared at once; chunk and pivots of a large, alike node.
-SMALL, CHUNK, PIVOTS, BLOCK = 128, 64, 32, 128
+SMALL, CHUNK, PIVOTS, BLOCK = 256, 128, 32, 128
 SALTS = 128
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 KEYS = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -213,25 +213,22 @@ def _arrow(df: DataFrame, kind: str) -> pa.DataType:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, by alternating large and small stars until nothing moves."""
-    e = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct().checkpoint()  # u > v
+    """(node, component): the least node reachable, by alternating large and small stars until only stars are left."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()  # u > v
     while True:
         n = e.count()
-        if not n:
-            break
-        both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u"))).select("u", "v")
-        m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
-        large = join_facts(both.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], m.withColumnRenamed("u", "k"), "d", 2 * n)
-        l = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        below = l.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-        small = join_facts(l.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], below.withColumnRenamed("u", "k"), "d", n)
-        s = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct().checkpoint()
-        # stars are final: every node points at a node that points at none
-        moved = s.join(e, ["u", "v"], "left_anti").limit(1).count() + abs(s.count() - n)
-        e = s
-        if not moved:
-            break
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+        sides = e.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("v", F.lit(0), F.lit(1)))
+        open_ = sides.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 OR below > 0 AND above > 0")
+        if not n or open_.isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"), "d")
+        large = join_facts(both.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], m, "d", 2 * n)
+        l = large.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below = l.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumnRenamed("u", "k")
+        small = join_facts(l.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], below, "d", n)
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        e = small.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter("u <> v").distinct().checkpoint()
 
 
 # ---- the join
@@ -354,7 +351,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a class's texts give the same set, so any copy with the id will do for repeated ids
     texts = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("text")).join(wanted.hint("shuffle_hash"), F.col("rep") == F.col("_rep")).drop("_rep")
     texts.write.parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts").dropDuplicates(["rep"]) if docs.select(id_col).distinct().count() < docs.count() else spark.read.parquet(f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts").dropDuplicates(["rep"])  # repeated rows
     told = confirm(edges, texts, width, percent).checkpoint()
     comps = components(told.filter("linked")).checkpoint()
     # second round: pairs that are still apart
