@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guardwalk.plans import relational, scalar
+from guardwalk.plans import programs, relational, scalar
 
-QUERIES = {**scalar.QUERIES, **relational.QUERIES}
-ORACLES = {**scalar.ORACLES, **relational.ORACLES}
+QUERIES = {**scalar.QUERIES, **relational.QUERIES, **programs.QUERIES}
+ORACLES = {**scalar.ORACLES, **relational.ORACLES, **programs.ORACLES}
