@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from guardwalk.operators import coverage, graph
 from guardwalk.plans.relational import _EVENTS
 from guardwalk.plans.runner import run_program, verdicts
+from guardwalk.plans.solver import plans
 from guardwalk.sources import program as source
 
 SOURCE = """
@@ -116,3 +117,10 @@ def program_branches(spark, read) -> DataFrame:
 @query("SELECT * FROM (VALUES ('A-MAIN', 0::INTEGER, 7), ('B-BAND', 1, 4), ('C-STATUS', 2, 2), ('D-OPEN', 3, 1)) t(paragraph, pos, n_statements)")
 def program_paragraphs(spark, read) -> DataFrame:
     return source.paragraphs(_src(spark)).select("paragraph", "pos", "n_statements")
+
+
+@query("""SELECT * FROM (VALUES ('A-MAIN', ['A-MAIN'], '{}', 'verified'), ('B-BAND', ['A-MAIN', 'B-BAND'], '{}', 'verified'),
+ ('C-STATUS', ['A-MAIN', 'C-STATUS'], '{}', 'verified'), ('D-OPEN', ['A-MAIN', 'C-STATUS', 'D-OPEN'], '{"WS-STATUS": "O "}', 'verified')) t(target, chain, state, verdict)""")
+def program_plans(spark, read) -> DataFrame:
+    """An entry state for every paragraph, checked by running it."""
+    return plans(_src(spark)).select("target", "chain", "state", "verdict")

@@ -10,6 +10,7 @@ from guardwalk.functions.conditions import condition, dnf, parse
 from guardwalk.operators import graph
 from guardwalk.plans import catalogue
 from guardwalk.plans.runner import Run
+from guardwalk.plans.solver import plans
 from guardwalk.sources.program import parse_program
 
 HEAD = "       IDENTIFICATION DIVISION.\n       PROGRAM-ID. T.\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n"
@@ -79,6 +80,13 @@ def test_limits():
     assert run("01 A PIC 9.", "A-MAIN.\n    GO TO A-MAIN.").stopped == "step_limit"
 
 
+def test_plans(spark):
+    text = HEAD + "".join(f"       {x}\n" for x in ("01 A PIC 9(3).", "01 B PIC X(2).", "01 C PIC 9(3).", "PROCEDURE DIVISION.", "M-1.", "    IF A > 5 AND ( B = 'X' OR 'Y' )", "       PERFORM P-2", "    END-IF", "    GOBACK.", "P-2.", "    IF A < 7 AND A NOT = 6 PERFORM P-3 END-IF", "    IF A = C PERFORM P-4 END-IF.", "P-3.", "    EXIT.", "P-4.", "    EXIT.", "P-5.", "    EXIT."))
+    got = {r["target"]: r for r in plans(spark.createDataFrame([(text,)], "source string")).collect()}
+    assert got["P-2"]["verdict"] == "verified" and got["P-4"]["verdict"] == "verified"
+    assert got["P-3"]["verdict"] in ("open", "verified") and got["M-1"]["state"] == "{}"
+
+
 def test_closure(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "caller string, callee string")
     assert graph.closure(e).count() == 12
