@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SLICE = 64
 
 
+def ascii_lower(text: str) -> str:
+    """A-Z in lower case, all else as it is: bytes.lower() leaves bytes of other characters alone."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def map_rows(df: DataFrame, columns: list[Column], schema: str, make: Callable[[], Callable[..., tuple]], rows: int = 2000) -> DataFrame:
     """One output row per input row: `make()` runs once per task and gives the function of `columns`."""
     names = [f"c{i}" for i in range(len(columns))]

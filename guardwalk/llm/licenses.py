@@ -24,10 +24,9 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from guardwalk.llm.arrow import map_rows
+from guardwalk.llm.arrow import ascii_lower, map_rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 # The base phrases and labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 # Notices and their labels, as words.
@@ -140,7 +139,7 @@ def scanner() -> Scanner:
 
 def scan_text(text: str, s: Scanner) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, int, int, int]], float]:
     """(words, base places, hits as (label, first word, last word, start, end, edits), score)."""
-    low = text.translate(LOWER) if not text.isascii() else text.lower()
+    low = ascii_lower(text)
     words = WORD.findall(low)
     joined = " ".join(words)
     base, hits = base_places(joined), s.find(joined)
