@@ -17,8 +17,9 @@ in the thousands aren't expanded into pairs, and no candidate is left out.
 
 Recall: two documents of similarity 0.8 share a tree's first token with
 probability 0.8 and a later level's with 1 - 0.2^BRANCHES, so that 12 trees miss
-a pair of small nodes with 0.2^12 = 4e-9, and with five further levels with less
-than 1e-7; the sketches' bar lies five standard deviations below 0.8.
+a pair of small nodes with 0.2^12 = 4e-9, and with five further levels with
+(1 - 0.8 * 0.96^5)^12 = 3e-6; the sketches' bar lies five standard deviations
+below 0.8.
 
 Defined results: documents without words, or with a null text, have an empty set
 and are linked with nothing; rows with a null id are linked with nothing, have
@@ -29,6 +30,7 @@ table gives an empty table; other columns are ignored (components) or kept
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import uuid
@@ -41,17 +43,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardwalk.llm.arrow import map_rows
+from guardwalk.llm.arrow import ascii_lower, map_rows
 from guardwalk.llm.hot import join_facts
 from guardwalk.session import checkpoint_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 WIDTH, PERCENT = 4, 80
-TREES, SKETCH, BRANCHES, DEPTH = 12, 128, 3, 6
-#: Members of a node that is compared at once; chunk and pivots of a large, alike node.
-SMALL, CHUNK, PIVOTS, BLOCK = 256, 128, 32, 128
+TREES, SKETCH, BRANCHES, DEPTH = 12, 128, 2, 6
+#: Members of a node that is compared at once; chunk and pivots of a large, alike node; side of a block of its rest.
+SMALL, CHUNK, PIVOTS, BLOCK = 512, 128, 32, 128
 SALTS = 128
+#: From this mean similarity on a node is alike; from the lower one on if it has at most so many members.
+ALIKE, ALIKE_LOW, LOW_SIZE = 0.5, 0.35, 2048
+#: Members by which a node's mean similarity is estimated; the estimate only chooses between two complete ways.
+PROBE = 64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 KEYS = _RNG.integers(0, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 PLACES = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -66,42 +71,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Digests(dict):
+    """word -> 64-bit digest."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:  # bounds memory, not results
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Shingler:
     """Distinct shingles of whole texts as sorted 64-bit digests."""
 
     def __init__(self, width: int):
-        self.width, self.words = width, {}
+        self.width, self.words = width, Digests()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint64)
-        found = WORD.findall(text.lower() if text.isascii() else text.translate(LOWER))
+        found = WORD.findall(ascii_lower(text)) if text else []
         if not found:
             return np.zeros(0, np.uint64)
-        known, out = self.words, []
-        for w in found:
-            h = known.get(w)
-            if h is None:
-                if len(known) > 300_000:  # bounds memory, not results
-                    known.clear()
-                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        a = np.array(out, np.uint64)
+        a = np.fromiter(map(self.words.__getitem__, found), np.uint64, len(found))
         k = min(self.width, len(a))
         n = len(a) - k + 1
         with np.errstate(over="ignore"):
             s = np.full(n, k, np.uint64)
             for i in range(k):
                 s += _mixed(a[i : i + n] + PLACES[i % 64]) * PLACES[(i + 7) % 64]
-        return np.unique(_mixed(s))
+            return np.unique(_mixed(s))
+
+
+_ROWS = 64
+_PRODUCTS = np.empty((_ROWS, SKETCH), np.uint64)
 
 
 def minwise(tokens: np.ndarray) -> np.ndarray:
-    """For every key the least keyed token (64 bits)."""
+    """For every key the least keyed token (64 bits). The products of few tokens at a time stay in the cache."""
     best = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(tokens), 1024):
-            np.minimum(best, (tokens[i : i + 1024, None] * KEYS).min(0), out=best)
+    column = tokens[:, None]
+    for i in range(0, len(tokens), _ROWS):
+        part = column[i : i + _ROWS]
+        out = np.multiply(part, KEYS, out=_PRODUCTS[: len(part)])
+        np.minimum(best, out.min(0), out=best)
     return best
 
 
@@ -229,11 +240,18 @@ def components(edges: DataFrame) -> DataFrame:
         small = join_facts(l.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], below, "d", n)
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         e = small.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter("u <> v").distinct().checkpoint()
+        release(e)
 
 
 # ---- the join
 
 
+def release(df: DataFrame) -> None:
+    """Let go of what finished rounds hold: Spark drops shuffle files, broadcasts and checkpoints only as the driver collects garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def grow(reps: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:
     """(small nodes, large alike nodes), as (key, rep, cnt): every tree's leaves with two members or more."""
     roots = F.array(*[F.xxhash64(F.lit(t), F.substring("roots", 8 * t + 1, 8)) for t in range(TREES)])
@@ -244,6 +262,7 @@ def grow(reps: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:
         return join_facts(rows, "key", [F.col("rep")], c, "cnt", size).filter("cnt > 1")
 
     nodes = with_count(first, TREES * total).checkpoint()
+    release(reps)
     small, alike, big = [nodes.filter(F.col("cnt") <= SMALL).select("key", "rep", "cnt")], [], nodes.filter(F.col("cnt") > SMALL)
     for level in range(1, DEPTH + 1):
         size = big.count()
@@ -252,23 +271,23 @@ def grow(reps: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:
         if level == DEPTH:
             alike.append(big.select("key", "rep", "cnt"))
             break
-        if "sketch" not in big.columns:
-            big = big.join(reps.select("rep", "sketch").hint("shuffle_hash"), "rep")
-        at = lambda j: F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SKETCH)).cast("int")
-        token = lambda j: F.substring(F.col("sketch"), 2 * at(j) + 1, F.lit(2))
-        branch = F.array(*[F.struct(F.lit(j).alias("j"), F.xxhash64("key", F.lit(j), F.lit(level), token(j)).alias("child")) for j in range(BRANCHES)])
-        kids = big.select("key", "rep", "cnt", "sketch", F.explode(branch).alias("c")).select("key", "rep", "cnt", "sketch", F.col("c.child").alias("child"))
-        counts = kids.groupBy("child").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("cnt").alias("cnt")).checkpoint()
-        # the share of pairs that choose the same token estimates the members' mean similarity
-        dense = counts.groupBy("key", "cnt").agg((F.sum(F.col("n").cast("double") * F.col("n")) / (BRANCHES * F.col("cnt").cast("double") * F.col("cnt"))).alias("like")).filter("like >= 0.5").select(F.col("key").alias("dkey"))
-        # nodes of more than SMALL members: their number is a small part of the rows, and AQE broadcasts them only once their size is known
-        facts = counts.join(dense, F.col("key") == F.col("dkey"), "left").select(F.col("child").alias("child"), "n", F.col("dkey").isNotNull().alias("dense"))
-        told = join_facts(kids, "child", [F.col("rep"), F.col("key")], facts, "n", BRANCHES * size).checkpoint()
-        alike.append(told.filter("dense").select("key", "rep", "cnt").distinct())
-        nexts = told.filter("NOT dense AND n > 1").select(F.col("child").alias("key"), "rep", F.col("n").alias("cnt"), "sketch")
-        small.append(nexts.filter(F.col("cnt") <= SMALL).select("key", "rep", "cnt"))
-        big = nexts.filter(F.col("cnt") > SMALL)
-    return reduce(DataFrame.union, small), reduce(DataFrame.union, alike) if alike else None
+        told = big.join(reps.select("rep", "sketch").hint("shuffle_hash"), "rep")
+        token = lambda j: F.substring(F.col("sketch"), 2 * F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SKETCH)).cast("int") + 1, F.lit(2))
+        branch = F.explode(F.array(*[F.xxhash64("key", F.lit(j), F.lit(level), token(j)) for j in range(BRANCHES)])).alias("child")
+        # pairs of the probe that choose the same token estimate the members' mean similarity
+        probe = told.filter(F.pmod(F.xxhash64("rep", "key", F.lit(level)), F.col("cnt")) < PROBE)
+        picks = probe.select("key", "cnt", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), token(j + BRANCHES).alias("v")) for j in range(4)])).alias("p"))
+        same = picks.groupBy("key", "cnt", "p").agg(F.count("*").alias("n")).groupBy("key", "cnt", "p.j").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("m"))
+        like = F.sum("same") / F.greatest(F.sum(F.col("m") * (F.col("m") - 1)), F.lit(1))
+        route = same.groupBy("key", "cnt").agg(like.alias("like")).select("key", F.col("cnt").alias("n_node"), ((F.col("like") >= ALIKE) | (F.col("like") >= ALIKE_LOW) & (F.col("cnt") <= LOW_SIZE)).alias("dense"))
+        routed = join_facts(told, "key", [F.col("rep")], route, "n_node", size).select("key", "rep", "cnt", "sketch", F.coalesce("dense", F.lit(False)).alias("dense")).checkpoint()
+        alike.append(routed.filter("dense").select("key", "rep", "cnt"))
+        kids = with_count(routed.filter("NOT dense").select("rep", branch).withColumnRenamed("child", "key"), BRANCHES * size).checkpoint()
+        small.append(kids.filter(F.col("cnt") <= SMALL).select("key", "rep", "cnt"))
+        big = kids.filter(F.col("cnt") > SMALL)
+        release(reps)
+    # Written once each, so that the plans that read them stay small: the driver holds every plan, and each change to it, as text.
+    return reduce(DataFrame.union, small).select("key", "rep").checkpoint(), reduce(DataFrame.union, alike).checkpoint() if alike else None
 
 
 def chunked(alike: DataFrame) -> DataFrame:
@@ -313,11 +332,11 @@ def once_each(edges: DataFrame) -> DataFrame:
 
 def rest_blocks(alike: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, rep, comp, rest): blocks in which what lies outside a node's main component meets all members."""
-    with_comp = alike.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "cnt", F.coalesce("component", "rep").alias("comp"))
+    with_comp = alike.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "cnt", F.coalesce("component", "rep").alias("comp")).checkpoint()
     per = with_comp.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
     open_ = main.filter(F.col("most") < F.col("all")).select(F.col("key").alias("okey"), "main", (F.col("all") - F.col("most")).alias("n_rest"), F.col("all").alias("n_all"))
-    m = join_facts(with_comp, "key", [F.col("rep")], open_.withColumnRenamed("okey", "key"), "n_all", alike.count()).filter(F.col("main").isNotNull())
+    m = join_facts(with_comp, "key", [F.col("rep")], open_.withColumnRenamed("okey", "key"), "n_all", alike.count()).filter(F.col("main").isNotNull()).checkpoint()
     rows, cols = F.ceil(F.col("n_rest") / BLOCK), F.ceil(F.col("cnt") / CHUNK)
     at = lambda n: F.pmod(F.xxhash64("key", "rep", F.lit(2)), n)
     rest = m.filter("comp <> main").withColumn("i", at(rows)).select("key", "rep", "comp", "i", F.explode(F.sequence(F.lit(0).cast("long"), cols - 1)).alias("j"), F.lit(True).alias("rest"))
@@ -339,11 +358,11 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small, alike = grow(reps, total)
     sk = reps.select("rep", "n", "sketch")
     sketch_of = lambda rows: rows.join(sk.hint("shuffle_hash"), "rep")
-    nodes = small.select("key", "rep")
+    nodes = small
     if alike is not None:
-        alike = alike.checkpoint()
         nodes = nodes.union(chunked(alike))
     edges = once_each(compare_nodes(sketch_of(nodes), kind, bar, percent)).checkpoint()
+    release(docs)
     wanted = edges.select(F.col("a").alias("rep")).union(edges.select(F.col("b").alias("rep")))
     if alike is not None:
         wanted = wanted.union(alike.select("rep"))
@@ -354,15 +373,18 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = spark.read.parquet(f"{folder}/texts").dropDuplicates(["rep"])  # repeated rows
     told = confirm(edges, texts, width, percent).checkpoint()
     comps = components(told.filter("linked")).checkpoint()
+    release(docs)
     # second round: pairs that are still apart
-    sized = small.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    sized = small.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")).checkpoint()
     split = sized.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     left = sized.join(split.hint("shuffle_hash"), "key").withColumn("rest", F.lit(True))
     if alike is not None:
         left = left.unionByName(rest_blocks(alike, comps))
-    apart = once_each(compare_nodes(sketch_of(left), kind, bar, percent, every=True))
+    release(docs)
+    apart = once_each(compare_nodes(sketch_of(left.checkpoint()), kind, bar, percent, every=True))
     seen = told.filter("NOT linked").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     fresh = apart.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti").checkpoint()
+    release(docs)
     if not fresh.isEmpty():
         more = confirm(fresh, texts, width, percent).filter("linked").select("a", "b")
         comps = components(told.filter("linked").select("a", "b").union(more)).checkpoint()

@@ -226,7 +226,7 @@ def test_unigram_ties():
 def plain_components(rows, width=4):
     sets = []
     for _, t in rows:
-        w = neardup.WORD.findall((t or "").translate(neardup.LOWER))
+        w = neardup.WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
         sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
     up = list(range(len(rows)))
 
@@ -256,8 +256,10 @@ def test_near_copies_odd(spark):
     assert not {r["doc_id"] for r in kept.collect()} & {7, 10}
 
 
-def test_large_groups_and_chains(spark):
+def test_large_groups_and_chains(spark, monkeypatch):
     """A group larger than a node, whose members resemble their base more than each other, a chain, and a common passage."""
+    for name, n in (("SMALL", 24), ("CHUNK", 16), ("PIVOTS", 6), ("BLOCK", 12), ("PROBE", 12), ("LOW_SIZE", 60)):
+        monkeypatch.setattr(neardup, name, n)
     r = random.Random(9)
     base = prose(300, 11).split()
     rows = []
