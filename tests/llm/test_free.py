@@ -258,12 +258,12 @@ def test_near_copies_odd(spark):
 
 def test_large_groups_and_chains(spark, monkeypatch):
     """A group larger than a node, whose members resemble their base more than each other, a chain, and a common passage."""
-    for name, n in (("SMALL", 24), ("CHUNK", 16), ("PIVOTS", 6), ("BLOCK", 12), ("PROBE", 12), ("LOW_SIZE", 60)):
+    for name, n in (("SMALL", 24), ("CHUNK", 16), ("PIVOTS", 6), ("BLOCK", 12), ("PROBE", 12), ("LOW_SIZE", 60), ("DEPTH", 3)):
         monkeypatch.setattr(neardup, name, n)
     r = random.Random(9)
     base = prose(300, 11).split()
     rows = []
-    for i in range(150):
+    for i in range(90):
         w = list(base)
         for _ in range(r.randrange(0, 9)):
             w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
@@ -273,7 +273,7 @@ def test_large_groups_and_chains(spark, monkeypatch):
         chain[(i * 7) % 200] = f"c{i}"
         rows.append((i + 2000, " ".join(chain)))
     common = prose(60, 13)
-    rows += [(i + 3000, f"{common} {prose(90, 100 + i)}") for i in range(140)]
+    rows += [(i + 3000, f"{common} {prose(90, 100 + i)}") for i in range(80)]
     got = neardup.components_of(spark.createDataFrame(rows, "doc_id long, text string"))
     assert listed(got) == sorted(plain_components(rows), key=repr)
 
