@@ -9,6 +9,13 @@ through a keyed permutation of its blocks, epoch by epoch, and consecutive range
 of draws go to consecutive shards: no two shards draw the same block of an epoch.
 Within a shard, `order_key` shuffles.
 
+Whole documents (mixed_documents) are not drawn by blocks: a source's documents with
+words stand in the order of their lengths (to four leading bits, there dealt over
+cells by digest), and systematic sampling from a keyed start takes each of them
+target / size times, rounded up or down. Each document has that expected number of
+copies, and neighbours of like length make up for each other, so the source's words
+meet its target to about its longest document.
+
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, the last; null ids and repeated rows are documents like any
 other; an empty table gives an empty mix; other columns are ignored (draw) or
@@ -20,7 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from guardwalk.llm.feistel import hashed
@@ -31,6 +38,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SEED = "mix-1"
 SHARDS = 16
 BUCKETS = 4096
+#: Cells that documents of like length are dealt over when whole ones are drawn.
+CELLS = 256
 #: Longest block in words; sources with fewer than 1024 blocks of it get shorter ones.
 BLOCK = 64
 FINEST = 1024
@@ -104,12 +113,15 @@ def tree(quotas: list[int], shards: int, seed: str) -> list[list[int]]:
     return out
 
 
+def source_targets(sizes: list[tuple[str, int]], weights: list[float] | None) -> list[float]:
+    """Targets in the order of `sizes` (code points, null last); weights 1, 2, 3 repeating unless given."""
+    return targets([s for _, s in sizes], weights or [float(i % 3 + 1) for i in range(len(sizes))])
+
+
 def plan_sources(sizes: list[tuple[str, int]], weights: list[float] | None, shards: int, seed: str) -> list[Plan]:
-    """Plans in the order of `sizes` (code points, null last); weights 1, 2, 3 repeating unless given."""
-    w = weights or [float(i % 3 + 1) for i in range(len(sizes))]
-    goal = targets([s for _, s in sizes], w)
+    """Plans in the order of `sizes`."""
     plans = []
-    for (tag, s), t in zip(sizes, goal, strict=True):
+    for (tag, s), t in zip(sizes, source_targets(sizes, weights), strict=True):
         block = min(BLOCK, max(1, s // FINEST))
         blocks = -(-s // block)
         plans.append(Plan(tag, s, t, block, blocks, min(round(t / block), CAP * blocks), []))
@@ -122,16 +134,21 @@ def plan_sources(sizes: list[tuple[str, int]], weights: list[float] | None, shar
     return plans
 
 
-def lay_out(docs: DataFrame, id_col: str, source_col: str, text_col: str, buckets: int) -> tuple[DataFrame, list[tuple[str, int]]]:
-    """Every document's words [from, from + size) on its source's line, and the sources' lengths.
+def word_count(docs: DataFrame, text_col: str) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(docs[text_col], F.lit("")), SPACE), "")).cast("long")
 
-    Sums per source and bucket (of the digest of id and size) give the buckets their
-    places, sums within a bucket the documents theirs; a hot source spreads over all
-    its buckets.
-    """
-    words = F.size(F.array_remove(F.split(F.coalesce(docs[text_col], F.lit("")), SPACE), "")).cast("long")
-    tag = F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("z"))
-    rows = docs.select(docs[id_col].alias("doc_id"), tag.alias("tag"), words.alias("size"))
+
+def tag_of(docs: DataFrame, source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("z"))
+
+
+def before(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def tally(docs: DataFrame, id_col: str, source_col: str, text_col: str, buckets: int) -> tuple[DataFrame, DataFrame, list[tuple[str, int]]]:
+    """(tag, doc_id, size, bucket b of their digest, count c) of the documents, (tag, b, words w), and the sources' lengths."""
+    rows = docs.select(docs[id_col].alias("doc_id"), tag_of(docs, source_col).alias("tag"), word_count(docs, text_col).alias("size"))
     rows = rows.withColumn("b", F.pmod(hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size")), F.lit(buckets)))
     groups = rows.groupBy("tag", "b", "doc_id", "size").agg(F.count("*").alias("c"))
     checkpoint_dir(docs.sparkSession)
@@ -140,12 +157,22 @@ def lay_out(docs: DataFrame, id_col: str, source_col: str, text_col: str, bucket
     sizes = per.groupBy("tag").agg(F.sum("w").alias("w")).limit(MAX_SOURCES + 1).collect()
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    order = sorted(((r["tag"], int(r["w"] or 0)) for r in sizes), key=lambda x: (x[0] == "z", x[0].encode("utf-8", "surrogatepass")))
+    return groups, per, order
+
+
+def lay_out(docs: DataFrame, id_col: str, source_col: str, text_col: str, buckets: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Every document's words [from, from + size) on its source's line, and the sources' lengths.
+
+    Sums per source and bucket (of the digest of id and size) give the buckets their
+    places, sums within a bucket the documents theirs; a hot source spreads over all
+    its buckets.
+    """
+    groups, per, order = tally(docs, id_col, source_col, text_col, buckets)
     place = per.select("tag", "b", F.coalesce(F.sum("w").over(before(Window.partitionBy("tag").orderBy("b"))), F.lit(0)).alias("at"))
     inner = F.sum(F.col("size") * F.col("c")).over(before(Window.partitionBy("tag", "b").orderBy(F.col("doc_id").asc_nulls_first(), "size")))
     laid = groups.withColumn("in", F.coalesce(inner, F.lit(0))).join(place, ["tag", "b"])
     copies = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
-    order = sorted(((r["tag"], int(r["w"] or 0)) for r in sizes), key=lambda x: (x[0] == "z", x[0].encode("utf-8", "surrogatepass")))
     return copies.select("doc_id", "tag", "size", "copy", (F.col("at") + F.col("in") + F.col("copy") * F.col("size")).alias("from")), order
 
 
@@ -192,23 +219,41 @@ def taken_words(drawn: DataFrame) -> DataFrame:
     return g.select("doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", F.col("taken").cast("long"))
 
 
-def mixed_documents(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents that the mix draws from, with all their columns: one row per epoch in which any of their words are drawn.
+def whole_copies(groups: DataFrame, ratios: DataFrame, seed: str) -> DataFrame:
+    """(doc_id, tag, size, c, times): how often the mix takes the c documents of an id, source and length, together.
 
-    A document is written whole in each such epoch, its words being the units that
-    the blocks share out; documents of which no block is drawn go.
+    Documents are numbered along their source by length and cell; those from number i
+    to j are taken floor(j * ratio + start) - floor(i * ratio + start) times.
     """
-    drawn = draw(docs, weights, shards, seed, id_col, source_col, text_col)
-    epochs = drawn.groupBy("doc_id", "tag", "size", "copy").agg(F.sum(F.coalesce(F.col("words"), F.lit(0)) * F.col("draws")).alias("taken"))
-    # whole documents: as many times as words taken per word, rounded
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    per = epochs.groupBy("doc_id", "tag", "size").agg(F.sum(times).alias("_times"), F.count("*").alias("_rows"))
-    words = F.size(F.array_remove(F.split(F.coalesce(docs[text_col], F.lit("")), SPACE), "")).cast("long")
-    tag = F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("z"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), tag.alias("_tag"), words.alias("_size"))
-    j = rows.join(per.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag")) & (F.col("_size") == F.col("size")))
-    n = F.floor(F.col("_times") / F.col("_rows") + 0.5).cast("long")
-    return j.filter(n > 0).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), n))).select("_row.*")
+    shift = "greatest(length(bin(size)) - 4, 0)"
+    g = groups.filter("size > 0").withColumn("about", F.expr(f"shiftleft(shiftright(size, {shift}), {shift})")).withColumn("cell", F.col("b") % CELLS)
+    per = g.groupBy("tag", "about", "cell").agg(F.sum("c").alias("n"))
+    place = per.select("tag", "about", "cell", F.coalesce(F.sum("n").over(before(Window.partitionBy("tag").orderBy("about", "cell"))), F.lit(0)).alias("at"))
+    inner = F.sum("c").over(before(Window.partitionBy("tag", "about", "cell").orderBy("size", F.col("doc_id").asc_nulls_first())))
+    j = g.withColumn("in", F.coalesce(inner, F.lit(0))).join(place, ["tag", "about", "cell"]).join(ratios, "tag")
+    start = hashed(F.lit(seed), F.lit("whole"), F.col("tag")) / F.lit(float(2**48))
+    upto = lambda n: F.floor(n * F.col("ratio") + start)
+    first = F.col("at") + F.col("in")
+    return j.select("doc_id", "tag", "size", "c", (upto(first + F.col("c")) - upto(first)).alias("times"))
+
+
+def mixed_documents(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """Whole documents with all their columns, none, one or several rows of each, so that every source's words meet its target."""
+    groups, _, sizes = tally(docs, id_col, source_col, text_col, buckets)
+    ratios = docs.sparkSession.createDataFrame([(tag, t / s) for (tag, s), t in zip(sizes, source_targets(sizes, weights), strict=True) if s], "tag string, ratio double")
+    per = whole_copies(groups, F.broadcast(ratios) if len(sizes) <= BROADCAST_SOURCES else ratios, seed).filter("times > 0").checkpoint()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), tag_of(docs, source_col).alias("_tag"), word_count(docs, text_col).alias("_size"))
+
+    def taken(part: DataFrame) -> DataFrame:
+        return rows.join(part.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag")) & (F.col("_size") == F.col("size")))
+
+    out = taken(per.filter("times % c = 0")).withColumn("_n", F.floor(F.col("times") / F.col("c")))
+    uneven = per.filter("times % c > 0")
+    if not uneven.isEmpty():  # repeated ids whose copies don't go evenly into their rows: the first rows get one more
+        by = [F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        nth = F.row_number().over(Window.partitionBy("_id", "_tag", "_size").orderBy(*by))
+        out = out.unionByName(taken(uneven).withColumn("_n", F.floor(F.col("times") / F.col("c")) + (nth <= F.col("times") % F.col("c")).cast("long")))
+    return out.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

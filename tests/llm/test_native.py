@@ -144,3 +144,18 @@ def test_mix_odd(spark):
     assert mixing.taken_words(mixing.draw(empty(spark))).count() == 0
     mixed = mixing.mixed_documents(docs(spark))
     assert mixed.columns == docs(spark).columns and mixed.count() > 0
+
+
+def test_mixed_documents_meet_the_targets(spark):
+    """Long and short documents of sources that are taken 0.08 to 2.3 times; one source's rows share an id and a length."""
+    size = F.expr("10 + pmod(xxhash64(id), 90) * if(pmod(xxhash64(id, 1), 5) = 0, 20, 2)").cast("int")
+    rows = spark.range(2400).select(F.col("id").alias("doc_id"), F.array(*map(F.lit, "abc"))[F.expr("id div 800").cast("int")].alias("source"), F.repeat(F.lit("w "), size).alias("text"))
+    rows = rows.unionByName(spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.lit("d").alias("source"), F.lit("w " * 40).alias("text"))).cache()
+    words = F.size(F.split("text", " ")) - 1
+    sizes = sorted((r["source"], r["w"], r["longest"]) for r in rows.groupBy("source").agg(F.sum(words).alias("w"), F.max(words).alias("longest")).collect())
+    weights = [x * w for x, (_, w, _) in zip((0.08, 0.4, 2.2, 0.7), sizes, strict=True)]
+    mixed = mixing.mixed_documents(rows, weights)
+    got = {r["source"]: r["w"] for r in mixed.groupBy("source").agg(F.sum(words).alias("w")).collect()}
+    for (source, _, longest), want in zip(sizes, mixing.targets([w for _, w, _ in sizes], weights), strict=True):
+        assert abs(got.get(source, 0) - want) <= longest, (source, want)
+    assert listed(mixed) == listed(mixing.mixed_documents(rows.repartition(7), weights))
