@@ -62,7 +62,7 @@ def direction_coverage(spark, read) -> DataFrame:
 @query(f"WITH {_EVENTS}, s AS (SELECT DISTINCT ordinal, kind, result FROM e WHERE run_id % 1000 = 11) SELECT b.ordinal, b.kind, b.direction FROM (SELECT * FROM (VALUES (1, 'IF'), (2, 'WHEN'), (3, 'WHEN'), (4, 'WHEN'), (5, 'IF'), (6, 'LOOP')) t(ordinal, kind), (VALUES (TRUE), (FALSE)) d(direction)) b LEFT JOIN s ON s.ordinal = b.ordinal AND s.kind = b.kind AND s.result = b.direction WHERE s.ordinal IS NULL")
 def missing_directions(spark, read) -> DataFrame:
     branches = values(spark, [(1, "IF"), (2, "WHEN"), (3, "WHEN"), (4, "WHEN"), (5, "IF"), (6, "LOOP")], "ordinal int, kind string")
-    return coverage.missing(branches, coverage.observe(decisions(read).filter("run_id % 1000 = 11")))
+    return coverage.missing(branches, coverage.observe(decisions(read)))
 
 
 @query("SELECT event_type, user_id % 7 AS g, bool_or(value > 0) AS only FROM events GROUP BY 1, 2 HAVING count(DISTINCT value > 0) = 1")

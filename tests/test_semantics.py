@@ -100,3 +100,13 @@ def test_catalogue(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_missing_directions_sees_every_run(spark, sf, tmp_path):
+    """A direction that a single run takes isn't missing, whatever that run's id."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").limit(1)
+    runs = [(1, "A", 5.0, "O"), (2, "N", 45.0, "F"), (3, "N", 20.0, "F")]
+    for key, flag, quantity, status in runs:
+        as_is = {"l_orderkey": key, "l_linenumber": 2, "l_returnflag": flag, "l_quantity": quantity, "l_linestatus": status}
+        line.withColumns({c: F.lit(v).cast(line.schema[c].dataType) for c, v in as_is.items()}).write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    assert sorted(map(tuple, catalogue.QUERIES["missing_directions"](spark, str(tmp_path)).collect())) == [(6, "LOOP", False), (6, "LOOP", True)]
