@@ -294,9 +294,12 @@ def binary_codec(read) -> DataFrame:
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN t ELSE left(t, 5) || chr(112 + right(t, 1)::INT) END AS d, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END AS back, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END || t AS apart
 FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 6, '0') AS t FROM orders WHERE o_orderkey < 1000000)""")
 def overpunch(read) -> DataFrame:
+    """One width for the column: six digits, or more where an id needs them."""
+    o = read("orders")
+    width = max(6, o.agg(F.max(F.length(F.abs("o_orderkey").cast("string")))).first()[0] or 0)
     u = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey"))
-    d = codecs.display(u, 6)
-    return read("orders").filter("o_orderkey < 1000000").select("o_orderkey", d.alias("d"), codecs.undisplay(d).alias("back"), codecs.display(u, 6, separate="LEADING").alias("apart"))
+    d = codecs.display(u, width)
+    return o.select("o_orderkey", d.alias("d"), codecs.undisplay(d).alias("back"), codecs.display(u, width, separate="LEADING").alias("apart"))
 
 
 @query("SELECT name, off::BIGINT AS off, len::BIGINT AS len FROM (VALUES ('REC', 0, 37), ('ID', 0, 4), ('NAME', 4, 10), ('NAME-X', 4, 10), ('BAL', 14, 5), ('TAB', 19, 18), ('QTY', 19, 2), ('AMT', 21, 4)) t(name, off, len)")

@@ -110,3 +110,11 @@ def test_missing_directions_sees_every_run(spark, sf, tmp_path):
         as_is = {"l_orderkey": key, "l_linenumber": 2, "l_returnflag": flag, "l_quantity": quantity, "l_linestatus": status}
         line.withColumns({c: F.lit(v).cast(line.schema[c].dataType) for c, v in as_is.items()}).write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
     assert sorted(map(tuple, catalogue.QUERIES["missing_directions"](spark, str(tmp_path)).collect())) == [(6, "LOOP", False), (6, "LOOP", True)]
+
+
+def test_overpunch_keeps_long_ids(spark, tmp_path):
+    ids = [0, 7, 999_999, 1_000_000, 1_000_001, 6_000_000_000_013]
+    spark.createDataFrame([(i,) for i in ids], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["o_orderkey"]: (r["d"], r["back"], r["apart"]) for r in catalogue.QUERIES["overpunch"](spark, str(tmp_path)).collect()}
+    t = {i: f"{i:013d}" for i in ids}
+    assert got == {i: (t[i], i, "+" + t[i]) if i % 2 == 0 else (t[i][:-1] + chr(0x70 + i % 10), -i, "-" + t[i]) for i in ids}
