@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import pairwise
@@ -61,6 +62,16 @@ class Hit:
     score: float
 
 
+def matches(pattern: regex.Pattern, joined: str, a: int, b: int, least: int) -> Iterator[regex.Match]:
+    """Matches in [a, b), the best one first, then those in the stretches before and behind it, of `least` characters or more."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if b - a >= least and (m := pattern.search(joined, a, b)):
+            yield m
+            todo += [(m.end(), b), (a, m.start())]
+
+
 class Scanner:
     def __init__(self, notices=NOTICES):
         self.notices = [(n, label, k := edits_for(n), regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={k}}}")) for n, label in notices]
@@ -96,9 +107,9 @@ class Scanner:
     def find(self, joined: str) -> list[Hit]:
         found = []
         for i, spans in self.windows(joined).items():
-            n, label, _, pattern = self.notices[i]
+            n, label, k, pattern = self.notices[i]
             for a, b in spans:
-                for m in pattern.finditer(joined, a, b):
+                for m in matches(pattern, joined, a, b, len(n) - k):
                     edits = sum(m.fuzzy_counts)
                     found.append(Hit(label, m.start(), m.end(), edits, 1 - edits / len(n)))
         return unbeaten(sorted(found, key=lambda h: (h.start, h.end, h.label)))

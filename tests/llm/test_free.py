@@ -47,6 +47,37 @@ def test_seeds_find_what_a_full_search_finds():
             assert brute
 
 
+def least_edits(text: str, notice: str, k: int) -> list[int]:
+    """Edits of the notices in a row of damaged ones: the best span, then the best before and behind it."""
+    best = None
+    for a in range(len(text)):
+        row = list(range(len(notice) + 1))
+        for b in range(a, min(len(text), a + len(notice) + k)):
+            up, row = row, [row[0] + 1]
+            for j, c in enumerate(notice):
+                row.append(min(up[j] + (c != text[b]), up[j + 1] + 1, row[j] + 1))
+            if row[-1] <= k and (best is None or row[-1] < best[0]):
+                best = row[-1], a, b + 1
+    return [] if best is None else [*least_edits(text[: best[1]], notice, k), best[0], *least_edits(text[best[2] :], notice, k)]
+
+
+@pytest.mark.parametrize("at", [6, 9, 12])
+def test_notices_before_a_better_one(at):
+    """Neighbours of one kind, damaged more and less: each keeps its span."""
+    notice, label = licenses.NOTICES[at]
+    s, k = licenses.Scanner([(notice, label)]), licenses.edits_for(notice)
+    for seed in range(8):
+        edits = random.Random(seed).choices(range(k + 1), k=4) if seed else [*range(k, -1, -1)]
+        parts = [damaged(notice, e, 10 * seed + i) for i, e in enumerate(edits)]
+        text = " ".join(parts)
+        hits = s.find(text)
+        assert [h.edits for h in hits] == least_edits(text, notice, k)
+        assert len(hits) == len(parts)
+        for h, end in zip(hits, np.cumsum([len(p) + 1 for p in parts]), strict=True):
+            assert abs(h.end - end + 1) <= k + 1
+    assert [(h.start, h.end) for h in licenses.Scanner().find("all rights resrved all rights reserved")][1:] == [(19, 38)]
+
+
 def test_license_contract(spark):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark).filter("doc_id IS NOT NULL")).collect()}
     r = got[13]
