@@ -158,20 +158,34 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
 
 
 def salvage_bytes(archive: str, data: bytes, with_payload: bool = False) -> Iterator[tuple]:
-    """Rows of SCHEMA: every record that passes its checks, and the gaps between them."""
+    """Rows of SCHEMA: every record that passes its checks, and the gaps between them.
+
+    The only record of a member has the member's place. Of several records in one,
+    the rows' offset is the member's and the first row has all its length, the others
+    none; the reason of a gap inside it says where in the unpacked bytes it is.
+    """
     from urllib.parse import unquote
 
     name = lambda u: unquote(m[1]) if (m := re.fullmatch(r"<urn:page:(.*)>", u)) and m[1] else None
+
+    def gap(at: int, size: int, why: str) -> tuple:
+        return (archive, "gap", at, size, None, None, None, None, None, None, why, None)
+
+    def found(at: int, size: int, r: dict) -> tuple:
+        return (archive, "record", at, size, name(r["id"]), r["n"], r["digest"], r["kind"], name(r["refers"]), r["uri"], None, r["payload"] if with_payload else None)
+
     at, bad, why = 0, -1, ""
     while at < len(data):
+        inside: list[tuple[int, int, dict | str]] = []
         try:
             if data.startswith(MAGIC, at):
                 whole, end = unpack(data, at)
-                r, used = parse(whole)
-                if used != len(whole):
-                    raise Damaged("bytes behind the record")
+                inside = list(records_in(whole))
+                if not any(isinstance(r, dict) for _, _, r in inside):
+                    raise Damaged(next((r for _, _, r in inside), "version line"))
             else:
                 r, end = parse(data, at)
+                inside = [(0, end - at, r)]
         except Damaged as e:
             if bad < 0:
                 bad, why = at, str(e)
@@ -179,12 +193,35 @@ def salvage_bytes(archive: str, data: bytes, with_payload: bool = False) -> Iter
             at = min(nexts, default=len(data))
             continue
         if bad >= 0:
-            yield (archive, "gap", bad, at - bad, None, None, None, None, None, None, why, None)
+            yield gap(bad, at - bad, why)
+            bad = -1
+        size = end - at
+        for a, b, r in inside:
+            yield found(at, size, r) if isinstance(r, dict) else gap(at, size, f"{r}, unpacked bytes {a} to {b}")
+            size = 0
+        at = end
+    if bad >= 0:
+        yield gap(bad, len(data) - bad, why)
+
+
+def records_in(whole: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    """(from, to, record or what is wrong) along a member's unpacked bytes."""
+    at, bad, why = 0, -1, ""
+    while at < len(whole):
+        try:
+            r, end = parse(whole, at)
+        except Damaged as e:
+            if bad < 0:
+                bad, why = at, str(e)
+            at = x if (x := whole.find(VERSION, at + 1)) >= 0 else len(whole)
+            continue
+        if bad >= 0:
+            yield bad, at, why
             bad = -1
-        yield (archive, "record", at, end - at, name(r["id"]), r["n"], r["digest"], r["kind"], name(r["refers"]), r["uri"], None, r["payload"] if with_payload else None)
+        yield at, end, r
         at = end
     if bad >= 0:
-        yield (archive, "gap", bad, len(data) - bad, None, None, None, None, None, None, why, None)
+        yield bad, len(whole), why
 
 
 def salvage(archives: DataFrame, with_payload: bool = False, rows: int = 500) -> DataFrame:

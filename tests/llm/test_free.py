@@ -184,6 +184,21 @@ def test_salvage(compress):
     assert sum(r[3] for r in rows) == len(data)
 
 
+def test_salvage_inside_a_member():
+    """Several records in one member: a damaged one and junk go, the others stay."""
+    parts = [warc.record(str(i), f"http://x/{i}", b"page %d" % i, None, 6, warc.sha1_32(b"page %d" % i)) for i in range(4)]
+    data = warc.member(b"".join(parts))
+    assert [r[4] for r in warc.salvage_bytes("a", data)] == ["0", "1", "2", "3"]
+    parts[1] = parts[1].replace(b"page 1", b"page x")
+    inner = b"".join([*parts[:3], b"junk", parts[3]])
+    data = warc.member(inner) + warc.member(parts[0]) + warc.member(b"nothing")
+    rows = list(warc.salvage_bytes("a", data))
+    assert [(r[1], r[4]) for r in rows] == [("record", "0"), ("gap", None), ("record", "2"), ("gap", None), ("record", "3"), ("record", "0"), ("gap", None)]
+    a, b = len(parts[0]), len(parts[0] + parts[1])
+    assert rows[1][10].endswith(f"unpacked bytes {a} to {b}") and rows[3][10].endswith(f"unpacked bytes {b + len(parts[2])} to {b + len(parts[2]) + 4}")
+    assert sum(r[3] for r in rows) == len(data)
+
+
 def test_members_are_plain_gzip():
     one = warc.record("1", "u", b"x", None, 1, warc.sha1_32(b"x"))
     assert gzip.decompress(warc.member(one)) == one
