@@ -4,16 +4,18 @@ Documents with equal shingle sets are one class first. Every class has a vector
 of minwise tokens. Each of TREES independent trees branches the classes by one
 minwise token; a node that is still large branches again by tokens its own key
 selects, several per level so that similar documents stay together somewhere. A
-small node is compared exhaustively on sketches; candidates are confirmed on full
-shingle sets. A large node whose members resemble each other (most of them choose
-the same tokens) isn't branched further: it is compared in chunks that share some
-pivots, and what that leaves outside its main component is compared with all its
-members, in blocks.
-
-The work goes in two rounds. The first confirms only the edges of a spanning
-forest of each node's candidates, which joins nearly all there is to join. The
-second confirms every candidate pair whose documents are still apart. So copies
-in the thousands aren't expanded into pairs, and no candidate is left out.
+small node is compared exhaustively on sketches, which gives candidate links. A
+large node whose members resemble each other (most of them choose the same tokens)
+isn't branched further: all its members are candidates of each other.
+
+Classes that candidate links join, directly or not, form a group, and every class
+belongs to one group, so its full set is made and shipped once. In a group of up to
+SMALL members everything is compared with everything on full sets, but for rows that
+are joined already. Larger groups go in chunks: first every chunk alone, then with
+the members that had the most links anywhere in the group, which joins copies to the
+text they were made from; what is still apart then is compared completely, within
+every small node and, for alike nodes, with all members in blocks. Pairs are formed
+in the tasks' memory only and never written; none is left out.
 
 Recall: two documents of similarity 0.8 share a tree's first token with
 probability 0.8 and a later level's with 1 - 0.2^BRANCHES, so that 12 trees miss
@@ -23,24 +25,23 @@ below 0.8.
 
 Defined results: documents without words, or with a null text, have an empty set
 and are linked with nothing; rows with a null id are linked with nothing, have
-component_id null and are kept; repeated rows are copies like others; an empty
-table gives an empty table; other columns are ignored (components) or kept
-(drop_near_copies).
+component_id null and are kept; repeated rows are copies like others; rows that
+share an id but not the text are documents of their own; an empty table gives an
+empty table; other columns are ignored (components) or kept (drop_near_copies).
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from guardwalk.llm.arrow import ascii_lower, map_rows
@@ -50,9 +51,10 @@ from guardwalk.session import checkpoint_dir
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WIDTH, PERCENT = 4, 80
 TREES, SKETCH, BRANCHES, DEPTH = 12, 128, 2, 6
-#: Members of a node that is compared at once; chunk and pivots of a large, alike node; side of a block of its rest.
-SMALL, CHUNK, PIVOTS, BLOCK = 512, 128, 32, 128
-SALTS = 128
+#: Members of a node or group that is compared at once, and tokens of their sets together.
+SMALL, TOKENS = 512, 1 << 22
+#: Members of a chunk of a larger group; members of a chunk, and of a group, that meet all its chunks.
+CHUNK, HUBS, PIVOTS = 256, 2, 32
 #: From this mean similarity on a node is alike; from the lower one on if it has at most so many members.
 ALIKE, ALIKE_LOW, LOW_SIZE = 0.5, 0.35, 2048
 #: Members by which a node's mean similarity is estimated; the estimate only chooses between two complete ways.
@@ -117,292 +119,374 @@ def minwise(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n, set_key, roots, sketch): 64 bits per tree's first token, 16 per sketch coordinate."""
+    """(doc_id, digest, n, set_key, roots, sketch): 64 bits per tree's first token, 16 per sketch coordinate.
+
+    `digest` is the text's; id and digest find a row again.
+    """
 
     def make():
         shingle = Shingler(width)
 
-        def one(doc_id, text):
+        def one(doc_id, digest, text):
             s = shingle(text)
             if not len(s):
-                return doc_id, 0, None, None, None
+                return doc_id, digest, 0, None, None, None
             m = minwise(s)
             with np.errstate(over="ignore"):
                 v = _mixed(m)
-            return doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), v[:TREES].tobytes(), (v >> np.uint64(48)).astype(np.uint16).tobytes()
+            return doc_id, digest, len(s), key_of(s), v[:TREES].tobytes(), (v >> np.uint64(48)).astype(np.uint16).tobytes()
 
         return one
 
     kind = dict(docs.dtypes)[id_col]
-    return map_rows(docs, [docs[id_col], docs[text_col]], f"doc_id {kind}, n long, set_key string, roots binary, sketch binary", make)
+    return map_rows(docs, [docs[id_col], text_digest(docs[text_col]), docs[text_col]], f"doc_id {kind}, digest binary, n long, set_key binary, roots binary, sketch binary", make)
 
 
-# ---- comparison inside nodes
+def key_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def forest(m: np.ndarray, n: np.ndarray, bar: float, percent: int, comp: list | None = None, every: bool = False) -> list[tuple[int, int]]:
-    """Candidate pairs of a node: a greatest spanning forest, or every pair whose components differ."""
-    g, pairs = len(m), []
-    for i in range(g - 1):
-        same = (m[i + 1 :] == m[i]).sum(1)
-        lo, hi = np.minimum(n[i + 1 :], n[i]), np.maximum(n[i + 1 :], n[i])
-        for j in np.flatnonzero((same >= bar) & (100 * lo >= percent * hi)):
-            pairs.append((int(same[j]), i, i + 1 + int(j)))
-    if every:
-        return [(i, j) for _, i, j in pairs if comp[i] != comp[j]]
-    up = list(range(g))
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
 
-    out, degree = [], [0] * g
-    for _, i, j in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
-        a, b = top(i), top(j)
-        if a != b:
-            up[a] = b
-            out.append((i, j))
-            degree[i] += 1
-            degree[j] += 1
-    return [(i, j) if degree[i] >= degree[j] else (j, i) for i, j in out]  # the busier end first
+# ---- comparison inside groups
 
 
-def compare_nodes(rows: DataFrame, kind: str, bar: float, percent: int, every: bool = False, parts: int | None = None) -> DataFrame:
-    """Edges (a, b) from (key, rep, n, sketch[, comp, rest]): rows of a key are compared with each other.
+def in_groups(rows: DataFrame, schema: str, work: Callable[[list[tuple]], list[tuple]], parts: int | None = None) -> DataFrame:
+    """`work` on the rows of each `key` (the first column), one group in memory at a time; later rows with a set_key (the second) already held are dropped."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    With `every`, pairs of two rows whose `rest` is false are left out: a block's
-    members need comparing with its rest only.
-    """
-    schema = pa.schema([("a", _arrow(rows, kind)), ("b", _arrow(rows, kind))])
+    out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.sparkSession.createDataFrame([], schema).schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
-        key, a, b = None, [], []
-
-        def flush() -> None:
-            seen: dict = {}
-            for r in held:
-                if r[1] not in seen or (every and r[5]):
-                    seen[r[1]] = r
-            if len(seen) < 2:
-                return
-            group = sorted(seen.values(), key=lambda r: r[1])
-            m = np.frombuffer(b"".join(r[3] for r in group), np.uint16).reshape(len(group), SKETCH)
-            n = np.array([r[2] for r in group])
-            for i, j in forest(m, n, bar, percent, [r[4] for r in group] if every else None, every):
-                if not every or group[i][5] or group[j][5]:
-                    a.append(group[i][1])
-                    b.append(group[j][1])
+        held: dict = {}
+        key, made = None, []
+
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array(list(c), f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=out)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for r in zip(*[c.to_pylist() for c in batch.slice(at, 512).columns], strict=True):
+            for at in range(0, batch.num_rows, 256):
+                for r in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
                     if r[0] != key:
-                        flush()
-                        held, key = [], r[0]
-                    held.append(r)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, schema[0].type), pa.array(b, schema[1].type)], schema=schema)
-                a.clear(), b.clear()
-        flush()
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, schema[0].type), pa.array(b, schema[1].type)], schema=schema)
-
-    columns = ["key", "rep", "n", "sketch"] + ["comp", "rest"] * every
-    dealt = rows.select(*columns).repartition(*([parts] if parts else []), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _arrow(df: DataFrame, kind: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+                        if len(held) > 1:
+                            made += work(list(held.values()))
+                        held, key = {}, r[0]
+                    held.setdefault(r[1], r)
+                if len(made) > 5000:
+                    yield packed()
+        if len(held) > 1:
+            made += work(list(held.values()))
+        if made:
+            yield packed()
+
+    return rows.repartition(*([parts] if parts else []), "key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def spread(labels: list, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Stars (first, other) that join what links join, for rows with different labels.
+
+    A row that is reached is compared with the rows that aren't yet, and with no others,
+    so a group with links all around takes few comparisons. Rows of one label are reached
+    together.
+    """
+    numbers: dict = {}
+    at = np.array([numbers.setdefault(x, len(numbers)) for x in labels])
+    waiting, out = np.ones(len(at), bool), []
+    for first in range(len(at)):
+        if not waiting[first]:
+            continue
+        reached = at == at[first]
+        waiting[reached] = False
+        queue = list(np.flatnonzero(reached))
+        while queue and waiting.any():
+            i = queue.pop()
+            for j in near(int(i), np.flatnonzero(waiting)):
+                if waiting[j]:
+                    out.append((first, int(j)))
+                    more = np.flatnonzero(at == at[j])
+                    waiting[more] = False
+                    queue.extend(more)
+    return out
 
-    return to_arrow_type(df.sparkSession.createDataFrame([], f"x {kind}").schema[0].dataType)
+
+def like(rows: list[tuple], bar: float, percent: int) -> list[tuple]:
+    """Candidate links (a, b) among (key, set_key, n, sketch) by their sketches, as far as they join candidates."""
+    rows = sorted(rows, key=lambda r: r[1])
+    m = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), SKETCH)
+    n = np.array([r[2] for r in rows])
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        some = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+        return some[(m[some] == m[i]).sum(1) >= bar]
+
+    return [(rows[i][1], rows[j][1]) for i, j in spread(range(len(rows)), near)]
+
+
+class Sets:
+    """The full sets of a group's rows (key, set_key, label, tokens), held against each other."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.percent = percent
+        own = [np.frombuffer(r[3], np.uint64) for r in rows]
+        self.n = np.array([len(x) for x in own])
+        flat, times = np.unique(np.concatenate(own), return_counts=True)
+        shared = flat[times > 1]  # a token of one row alone is in no intersection
+        self.ids, self.mark = [], np.zeros(len(shared) + 1, bool)
+        for x in own:
+            i = np.searchsorted(shared, x)
+            i[i == len(shared)] = 0
+            self.ids.append(i[shared[i] == x] if len(shared) else i[:0])
+        self.held = np.array([len(x) for x in self.ids])
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` that are linked with row i: the exact test on full sets."""
+        both = self.n[others] + self.n[i]
+        most = np.minimum(self.held[others], self.held[i])
+        some = others[(most > 0) & (100 * most >= self.percent * (both - most))]
+        if not len(some):
+            return some
+        self.mark[self.ids[i]] = True
+        hits = self.mark[np.concatenate([self.ids[j] for j in some])]
+        self.mark[self.ids[i]] = False
+        starts = np.concatenate([[0], np.cumsum(self.held[some])[:-1]])
+        same = np.add.reduceat(hits, starts, dtype=np.int64)
+        return some[(same > 0) & (100 * same >= self.percent * (self.n[some] + self.n[i] - same))]
+
+
+def joined(rows: list[tuple], percent: int) -> list[tuple]:
+    """(a, b) for rows (key, set_key, label, tokens): what confirmed links join beyond the labels."""
+    rows = sorted(rows, key=lambda r: r[1])
+    s = Sets(rows, percent)
+    return [(rows[i][1], rows[j][1]) for i, j in spread([r[2] for r in rows], s.near)]
+
+
+def with_hubs(rows: list[tuple], percent: int) -> list[tuple]:
+    """As `joined` (links 0), and (a, a, links) for the HUBS rows with the most links."""
+    rows = sorted(rows, key=lambda r: r[1])
+    s, every = Sets(rows, percent), np.arange(len(rows))
+    links = [s.near(i, every) for i in range(len(rows))]
+    top = sorted(range(len(rows)), key=lambda i: -len(links[i]))[:HUBS]
+    stars = [(rows[i][1], rows[j][1], 0) for i, j in spread([r[2] for r in rows], lambda i, _: links[i])]
+    return stars + [(rows[i][1], rows[i][1], len(links[i])) for i in top if len(links[i]) > 1]
 
 
 # ---- components
 
 
-def components(edges: DataFrame) -> DataFrame:
+class Tables:
+    """Intermediate results as Parquet under one folder of the shared one: a plan that reads them holds nothing of those that made them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}", 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component): the least node reachable, by alternating large and small stars until only stars are left."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()  # u > v
+    cut = cut or Tables(edges.sparkSession).cut
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())  # u > v
     while True:
-        n = e.count()
-        sides = e.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("v", F.lit(0), F.lit(1)))
-        open_ = sides.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 OR below > 0 AND above > 0")
-        if not n or open_.isEmpty():
+        sides = e.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above"), F.lit(1).alias("edges")).union(e.select("v", F.lit(0), F.lit(1), F.lit(0)))
+        ends = sides.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"), F.sum("edges").alias("edges"))
+        n, undone = ends.agg(F.coalesce(F.sum("edges"), F.lit(0)), F.count_if((F.col("below") > 1) | (F.col("below") > 0) & (F.col("above") > 0))).first()
+        if not undone:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"), "d")
         large = join_facts(both.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], m, "d", 2 * n)
-        l = large.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        l = cut(large.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         below = l.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumnRenamed("u", "k")
         small = join_facts(l.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], below, "d", n)
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        e = small.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter("u <> v").distinct().checkpoint()
-        release(e)
+        e = cut(small.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter("u <> v").distinct())
 
 
 # ---- the join
 
 
-def release(df: DataFrame) -> None:
-    """Let go of what finished rounds hold: Spark drops shuffle files, broadcasts and checkpoints only as the driver collects garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
-def grow(reps: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:
-    """(small nodes, large alike nodes), as (key, rep, cnt): every tree's leaves with two members or more."""
+def grow(reps: DataFrame, total: int, cut: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(small nodes, large alike nodes), as (key, set_key, cnt): every tree's leaves with two members or more."""
     roots = F.array(*[F.xxhash64(F.lit(t), F.substring("roots", 8 * t + 1, 8)) for t in range(TREES)])
-    first = reps.select("rep", F.explode(roots).alias("key"))
+    first = reps.select("set_key", F.explode(roots).alias("key"))
 
     def with_count(rows: DataFrame, size: int) -> DataFrame:
         c = rows.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1")
-        return join_facts(rows, "key", [F.col("rep")], c, "cnt", size).filter("cnt > 1")
+        return join_facts(rows, "key", [F.col("set_key")], c, "cnt", size).filter("cnt > 1")
 
-    nodes = with_count(first, TREES * total).checkpoint()
-    release(reps)
-    small, alike, big = [nodes.filter(F.col("cnt") <= SMALL).select("key", "rep", "cnt")], [], nodes.filter(F.col("cnt") > SMALL)
+    leaf = ["key", "set_key", "cnt"]
+    nodes = cut(with_count(first, TREES * total))
+    small, alike, big = [nodes.filter(F.col("cnt") <= SMALL).select(leaf)], [], nodes.filter(F.col("cnt") > SMALL)
     for level in range(1, DEPTH + 1):
         size = big.count()
         if not size:
             break
         if level == DEPTH:
-            alike.append(big.select("key", "rep", "cnt"))
+            alike.append(big.select(leaf))
             break
-        told = big.join(reps.select("rep", "sketch").hint("shuffle_hash"), "rep")
+        if level == 1:
+            big = cut(big.join(reps.select("set_key", "sketch").hint("shuffle_hash"), "set_key"))
         token = lambda j: F.substring(F.col("sketch"), 2 * F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SKETCH)).cast("int") + 1, F.lit(2))
         branch = F.explode(F.array(*[F.xxhash64("key", F.lit(j), F.lit(level), token(j)) for j in range(BRANCHES)])).alias("child")
         # pairs of the probe that choose the same token estimate the members' mean similarity
-        probe = told.filter(F.pmod(F.xxhash64("rep", "key", F.lit(level)), F.col("cnt")) < PROBE)
+        probe = big.filter(F.pmod(F.xxhash64("set_key", "key", F.lit(level)), F.col("cnt")) < PROBE)
         picks = probe.select("key", "cnt", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), token(j + BRANCHES).alias("v")) for j in range(4)])).alias("p"))
         same = picks.groupBy("key", "cnt", "p").agg(F.count("*").alias("n")).groupBy("key", "cnt", "p.j").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("m"))
-        like = F.sum("same") / F.greatest(F.sum(F.col("m") * (F.col("m") - 1)), F.lit(1))
-        route = same.groupBy("key", "cnt").agg(like.alias("like")).select("key", F.col("cnt").alias("n_node"), ((F.col("like") >= ALIKE) | (F.col("like") >= ALIKE_LOW) & (F.col("cnt") <= LOW_SIZE)).alias("dense"))
-        routed = join_facts(told, "key", [F.col("rep")], route, "n_node", size).select("key", "rep", "cnt", "sketch", F.coalesce("dense", F.lit(False)).alias("dense")).checkpoint()
-        alike.append(routed.filter("dense").select("key", "rep", "cnt"))
-        kids = with_count(routed.filter("NOT dense").select("rep", branch).withColumnRenamed("child", "key"), BRANCHES * size).checkpoint()
-        small.append(kids.filter(F.col("cnt") <= SMALL).select("key", "rep", "cnt"))
-        big = kids.filter(F.col("cnt") > SMALL)
-        release(reps)
-    # Written once each, so that the plans that read them stay small: the driver holds every plan, and each change to it, as text.
-    return reduce(DataFrame.union, small).select("key", "rep").checkpoint(), reduce(DataFrame.union, alike).checkpoint() if alike else None
-
-
-def chunked(alike: DataFrame) -> DataFrame:
-    """(key, rep): chunks of large nodes, each with all the node's pivots."""
-    chunks = F.ceil(F.col("cnt") / CHUNK)
-    own = alike.select(F.xxhash64("key", F.pmod(F.xxhash64("key", "rep"), chunks)).alias("key"), "rep")
-    pivots = alike.filter(F.pmod(F.xxhash64("rep", "key", F.lit(1)), F.col("cnt")) < PIVOTS)
-    return own.union(pivots.select("key", "rep", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("c")).select(F.xxhash64("key", "c").alias("key"), "rep"))
-
-
-def confirm(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked): the edges held against both full shingle sets.
-
-    The text of an end with many edges goes to SALTS groups at most, each with a part
-    of its edges, so that no task gets them all.
-    """
-    e = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    a = e.select("a", "s").distinct().join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    b = e.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(a, ["a", "s"])
+        mean = F.sum("same") / F.greatest(F.sum(F.col("m") * (F.col("m") - 1)), F.lit(1))
+        route = same.groupBy("key", "cnt").agg(mean.alias("mean")).select("key", F.col("cnt").alias("n_node"), ((F.col("mean") >= ALIKE) | (F.col("mean") >= ALIKE_LOW) & (F.col("cnt") <= LOW_SIZE)).alias("dense"))
+        routed = cut(join_facts(big, "key", [F.col("set_key")], route, "n_node", size).select(*leaf, "sketch", F.coalesce("dense", F.lit(False)).alias("dense")))
+        alike.append(routed.filter("dense").select(leaf))
+        kids = cut(with_count(routed.filter("NOT dense").select("set_key", "sketch", branch).withColumnRenamed("child", "key"), BRANCHES * size))
+        small.append(kids.filter(F.col("cnt") <= SMALL).select(leaf))
+        big = kids.filter(F.col("cnt") > SMALL).select(*leaf, "sketch")
+    none = nodes.filter(F.lit(False)).select(leaf)
+    return cut(reduce(DataFrame.union, small)), cut(reduce(DataFrame.union, alike, none))
 
-    def make():
-        shingle, last = Shingler(width), [None, None]
 
-        def one(a_, b_, text_a, text_b):
-            if last[0] != a_ or last[1] is None:
-                last[0], last[1] = a_, shingle(text_a)
-            x, y = last[1], shingle(text_b)
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            return a_, b_, bool(same) and 100 * same >= percent * (len(x) + len(y) - same)
+def rooted(stars: DataFrame) -> DataFrame:
+    """Stars (node, component) with a row of its own for every component's root."""
+    return stars.union(stars.select("component", "component").distinct())
 
-        return one
 
-    kind = dict(edges.dtypes)["a"]
-    return map_rows(both, [both["a"], both["b"], both["text_a"], both["text_b"]], f"a {kind}, b {kind}, linked boolean", make)
+def candidates(reps: DataFrame, small: DataFrame, alike: DataFrame, percent: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(set_key, rep, digest, cc, members, chunks): classes that candidate links join, and how many chunks their group takes.
 
+    Members of a small node are candidates of each other by their sketches, members of
+    a large alike node all of them. Only classes of one group need comparing.
+    """
+    bar = SKETCH * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5)
+    told = small.select("key", "set_key").join(reps.select("set_key", "n", "sketch").hint("shuffle_hash"), "set_key").select("key", "set_key", "n", "sketch")
+    edges = in_groups(told, "a binary, b binary", lambda rows: like(rows, bar, percent))
+    least = alike.groupBy("key").agg(F.min("set_key").alias("b"), F.count("*").alias("n_node"))
+    stars = join_facts(alike, "key", [F.col("set_key")], least, "n_node", alike.count()).select(F.col("set_key").alias("a"), "b")
+    groups = rooted(components(edges.union(stars), cut))
+    named = cut(groups.withColumnRenamed("component", "cc").join(reps.select("set_key", "rep", "digest", "n").hint("shuffle_hash"), F.col("node") == F.col("set_key")).drop("node"))
+    sizes = named.groupBy("cc").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    chunks = F.when((F.col("members") <= SMALL) & (F.col("tokens") <= TOKENS), 1).otherwise(F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(2 * F.col("tokens") / TOKENS), F.lit(2)))
+    facts = sizes.select("cc", "members", chunks.cast("long").alias("chunks"))
+    return join_facts(named.select("set_key", "rep", "digest", "cc"), "cc", [F.col("set_key")], facts, "members", named.count())
 
-def once_each(edges: DataFrame) -> DataFrame:
-    """Each unordered pair once, in one of its directions."""
-    return edges.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
+def chunk_of(salt: int) -> Column:
+    return F.pmod(F.xxhash64("set_key", F.lit(salt)), F.col("chunks"))
 
-def rest_blocks(alike: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, rep, comp, rest): blocks in which what lies outside a node's main component meets all members."""
-    with_comp = alike.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "cnt", F.coalesce("component", "rep").alias("comp")).checkpoint()
-    per = with_comp.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    open_ = main.filter(F.col("most") < F.col("all")).select(F.col("key").alias("okey"), "main", (F.col("all") - F.col("most")).alias("n_rest"), F.col("all").alias("n_all"))
-    m = join_facts(with_comp, "key", [F.col("rep")], open_.withColumnRenamed("okey", "key"), "n_all", alike.count()).filter(F.col("main").isNotNull()).checkpoint()
-    rows, cols = F.ceil(F.col("n_rest") / BLOCK), F.ceil(F.col("cnt") / CHUNK)
-    at = lambda n: F.pmod(F.xxhash64("key", "rep", F.lit(2)), n)
-    rest = m.filter("comp <> main").withColumn("i", at(rows)).select("key", "rep", "comp", "i", F.explode(F.sequence(F.lit(0).cast("long"), cols - 1)).alias("j"), F.lit(True).alias("rest"))
-    every = m.withColumn("j", at(cols)).select("key", "rep", "comp", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("i"), "j", F.lit(False).alias("rest"))
-    return rest.unionByName(every).select(F.xxhash64("key", "i", "j").alias("key"), "rep", "comp", "rest")
+
+def large_links(large: DataFrame, small: DataFrame, alike: DataFrame, percent: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): what confirmed links join within the groups of several chunks (set_key, cc, members, chunks, tokens).
+
+    First every chunk alone, which also gives the members with the most links; then the
+    chunks with those of the whole group, which joins near copies to the text they were
+    made from. What that leaves apart is compared completely: within every small node,
+    and between all members of alike nodes in blocks, pairs of one component left out.
+    """
+    inside = large.select(F.xxhash64("cc", chunk_of(1)).alias("key"), "set_key", F.col("set_key").alias("label"), "tokens")
+    first = cut(in_groups(inside, "a binary, b binary, links long", lambda rows: with_hubs(rows, percent)))
+    hubs = first.filter("links > 0").select(F.col("a").alias("hub"), "links")
+    bare = large.select("set_key", "cc", "members", "chunks")
+    ranked = hubs.join(bare.dropDuplicates(["set_key"]), F.col("hub") == F.col("set_key")).select("set_key", "cc", "chunks", "links")
+    top = ranked.withColumn("at", F.row_number().over(Window.partitionBy("cc").orderBy(F.desc("links"), "set_key"))).filter(F.col("at") <= PIVOTS)
+    labels = rooted(components(first.filter("links = 0").select("a", "b"), cut))
+    told = cut(large.join(labels.hint("shuffle_hash"), F.col("set_key") == F.col("node"), "left").select("set_key", "cc", "members", "chunks", "tokens", F.coalesce("component", "set_key").alias("label")))
+    pivots = top.select("set_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c")).join(told.select("set_key", "cc", "label", "tokens"), "set_key")
+    again = told.select(F.xxhash64("cc", chunk_of(1)).alias("key"), "set_key", "label", "tokens").union(pivots.select(F.xxhash64("cc", "c"), "set_key", "label", "tokens"))
+    links = cut(first.filter("links = 0").select("a", "b").union(in_groups(again, "a binary, b binary", lambda rows: joined(rows, percent))))
+    labels = rooted(components(links, cut))
+    now = cut(told.drop("label").join(labels.hint("shuffle_hash"), F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("component", "set_key")).drop("node", "component"))
+    per = now.select("set_key", "cc", "label").distinct().groupBy("cc", "label").agg(F.count("*").alias("n"))
+    main = per.groupBy("cc").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n_cc")).filter("labels > 1")
+    open_ = cut(join_facts(now.drop("chunks"), "cc", [F.col("set_key")], main, "n_cc", now.count()).filter("labels > 1"))
+    if open_.isEmpty():
+        return links
+    # members of one small node that are still apart
+    bare = open_.select("set_key", "cc", "label").distinct()
+    sized = cut(small.select(F.col("key").alias("node"), "set_key").join(bare.hint("shuffle_hash"), "set_key").withColumn("key", F.xxhash64("node", "cc")).drop("node"))
+    split = sized.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    left = sized.join(split.hint("shuffle_hash"), "key").select("key", "set_key").join(open_.select("set_key", "label", "tokens"), "set_key").select("key", "set_key", "label", "tokens")
+    # members of alike nodes: those outside the main component against all
+    near = open_.join(alike.select("set_key").distinct().hint("shuffle_hash"), "set_key", "left_semi").withColumn("rest", F.col("label") != F.col("main"))
+    counts = near.select("set_key", "cc", "rest").distinct().groupBy("cc").agg(F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")).filter("n_rest > 0")
+    dealt = cut(join_facts(near, "cc", [F.col("set_key")], counts, "n_all", open_.count()).filter("n_rest > 0"))
+    rows, cols = F.ceil(F.col("n_rest") / CHUNK), F.ceil(F.col("n_all") / CHUNK)
+    at = lambda n: F.pmod(F.xxhash64("set_key", F.lit(2)), n)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    some = dealt.filter("rest").select("cc", "set_key", "label", "tokens", at(rows).alias("i"), upto(cols).alias("j"))
+    every = dealt.select("cc", "set_key", "label", "tokens", upto(rows).alias("i"), at(cols).alias("j"))
+    blocks = some.union(every).select(F.xxhash64("cc", "i", "j").alias("key"), "set_key", "label", "tokens")
+    return links.union(in_groups(left.union(blocks), "a binary, b binary", lambda rows: joined(rows, percent)))
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(doc_id, digest, n, root, component_id): every row's class of near copies; no root without words or id."""
+    t = Tables(docs.sparkSession)
+    cut = t.cut
+    sets = cut(sketches(docs, id_col, text_col, width))
+    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "digest", "n", "roots", "sketch")).alias("m"), F.count("*").alias("copies"))
+    reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.digest", "m.n", "m.roots", "m.sketch", "copies"))
+    small, alike = grow(reps, reps.count(), cut)
+    found = cut(candidates(reps, small, alike, percent, cut))
+    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    held = texts.join(found.withColumnRenamed("digest", "_d").hint("shuffle_hash"), (F.col("_id") == F.col("rep")) & (text_digest(F.col("_text")) == F.col("_d")))
+
+    def make():
+        shingle = Shingler(width)
+        return lambda set_key, cc, members, chunks, text: (set_key, cc, members, chunks, shingle(text).tobytes())
+
+    wanted = [held[c] for c in ("set_key", "cc", "members", "chunks", "_text")]
+    full = cut(map_rows(held, wanted, "set_key binary, cc binary, members long, chunks long, tokens binary", make))
+    alone = full.filter("chunks = 1").select(F.col("cc").alias("key"), "set_key", F.col("set_key").alias("label"), "tokens")
+    links = in_groups(alone, "a binary, b binary", lambda rows: joined(rows, percent))
+    large = full.filter("chunks > 1")
+    if not large.isEmpty():
+        links = links.union(large_links(large, small, alike, percent, cut))
+    stars = rooted(components(links, cut)).withColumnRenamed("component", "root")
+    mine = cut(reps.select("set_key", "rep", "copies").join(stars.hint("shuffle_hash"), F.col("set_key") == F.col("node"), "left").drop("node").filter("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "set_key")))
+    least = mine.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("n_classes"))
+    facts = join_facts(mine, "root", [F.col("set_key")], least, "n_classes", mine.count()).select("set_key", "root", "component", "copies")
+    linked = F.col("doc_id").isNotNull() & F.col("set_key").isNotNull()
+    alone_key = F.encode(F.concat_ws(":", F.lit("none"), F.col("doc_id").cast("string"), F.spark_partition_id().cast("string")), "utf-8")  # spread over tasks
+    rows = sets.select("doc_id", "digest", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("own"), F.when(linked, F.col("set_key")).otherwise(alone_key).alias("set_key"))
+    j = join_facts(rows, "set_key", [F.col("doc_id")], facts, "copies", rows.count())
+    lone = F.col("own").isNull()
+    out = j.select("doc_id", "digest", "n", F.when(~lone, F.coalesce("root", "own")).alias("root"), F.when(lone, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id")).checkpoint()
+    t.drop()
+    return out
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document."""
-    spark = docs.sparkSession
-    folder = f"{checkpoint_dir(spark)}/neardup-{uuid.uuid4().hex}"
-    kind = dict(docs.dtypes)[id_col]
-    bar = SKETCH * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5)
-    sets = sketches(docs, id_col, text_col, width).checkpoint()
-    linked_ones = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = linked_ones.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "roots", "sketch")).alias("m"), F.count("*").alias("copies"))
-    reps = classes.select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.roots").alias("roots"), F.col("m.sketch").alias("sketch"), "copies").checkpoint()
-    total = reps.count()
-    small, alike = grow(reps, total)
-    sk = reps.select("rep", "n", "sketch")
-    sketch_of = lambda rows: rows.join(sk.hint("shuffle_hash"), "rep")
-    nodes = small
-    if alike is not None:
-        nodes = nodes.union(chunked(alike))
-    edges = once_each(compare_nodes(sketch_of(nodes), kind, bar, percent)).checkpoint()
-    release(docs)
-    wanted = edges.select(F.col("a").alias("rep")).union(edges.select(F.col("b").alias("rep")))
-    if alike is not None:
-        wanted = wanted.union(alike.select("rep"))
-    wanted = wanted.distinct().select(F.col("rep").alias("_rep"))
-    # a class's texts give the same set, so any copy with the id will do for repeated ids
-    texts = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("text")).join(wanted.hint("shuffle_hash"), F.col("rep") == F.col("_rep")).drop("_rep")
-    texts.write.parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts").dropDuplicates(["rep"])  # repeated rows
-    told = confirm(edges, texts, width, percent).checkpoint()
-    comps = components(told.filter("linked")).checkpoint()
-    release(docs)
-    # second round: pairs that are still apart
-    sized = small.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")).checkpoint()
-    split = sized.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    left = sized.join(split.hint("shuffle_hash"), "key").withColumn("rest", F.lit(True))
-    if alike is not None:
-        left = left.unionByName(rest_blocks(alike, comps))
-    release(docs)
-    apart = once_each(compare_nodes(sketch_of(left.checkpoint()), kind, bar, percent, every=True))
-    seen = told.filter("NOT linked").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    fresh = apart.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti").checkpoint()
-    release(docs)
-    if not fresh.isEmpty():
-        more = confirm(fresh, texts, width, percent).filter("linked").select("a", "b")
-        comps = components(told.filter("linked").select("a", "b").union(more)).checkpoint()
-    facts = reps.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"), "copies")
-    rows = sets.select("doc_id", "n", F.coalesce("set_key", F.concat(F.lit("none:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.spark_partition_id().cast("string"))).alias("set_key"))
-    j = join_facts(rows, "set_key", [F.col("doc_id")], facts, "copies", total)
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    out = j.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).checkpoint()
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return out
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return classified(docs, id_col, text_col, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each group (the least id) with all its columns; documents without words or id stay."""
-    kept = components_of(docs, id_col, text_col, width, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_key"))
-    return row.join(kept.hint("shuffle_hash"), F.col("_key") == F.col("_id"), "left").filter("_id IS NOT NULL OR _key IS NULL").select("_row.*")
+    """One row of each group (the least id; of its rows the one with the least text digest, then the least one) with all its columns.
+
+    Rows without words or without id stay, all of them.
+    """
+    told = classified(docs, id_col, text_col, width, percent).filter("doc_id IS NOT NULL")
+    first = told.filter("root IS NOT NULL AND doc_id = component_id").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("rows"))
+    one = first.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "rows")).alias("m")).select("m.*")
+    lone = told.filter("root IS NULL").select("doc_id", "digest", F.lit(1).cast("long").alias("rows")).distinct()
+    keep = one.union(lone).checkpoint().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept"), F.col("rows").alias("_rows"))
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_key"), text_digest(docs[text_col]).alias("_digest"))
+    met = row.join(keep.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left")
+    out = met.filter("_rows = 1 OR _key IS NULL").select("_row")
+    if not keep.filter("_rows > 1").isEmpty():
+        by = F.struct(*[F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+        out = out.union(met.filter("_rows > 1").groupBy("_key", "_digest").agg(F.min_by("_row", by).alias("_row")).select("_row"))
+    return out.select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -304,7 +304,7 @@ def test_near_copies_odd(spark):
 
 def test_large_groups_and_chains(spark, monkeypatch):
     """A group larger than a node, whose members resemble their base more than each other, a chain, and a common passage."""
-    for name, n in (("SMALL", 24), ("CHUNK", 16), ("PIVOTS", 6), ("BLOCK", 12), ("PROBE", 12), ("LOW_SIZE", 60), ("DEPTH", 3)):
+    for name, n in (("SMALL", 24), ("CHUNK", 16), ("PIVOTS", 6), ("PROBE", 12), ("LOW_SIZE", 60), ("DEPTH", 3)):
         monkeypatch.setattr(neardup, name, n)
     r = random.Random(9)
     base = prose(300, 11).split()
