@@ -2,9 +2,8 @@
 
 Documents with equal shingle sets are one class first. Every class has a vector
 of minwise tokens. Each of TREES independent trees branches the classes by one
-minwise token; a node that is still large branches again by tokens its own key
-selects, several per level so that similar documents stay together somewhere. A
-small node is compared exhaustively on sketches, which gives candidate links. A
+minwise token; a node that is still large branches again by a minwise token that
+its own key selects. A small node is compared exhaustively on sketches, which gives candidate links. A
 large node whose members resemble each other (most of them choose the same tokens)
 isn't branched further: all its members are candidates of each other.
 
@@ -17,11 +16,13 @@ text they were made from; what is still apart then is compared completely, withi
 every small node and, for alike nodes, with all members in blocks. Pairs are formed
 in the tasks' memory only and never written; none is left out.
 
-Recall: two documents of similarity 0.8 share a tree's first token with
-probability 0.8 and a later level's with 1 - 0.2^BRANCHES, so that 12 trees miss
-a pair of small nodes with 0.2^12 = 4e-9, and with five further levels with
-(1 - 0.8 * 0.96^5)^12 = 3e-6; the sketches' bar lies five standard deviations
-below 0.8.
+Recall: two documents of similarity 0.8 share a token with probability 0.8, so 16
+trees miss a pair of small nodes with 0.2^16 = 7e-12. Where a passage that very
+many documents share makes half of both, a tree keeps the pair in a small node
+through other tokens with 0.3, or with 0.5 * 0.8^d behind d levels: after two levels
+all trees miss it with 2e-7, after five with 5e-5. Documents of which such a passage
+makes more resemble each other, and their nodes are alike. The sketches' bar lies
+five standard deviations below 0.8.
 
 Defined results: documents without words, or with a null text, have an empty set
 and are linked with nothing; rows with a null id are linked with nothing, have
@@ -50,7 +51,7 @@ from guardwalk.session import checkpoint_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WIDTH, PERCENT = 4, 80
-TREES, SKETCH, BRANCHES, DEPTH = 12, 128, 2, 6
+TREES, SKETCH, DEPTH = 16, 128, 6
 #: Members of a node or group that is compared at once, and tokens of their sets together.
 SMALL, TOKENS = 512, 1 << 22
 #: Members of a chunk of a larger group; members of a chunk, and of a group, that meet all its chunks.
@@ -307,7 +308,7 @@ def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] | None =
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"), "d")
         large = join_facts(both.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], m, "d", 2 * n)
-        l = cut(large.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        l = large.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = l.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumnRenamed("u", "k")
         small = join_facts(l.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], below, "d", n)
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
@@ -317,8 +318,8 @@ def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] | None =
 # ---- the join
 
 
-def grow(reps: DataFrame, total: int, cut: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(small nodes, large alike nodes), as (key, set_key, cnt): every tree's leaves with two members or more."""
+def grow(reps: DataFrame, total: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, set_key, cnt, dense): every tree's leaves with two members or more, small ones and large alike (dense) ones."""
     roots = F.array(*[F.xxhash64(F.lit(t), F.substring("roots", 8 * t + 1, 8)) for t in range(TREES)])
     first = reps.select("set_key", F.explode(roots).alias("key"))
 
@@ -328,31 +329,29 @@ def grow(reps: DataFrame, total: int, cut: Callable[[DataFrame], DataFrame]) ->
 
     leaf = ["key", "set_key", "cnt"]
     nodes = cut(with_count(first, TREES * total))
-    small, alike, big = [nodes.filter(F.col("cnt") <= SMALL).select(leaf)], [], nodes.filter(F.col("cnt") > SMALL)
+    done, big = [nodes.filter(F.col("cnt") <= SMALL).select(*leaf, F.lit(False).alias("dense"))], nodes.filter(F.col("cnt") > SMALL)
     for level in range(1, DEPTH + 1):
         size = big.count()
         if not size:
             break
         if level == DEPTH:
-            alike.append(big.select(leaf))
+            done.append(big.select(*leaf, F.lit(True)))
             break
         if level == 1:
             big = cut(big.join(reps.select("set_key", "sketch").hint("shuffle_hash"), "set_key"))
         token = lambda j: F.substring(F.col("sketch"), 2 * F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SKETCH)).cast("int") + 1, F.lit(2))
-        branch = F.explode(F.array(*[F.xxhash64("key", F.lit(j), F.lit(level), token(j)) for j in range(BRANCHES)])).alias("child")
+        child = F.xxhash64("key", F.lit(level), token(0))
         # pairs of the probe that choose the same token estimate the members' mean similarity
         probe = big.filter(F.pmod(F.xxhash64("set_key", "key", F.lit(level)), F.col("cnt")) < PROBE)
-        picks = probe.select("key", "cnt", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), token(j + BRANCHES).alias("v")) for j in range(4)])).alias("p"))
+        picks = probe.select("key", "cnt", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), token(j + 1).alias("v")) for j in range(4)])).alias("p"))
         same = picks.groupBy("key", "cnt", "p").agg(F.count("*").alias("n")).groupBy("key", "cnt", "p.j").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("m"))
         mean = F.sum("same") / F.greatest(F.sum(F.col("m") * (F.col("m") - 1)), F.lit(1))
         route = same.groupBy("key", "cnt").agg(mean.alias("mean")).select("key", F.col("cnt").alias("n_node"), ((F.col("mean") >= ALIKE) | (F.col("mean") >= ALIKE_LOW) & (F.col("cnt") <= LOW_SIZE)).alias("dense"))
-        routed = cut(join_facts(big, "key", [F.col("set_key")], route, "n_node", size).select(*leaf, "sketch", F.coalesce("dense", F.lit(False)).alias("dense")))
-        alike.append(routed.filter("dense").select(leaf))
-        kids = cut(with_count(routed.filter("NOT dense").select("set_key", "sketch", branch).withColumnRenamed("child", "key"), BRANCHES * size))
-        small.append(kids.filter(F.col("cnt") <= SMALL).select(leaf))
-        big = kids.filter(F.col("cnt") > SMALL).select(*leaf, "sketch")
-    none = nodes.filter(F.lit(False)).select(leaf)
-    return cut(reduce(DataFrame.union, small)), cut(reduce(DataFrame.union, alike, none))
+        routed = join_facts(big, "key", [F.col("set_key")], route, "n_node", size).withColumn("dense", F.coalesce("dense", F.lit(False)))
+        kids = cut(with_count(routed.select("set_key", "sketch", "dense", F.when(F.col("dense"), F.col("key")).otherwise(child).alias("key")), size))
+        done.append(kids.filter((F.col("cnt") <= SMALL) | F.col("dense")).select(*leaf, "dense"))
+        big = kids.filter((F.col("cnt") > SMALL) & ~F.col("dense")).select(*leaf, "sketch")
+    return cut(reduce(DataFrame.union, done))
 
 
 def rooted(stars: DataFrame) -> DataFrame:
@@ -397,27 +396,27 @@ def large_links(large: DataFrame, small: DataFrame, alike: DataFrame, percent: i
     bare = large.select("set_key", "cc", "members", "chunks")
     ranked = hubs.join(bare.dropDuplicates(["set_key"]), F.col("hub") == F.col("set_key")).select("set_key", "cc", "chunks", "links")
     top = ranked.withColumn("at", F.row_number().over(Window.partitionBy("cc").orderBy(F.desc("links"), "set_key"))).filter(F.col("at") <= PIVOTS)
-    labels = rooted(components(first.filter("links = 0").select("a", "b"), cut))
-    told = cut(large.join(labels.hint("shuffle_hash"), F.col("set_key") == F.col("node"), "left").select("set_key", "cc", "members", "chunks", "tokens", F.coalesce("component", "set_key").alias("label")))
+    labels = first.filter("links = 0").select(F.col("b").alias("node"), "a")  # chunks don't overlap, nor do their stars
+    told = cut(large.join(labels.hint("shuffle_hash"), F.col("set_key") == F.col("node"), "left").select("set_key", "cc", "members", "chunks", "tokens", F.coalesce("a", "set_key").alias("label")))
     pivots = top.select("set_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c")).join(told.select("set_key", "cc", "label", "tokens"), "set_key")
     again = told.select(F.xxhash64("cc", chunk_of(1)).alias("key"), "set_key", "label", "tokens").union(pivots.select(F.xxhash64("cc", "c"), "set_key", "label", "tokens"))
     links = cut(first.filter("links = 0").select("a", "b").union(in_groups(again, "a binary, b binary", lambda rows: joined(rows, percent))))
     labels = rooted(components(links, cut))
-    now = cut(told.drop("label").join(labels.hint("shuffle_hash"), F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("component", "set_key")).drop("node", "component"))
+    now = told.drop("label").join(labels.hint("shuffle_hash"), F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("component", "set_key")).drop("node", "component")
     per = now.select("set_key", "cc", "label").distinct().groupBy("cc", "label").agg(F.count("*").alias("n"))
     main = per.groupBy("cc").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n_cc")).filter("labels > 1")
-    open_ = cut(join_facts(now.drop("chunks"), "cc", [F.col("set_key")], main, "n_cc", now.count()).filter("labels > 1"))
+    open_ = cut(join_facts(now.drop("chunks"), "cc", [F.col("set_key")], main, "n_cc", told.count()).filter("labels > 1"))
     if open_.isEmpty():
         return links
     # members of one small node that are still apart
     bare = open_.select("set_key", "cc", "label").distinct()
-    sized = cut(small.select(F.col("key").alias("node"), "set_key").join(bare.hint("shuffle_hash"), "set_key").withColumn("key", F.xxhash64("node", "cc")).drop("node"))
+    sized = small.select(F.col("key").alias("node"), "set_key").join(bare.hint("shuffle_hash"), "set_key").withColumn("key", F.xxhash64("node", "cc")).drop("node")
     split = sized.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     left = sized.join(split.hint("shuffle_hash"), "key").select("key", "set_key").join(open_.select("set_key", "label", "tokens"), "set_key").select("key", "set_key", "label", "tokens")
     # members of alike nodes: those outside the main component against all
     near = open_.join(alike.select("set_key").distinct().hint("shuffle_hash"), "set_key", "left_semi").withColumn("rest", F.col("label") != F.col("main"))
     counts = near.select("set_key", "cc", "rest").distinct().groupBy("cc").agg(F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")).filter("n_rest > 0")
-    dealt = cut(join_facts(near, "cc", [F.col("set_key")], counts, "n_all", open_.count()).filter("n_rest > 0"))
+    dealt = join_facts(near, "cc", [F.col("set_key")], counts, "n_all", open_.count()).filter("n_rest > 0")
     rows, cols = F.ceil(F.col("n_rest") / CHUNK), F.ceil(F.col("n_all") / CHUNK)
     at = lambda n: F.pmod(F.xxhash64("set_key", F.lit(2)), n)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -434,8 +433,9 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     sets = cut(sketches(docs, id_col, text_col, width))
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "digest", "n", "roots", "sketch")).alias("m"), F.count("*").alias("copies"))
     reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.digest", "m.n", "m.roots", "m.sketch", "copies"))
-    small, alike = grow(reps, reps.count(), cut)
-    found = cut(candidates(reps, small, alike, percent, cut))
+    leaves = grow(reps, reps.count(), cut)
+    small, alike = leaves.filter("NOT dense"), leaves.filter("dense")
+    found = candidates(reps, small, alike, percent, cut)
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     held = texts.join(found.withColumnRenamed("digest", "_d").hint("shuffle_hash"), (F.col("_id") == F.col("rep")) & (text_digest(F.col("_text")) == F.col("_d")))
 
