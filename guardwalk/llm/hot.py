@@ -13,17 +13,18 @@ def is_hot(count: str, total: int) -> Column:
     return F.col(count) * HOT_SHARE >= max(total, HOT_SHARE * 8)
 
 
-def join_facts(rows: DataFrame, key: str, spread: list[Column], facts: DataFrame, count: str, total: int, drop_when_hot: dict[str, Column] | None = None) -> DataFrame:
+def join_facts(rows: DataFrame, key: str, spread: list[Column], facts: DataFrame, count: str, total: int, drop_when_hot: dict[str, Column] | None = None, small: Column | None = None) -> DataFrame:
     """Left join `facts` (one row per `key`, with its group's size in `count`) to `rows`.
 
     Groups of total / HOT_SHARE rows or more are at most HOT_SHARE, so their facts
     are broadcast; their rows then take a key of their own (from `spread`) in the
     shuffle that joins the rest, and don't meet in one task. `drop_when_hot` replaces
-    columns of hot rows before that shuffle, in terms of the facts' columns.
+    columns of hot rows before that shuffle, in terms of the facts' columns. Facts that
+    aren't `small` aren't broadcast; Spark splits their rows where they are skewed.
     """
     facts = facts.withColumnRenamed(key, "_k")
     names = [c for c in facts.columns if c != "_k"]
-    large = is_hot(count, total)
+    large = is_hot(count, total) if small is None else is_hot(count, total) & small
     hot = facts.filter(large).select("_k", *[F.col(c).alias(f"_h_{c}") for c in names])
     a = rows.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left")
     met = F.col("_k").isNotNull()
