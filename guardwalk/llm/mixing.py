@@ -6,8 +6,8 @@ the output shards, half of a node's shards drawing their blocks from the node's
 quotas without return, so every shard gets its exact share and the sources' parts
 in it are as random as a full shuffle would make them. A source's draws then run
 through a keyed permutation of its blocks, epoch by epoch, and consecutive ranges
-of draws go to consecutive shards: no two shards draw the same block of an epoch.
-Within a shard, `order_key` shuffles.
+of draws go to consecutive shards, as long as the tree says: no two shards draw the
+same block of an epoch. Within a shard, `order_key` shuffles (write_mix).
 
 Whole documents (mixed_documents) are not drawn by blocks: a source's documents with
 words stand in the order of their lengths (to four leading bits, there dealt over
@@ -18,13 +18,14 @@ meet its target to about its longest document.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, the last; null ids and repeated rows are documents like any
-other; an empty table gives an empty mix; other columns are ignored (draw) or
+other; an empty table gives an empty mix; the driver holds one row per source; other columns are ignored (draw) or
 kept (mixed_documents).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -40,13 +41,14 @@ SHARDS = 16
 BUCKETS = 4096
 #: Cells that documents of like length are dealt over when whole ones are drawn.
 CELLS = 256
-#: Longest block in words; sources with fewer than 1024 blocks of it get shorter ones.
+#: Longest block in words, unless there were more than MOST_BLOCKS of them; sources with fewer than 1024 blocks get
+#: shorter ones.
 BLOCK = 64
+MOST_BLOCKS = 1 << 28
 FINEST = 1024
 CAP = 3
-#: Sources whose plan rows may be broadcast, and sources the driver plans at all.
+#: Sources whose plan rows may be broadcast.
 BROADCAST_SOURCES = 20_000
-MAX_SOURCES = 1_000_000
 
 
 @dataclass
@@ -78,21 +80,6 @@ def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[fl
     return out
 
 
-def split_draw(rng: np.random.Generator, quotas: np.ndarray, take: int) -> np.ndarray:
-    """`take` blocks drawn from the quotas without return: a multivariate-hypergeometric vector."""
-    total = int(quotas.sum())
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(quotas, take, method="marginals")
-    out, rest, need = np.zeros_like(quotas), total, take
-    for i, q in enumerate(map(int, quotas)):  # beyond the sampler's range: its normal limit, kept within the exact bounds
-        p = need / rest if rest else 0.0
-        sd = (q * p * (1 - p) * max(rest - q, 0) / max(rest - 1, 1)) ** 0.5
-        x = round(q * p + sd * rng.standard_normal())
-        out[i] = min(max(x, need - (rest - q), 0), q, need)
-        rest, need = rest - q, need - int(out[i])
-    return out
-
-
 def tree(quotas: list[int], shards: int, seed: str) -> list[list[int]]:
     """Per shard the blocks of each source; shard sizes differ by one at most."""
     out: list[list[int]] = [[] for _ in range(shards)]
@@ -105,7 +92,7 @@ def tree(quotas: list[int], shards: int, seed: str) -> list[list[int]]:
             return
         mid = (lo + hi) // 2
         rng = np.random.Generator(np.random.PCG64([lo, hi, *seed.encode()]))
-        left = split_draw(rng, q, upto[mid] - upto[lo])
+        left = rng.multivariate_hypergeometric(q, upto[mid] - upto[lo], method="marginals")
         node(lo, mid, left)
         node(mid, hi, q - left)
 
@@ -120,9 +107,9 @@ def source_targets(sizes: list[tuple[str, int]], weights: list[float] | None) ->
 
 def plan_sources(sizes: list[tuple[str, int]], weights: list[float] | None, shards: int, seed: str) -> list[Plan]:
     """Plans in the order of `sizes`."""
-    plans = []
+    longest, plans = max(BLOCK, -(-sum(s for _, s in sizes) // MOST_BLOCKS)), []  # the sampler takes less than 10^9 blocks
     for (tag, s), t in zip(sizes, source_targets(sizes, weights), strict=True):
-        block = min(BLOCK, max(1, s // FINEST))
+        block = min(longest, max(1, s // FINEST))
         blocks = -(-s // block)
         plans.append(Plan(tag, s, t, block, blocks, min(round(t / block), CAP * blocks), []))
     parts = tree([p.quota for p in plans], shards, seed)
@@ -154,9 +141,7 @@ def tally(docs: DataFrame, id_col: str, source_col: str, text_col: str, buckets:
     checkpoint_dir(docs.sparkSession)
     groups = groups.checkpoint()  # ids and counts only; the texts are read once
     per = groups.groupBy("tag", "b").agg(F.sum(F.col("size") * F.col("c")).alias("w"))
-    sizes = per.groupBy("tag").agg(F.sum("w").alias("w")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = per.groupBy("tag").agg(F.sum("w").alias("w")).collect()
     order = sorted(((r["tag"], int(r["w"] or 0)) for r in sizes), key=lambda x: (x[0] == "z", x[0].encode("utf-8", "surrogatepass")))
     return groups, per, order
 
@@ -180,8 +165,8 @@ def draw(docs: DataFrame, weights: list[float] | None = None, shards: int = SHAR
     """One row per document and block it has words in (one with a null block for empty documents).
 
     doc_id, tag, size, copy, source_size, target; block, first_word and words (the
-    document's words in the block), place (the block's in the permutation), draws
-    (how often the mix takes it), and per draw its shard and order_key in `taken_by`.
+    document's words in the block), place (the block's in the permutation), and in
+    `taken_by` every draw of the mix with its epoch, shard and order_key.
     """
     spark = docs.sparkSession
     laid, sizes = lay_out(docs, id_col, source_col, text_col, buckets)
@@ -195,28 +180,34 @@ def draw(docs: DataFrame, weights: list[float] | None = None, shards: int = SHAR
     hi = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * F.col("block_words"))
     b = a.withColumn("first_word", lo - F.col("from")).withColumn("words", hi - lo)
     c = permute(b, "block", "n_blocks", seed, "place")
-    even = F.floor(F.col("quota") / F.col("n_blocks"))
-    draws = F.when(F.col("block").isNull(), 0).otherwise(even + (F.col("place") < F.col("quota") - even * F.col("n_blocks")).cast("long"))
-    d = c.withColumn("draws", draws.cast("long"))
-
-    def by(epoch: Column) -> Column:
-        at = epoch * F.col("n_blocks") + F.col("place")
-        return F.struct(
-            epoch.alias("epoch"),
-            F.size(F.filter("cuts", lambda x: x <= at)).alias("shard"),
-            hashed(F.lit(seed), F.lit("order"), F.col("tag"), at).alias("order_key"),
-        )
-
-    some = F.when(F.col("draws") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1), by)).otherwise(F.array())
-    return d.select("doc_id", "tag", "size", "copy", "source_size", "target", "block", "first_word", "words", "place", "draws", some.alias("taken_by"))
-
-
-def taken_words(drawn: DataFrame) -> DataFrame:
-    """Per document the words the mix takes, repeats counted."""
-    g = drawn.groupBy("doc_id", "tag", "size", "copy").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.coalesce(F.col("words"), F.lit(0)) * F.col("draws")).alias("taken")
-    )
-    return g.select("doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", F.col("taken").cast("long"))
+    at = lambda epoch: epoch * F.col("n_blocks") + F.col("place")
+    # the line of draws ends where the tree's last shard does
+    epochs = F.filter(F.array(*[F.lit(e).cast("long") for e in range(CAP)]), lambda e: at(e) < F.element_at("cuts", -1))
+    by = F.transform(epochs, lambda e: F.struct(e.alias("epoch"), F.size(F.filter("cuts", lambda x: x <= at(e))).alias("shard"), hashed(F.lit(seed), F.lit("order"), F.col("tag"), at(e)).alias("order_key")))
+    taken_by = F.when(F.col("block").isNotNull(), by).otherwise(F.slice(by, 1, 0))
+    return c.select("doc_id", "tag", "size", "copy", "source_size", "target", "block", "first_word", "words", "place", taken_by.alias("taken_by"))
+
+
+def taken_words(drawn: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Per document the words the mix takes, repeats counted, and how many of them each shard takes (shard:words)."""
+    words = F.coalesce(F.col("words"), F.lit(0))
+    times = lambda k: F.size(F.filter("taken_by", lambda d: d["shard"] == k))
+    in_shard = [F.sum(words * times(k)).alias(f"_{k}") for k in range(shards)]
+    g = drawn.groupBy("doc_id", "tag", "size", "copy").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), *in_shard)
+    named = F.array(*[F.when(F.col(f"_{k}") > 0, F.concat_ws(":", F.lit(str(k)), F.col(f"_{k}").cast("string"))) for k in range(shards)])
+    taken = reduce(Column.__add__, [F.col(f"_{k}") for k in range(shards)])
+    return g.select(
+        "doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", taken.cast("long").alias("taken"),
+        F.array_join(F.array_compact(named), ",").alias("shard_words"),
+    )
+
+
+def write_mix(drawn: DataFrame, path: str, parts: int = 1) -> None:
+    """The mix as Parquet, a folder per shard: the drawn pieces of documents in the order of their keys, in `parts` ranges of keys."""
+    each = drawn.select("doc_id", "tag", "copy", "block", "first_word", "words", F.explode("taken_by").alias("d"))
+    rows = each.select("doc_id", "tag", "copy", "block", "first_word", "words", "d.epoch", "d.shard", "d.order_key")
+    part = F.floor(F.col("order_key") / F.lit(-(-(1 << 48) // parts))).cast("int")
+    rows.withColumn("part", part).repartition("shard", "part").sortWithinPartitions("shard", "part", "order_key", "epoch", "first_word").write.partitionBy("shard", "part").parquet(path)
 
 
 def whole_copies(groups: DataFrame, ratios: DataFrame, seed: str) -> DataFrame:
@@ -260,8 +251,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return taken_words(draw(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
-def oracle(seed: str = SEED, buckets: int = BUCKETS) -> str:
-    """The same mix in DuckDB: targets by filling up, lines of words, permuted blocks."""
+def sql(seed: str = SEED, buckets: int = BUCKETS) -> str:
+    """The mix without its shards in DuckDB: targets by filling up, lines of words, permuted blocks. The tree's draws have no SQL."""
     h = lambda *p: "('0x' || substr(md5(concat_ws(':', " + ", ".join(p) + ")), 1, 12))::BIGINT"
     steps = []
     for i in range(6):
@@ -277,7 +268,7 @@ c AS (SELECT *, {CAP} * sz / w AS ratio, row_number() OVER o AS rn, sum({CAP} *
   sum(w) OVER () - sum(w) OVER o + w AS open_weight, sum(sz) OVER () AS total FROM s
   WINDOW o AS (ORDER BY {CAP} * sz / w, tag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 m AS (SELECT coalesce((SELECT arg_min((total - full_before) / open_weight, rn) FROM c WHERE (total - full_before) / open_weight <= ratio), 0) AS level),
-t AS (SELECT tag, sz, least({CAP} * sz, w * level)::DOUBLE AS target, least({BLOCK}, greatest(1, sz // {FINEST})) AS bw FROM s, m),
+t AS (SELECT tag, sz, least({CAP} * sz, w * level)::DOUBLE AS target, least(greatest({BLOCK}, (SELECT (sum(sz) + {MOST_BLOCKS} - 1) // {MOST_BLOCKS} FROM s))::BIGINT, greatest(1, sz // {FINEST})) AS bw FROM s, m),
 t2 AS (SELECT *, (sz + bw - 1) // bw AS n, least(round_even(target / bw, 0)::BIGINT, {CAP} * ((sz + bw - 1) // bw)) AS quota FROM t),
 bl AS (SELECT l.u, l.doc_id, l.size, t2.*, l.fr, unnest(range(l.fr // bw, (l.fr + l.size - 1) // bw + 1)) AS block FROM l JOIN t2 USING (tag) WHERE l.size > 0),
 s0 AS (SELECT DISTINCT tag, block, n, greatest(1, ceil(sqrt(n)))::BIGINT AS a FROM bl),
@@ -292,6 +283,3 @@ g AS (SELECT u, sum((least(fr + size, (block + 1) * bw) - greatest(fr, block * b
   FROM bl JOIN p USING (tag, block) GROUP BY u)
 SELECT l.doc_id, l.size, t2.sz AS source_size, t2.target, coalesce(g.taken, 0) AS taken FROM l JOIN t2 USING (tag) LEFT JOIN g USING (u)
 """
-
-
-ORACLE = oracle()

@@ -21,6 +21,5 @@ ORACLES = {
     "op5_minhash_near_dedup": neardup.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op8_secret_scans": secrets.ORACLE,
-    "op9_mixing": mixing.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }

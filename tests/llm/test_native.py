@@ -1,10 +1,12 @@
 """Quality rules, secret scans, sharding and mixing against plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,20 +159,83 @@ def test_splitting_tree():
     assert max(sizes) - min(sizes) <= 1 and parts == mixing.tree(q, 16, "s")
 
 
-def test_mix(spark, sf):
-    drawn = mixing.draw(spark.read.parquet(f"{sf}/documents.parquet")).cache()
-    got = mixing.taken_words(drawn).collect()
+def digits(*parts) -> int:
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:12], 16)
+
+
+def place_of(x: int, n: int, seed: str) -> int:
+    """The keyed permutation in plain Python."""
+    a = max(1, math.ceil(math.sqrt(n)))
+    b = max(1, math.ceil(n / a))
+    while True:
+        for i in range(6):
+            high, low = divmod(x, b)
+            x = ((high + digits(seed, i, low)) % a) * b + low if i % 2 == 0 else high * b + (low + digits(seed, i, high)) % b
+        if x < n:
+            return x
+
+
+def plain_mix(rows, shards=mixing.SHARDS, seed=mixing.SEED):
+    """(doc_id, size, source_size, target, taken, shard_words) word block by word block."""
+    told = [(d, "z" if s is None else "s" + s, len(SPACE.findall(t or ""))) for d, t, s in rows]
+    sizes = Counter()
+    for _, tag, n in told:
+        sizes[tag] += n
+    order = sorted(sizes.items(), key=lambda x: (x[0] == "z", x[0].encode()))
+    plans = {p.tag: p for p in mixing.plan_sources(order, None, shards, seed)}
+    shard_of = {}
+    for tag, p in plans.items():
+        for x in range(p.blocks):
+            at = [e * p.blocks + place_of(x, p.blocks, seed) for e in range(3)]
+            shard_of[tag, x] = [sum(c <= y for c in p.cuts) for y in at if y < p.quota]
+    line, out = Counter(), []
+    key = lambda r: (r[1], digits("-" if r[0] is None else r[0], r[2]) % mixing.BUCKETS, r[0] is not None, r[0] or 0, r[2])
+    for d, tag, n in sorted(told, key=key):
+        p, start, got = plans[tag], line[tag], Counter()
+        line[tag] += n
+        for w in range(start, start + n):
+            got.update(shard_of[tag, w // p.block])
+        out.append((d, n, p.size, p.target, sum(got.values()), ",".join(f"{k}:{got[k]}" for k in sorted(got))))
+    return sorted(out, key=repr)
+
+
+def test_mix(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    drawn = mixing.draw(rows).cache()
+    taken = mixing.taken_words(drawn)
+    got = taken.collect()
+    assert listed(taken) == plain_mix([(r["doc_id"], r["text"], r["source"]) for r in rows.collect()])
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
-    sums = drawn.groupBy("tag").agg(F.sum(F.col("words") * F.col("draws")).alias("t"), F.first("target").alias("target"), F.first("source_size").alias("s")).collect()
-    assert all(abs(r["t"] - r["target"]) <= max(2, 0.01 * r["s"]) for r in sums)
-    # no shard draws another's block of an epoch
-    d = drawn.select("tag", "block", F.explode("taken_by").alias("x")).select("tag", "block", "x.epoch", "x.shard").distinct()
-    assert d.groupBy("tag", "block", "epoch").count().filter("count > 1").count() == 0
+    each = drawn.select("tag", "words", "target", F.col("source_size").alias("s"), F.explode("taken_by").alias("d"))
+    sums = each.groupBy("tag").agg(F.sum("words").alias("t"), F.first("target").alias("target"), F.first("s").alias("s")).collect()
+    assert sums and all(abs(r["t"] - r["target"]) <= max(2, 0.01 * r["s"]) for r in sums)
+    # every shard holds the blocks of each source that the tree gives it
+    sizes = {r["tag"]: r["source_size"] for r in drawn.select("tag", "source_size").distinct().collect()}
+    plans = mixing.plan_sources(sorted(sizes.items(), key=lambda x: (x[0] == "z", x[0])), None, mixing.SHARDS, mixing.SEED)
+    want = {(p.tag, k): c - b for p in plans for k, (b, c) in enumerate(zip([0, *p.cuts], p.cuts)) if c > b}
+    blocks = drawn.select("tag", "block", F.explode("taken_by").alias("d")).select("tag", "block", "d.epoch", "d.shard").distinct()
+    assert {(r["tag"], r["shard"]): r["count"] for r in blocks.groupBy("tag", "shard").count().collect()} == want
+    mixing.write_mix(drawn, str(tmp_path / "mix"), 2)
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert back.count() == each.count() and {r["shard"] for r in back.select("shard").distinct().collect()} == set(range(mixing.SHARDS))
+    keys = [r["order_key"] for r in spark.read.parquet(str(tmp_path / "mix/shard=3/part=1")).collect()]
+    assert keys and keys == sorted(keys)
+
+
+def test_mix_contract_sql(spark, sf):
+    """All but the shards has SQL too."""
+    t = f"{sf}/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{t}'")
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    rounded = lambda rows: sorted((*r[:3], round(r[3], 6), r[4]) for r in rows)
+    got = mixing.query(spark, sf).select(*columns).collect()
+    assert rounded(map(tuple, got)) == rounded(con.sql(f"SELECT {', '.join(columns)} FROM ({mixing.sql()})").fetchall())
 
 
 def test_mix_odd(spark):
-    got = mixing.taken_words(mixing.draw(docs(spark))).collect()
-    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(SPACE.findall(t or ""))) for i, t, _ in texts())
+    got = mixing.taken_words(mixing.draw(docs(spark)))
+    assert listed(got) == plain_mix(texts())
     assert mixing.taken_words(mixing.draw(empty(spark))).count() == 0
     mixed = mixing.mixed_documents(docs(spark))
     assert mixed.columns == docs(spark).columns and mixed.count() > 0
