@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from guardwalk.functions.conditions import Atom, Name, dnf, parse
-from guardwalk.plans.runner import Run, holds
+from guardwalk.plans.runner import Run
+from guardwalk.plans.values import related
 from guardwalk.sources.program import Program, call_sites, parse_program, walk
 
 SAMPLES = ("A", "Z", " ", 0, 1, 9)
 #: Choices of alternatives that are tried for one target.
 TRIES = 512
+TRIES_LIMIT = "tries_limit"
 
 
 def chain_to(p: Program, target: str) -> list[tuple] | None:
@@ -72,7 +74,7 @@ def domain(p: Program, field: str, compared: dict[str, list]) -> list:
 
 
 def solve(p: Program, guards: list[str], compared: dict[str, list]) -> tuple[dict, list[str]]:
-    """(field -> value, open guards)."""
+    """(field -> value, open guards); more than TRIES choices end the search, with TRIES_LIMIT among the open guards."""
     choices, open_ = [], []
     for g in guards:
         alts = dnf(parse(g, p.names88))
@@ -90,11 +92,11 @@ def solve(p: Program, guards: list[str], compared: dict[str, list]) -> tuple[dic
                 pairs.append(a)
             elif isinstance(a.left, Name):
                 by.setdefault(a.left.text, []).append(a)
-            elif not holds(a.left, a.op, a.right):
+            elif not related(a.left, a.op, a.right):
                 return None
         state = {}
         for f, own in by.items():
-            v = next((v for v in domain(p, f, compared) if all(holds(v, a.op, a.right) for a in own)), None)
+            v = next((v for v in domain(p, f, compared) if all(related(v, a.op, a.right) for a in own)), None)
             if v is None:
                 return None
             state[f] = v
@@ -103,7 +105,7 @@ def solve(p: Program, guards: list[str], compared: dict[str, list]) -> tuple[dic
             fixed, free, left = (l, r, True) if l in state or r not in state else (r, l, False)
             base = state.get(fixed, next(iter(domain(p, fixed, compared))))
             options = [base, *([base + 1, base - 1] if isinstance(base, (int, float)) else []), *domain(p, free, compared)]
-            fit = lambda v: holds(base, a.op, v) if left else holds(v, a.op, base)  # noqa: E731, B023
+            fit = lambda v: related(base, a.op, v) if left else related(v, a.op, base)  # noqa: E731, B023
             v = state[free] if free in state and fit(state[free]) else next((v for v in options if free not in state and fit(v)), None)
             if v is None:
                 return None
@@ -126,6 +128,8 @@ def solve(p: Program, guards: list[str], compared: dict[str, list]) -> tuple[dic
     got = search(0, [])
     if got is not None:
         return got, open_
+    if tried > TRIES:
+        open_.append(TRIES_LIMIT)
     state: list[Atom] = []  # keep what can be kept, in order; the rest is open
     for g, alts in choices:
         alt = next((a for a in alts if values(state + a) is not None), None)
@@ -149,7 +153,7 @@ def plans(sources: DataFrame) -> DataFrame:
                 continue
             state, open_ = solve(p, [g for c in chain for g in c[3]], compared)
             entered = Run(p, state).go().entered
-            verdict = "verified" if target in entered else "open" if open_ else "target_not_reached"
+            verdict = "verified" if target in entered else TRIES_LIMIT if TRIES_LIMIT in open_ else "open" if open_ else "target_not_reached"
             yield p.name, target, [p.paragraphs[0][0], *(c[1] for c in chain)], json.dumps(state, sort_keys=True), open_, verdict
 
     def run(frames):

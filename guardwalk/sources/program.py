@@ -14,9 +14,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardwalk.functions.codecs import Item, layout
+
 TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\.(?=\s|$)|(?:[^\s'\".]|\.(?!\s|$))+")
 VERBS = set("ACCEPT ADD ALTER CALL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE EVALUATE EXEC EXIT GO GOBACK IF INITIALIZE INSPECT MOVE MULTIPLY OPEN PERFORM READ RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT UNSTRING WRITE".split())
-ENDS = set("END-IF END-EVALUATE END-PERFORM END-READ END-SEARCH ELSE WHEN".split())
+#: Verbs that may carry conditional phrases, and the phrases: name, words it may begin with.
+PHRASED = set("ACCEPT ADD CALL COMPUTE DELETE DISPLAY DIVIDE MULTIPLY READ RETURN REWRITE SEARCH START STRING SUBTRACT UNSTRING WRITE".split())
+PHRASES = (
+    ("AT END", ("AT", "END")), ("SIZE ERROR", ("ON", "SIZE", "ERROR")), ("SIZE ERROR", ("SIZE", "ERROR")), ("OVERFLOW", ("ON", "OVERFLOW")), ("OVERFLOW", ("OVERFLOW",)),
+    ("EXCEPTION", ("ON", "EXCEPTION")), ("EXCEPTION", ("EXCEPTION",)), ("INVALID KEY", ("INVALID", "KEY")), ("INVALID KEY", ("INVALID",)),
+)
+ENDS = {"END-IF", "END-EVALUATE", "END-PERFORM", "ELSE", "WHEN"} | {f"END-{v}" for v in PHRASED}
+
+
+# The usage words.
+USAGES = set("BINARY COMP COMP-1 COMP-2 COMP-3 COMP-4 COMP-5 DISPLAY INDEX PACKED-DECIMAL POINTER".split())
 
 
 @dataclass
@@ -28,14 +40,16 @@ class Statement:
     other: list = field(default_factory=list)  # IF: else
     arms: list = field(default_factory=list)  # EVALUATE: [([conditions], body)]
     words: list = field(default_factory=list)
+    phrases: dict = field(default_factory=dict)  # AT END, NOT AT END, ...: bodies
 
 
 @dataclass
 class Program:
     name: str
-    fields: dict  # name -> {pic, value, parent}
+    fields: dict  # name -> {pic, value, parent, occurs, usage, sign, redefines, indexes, file}
     names88: dict  # name -> (parent, values)
     paragraphs: list  # [(name, [Statement])]
+    files: dict = field(default_factory=dict)  # name -> {assign, organization, status, record}
 
 
 def source_lines(text: str) -> list[str]:
@@ -59,10 +73,29 @@ def literal(t: str):
     return {"SPACE": " ", "SPACES": " ", "ZERO": 0, "ZEROS": 0, "ZEROES": 0, "LOW-VALUES": "\x00", "HIGH-VALUES": "\xff"}.get(t.upper(), t.upper())
 
 
-def data_division(text: str) -> tuple[dict, dict]:
+def file_control(text: str) -> dict:
+    """SELECT clauses: file -> its assignment, organization and status field."""
+    out = {}
+    for m in re.finditer(r"\bSELECT\s+(?:OPTIONAL\s+)?([\w-]+)(.*?)\.\s", text + " ", re.I | re.S):
+        clause = lambda p, m=m: next(iter(re.findall(p + r"\s+([\w-]+)", m[2], re.I)), None)
+        out[m[1].upper()] = {
+            "assign": clause(r"ASSIGN(?:\s+TO)?"), "organization": (clause(r"ORGANIZATION(?:\s+IS)?") or "SEQUENTIAL").upper(),
+            "status": (clause(r"STATUS(?:\s+IS)?") or "").upper() or None, "record": None,
+        }
+    return out
+
+
+def data_division(text: str, files: dict | None = None) -> tuple[dict, dict]:
+    """Fields and condition names; a file's first record is noted in `files`."""
     fields, names88, stack = {}, {}, []
+    of_file = None
     for entry in re.split(r"\.\s", text + " "):
         t = TOKEN.findall(entry)
+        if len(t) > 1 and t[-2].upper() in ("FD", "SD") or len(t) > 1 and t[0].upper() in ("FD", "SD"):
+            of_file = t[[x.upper() in ("FD", "SD") for x in t].index(True) + 1].upper()
+            continue
+        if t and t[-1].upper() == "SECTION":
+            of_file = None
         if len(t) < 2 or not t[0].isdigit():
             continue
         level, name = int(t[0]), t[1].upper()
@@ -85,7 +118,16 @@ def data_division(text: str) -> tuple[dict, dict]:
             stack.pop()
         at = lambda *ks: next((t[up.index(k) + 1 + (up[up.index(k) + 1 : up.index(k) + 2] == ["IS"])] for k in ks if k in up), None)
         v = at("VALUE")
-        fields[name] = {"pic": (at("PIC", "PICTURE") or "").upper(), "value": literal(v) if v else None, "parent": stack[-1][1] if stack else None}
+        times, index = at("OCCURS"), up.index("INDEXED") if "INDEXED" in up else len(up)
+        usage = at("USAGE") or next((x for x in up[2:] if x in USAGES), "DISPLAY")
+        fields[name] = {
+            "pic": (at("PIC", "PICTURE") or "").upper(), "value": literal(v) if v else None, "parent": stack[-1][1] if stack else None,
+            "occurs": int(times) if times and times.isdigit() else 0, "usage": usage.upper(), "redefines": (at("REDEFINES") or "").upper(),
+            "sign": ("LEADING " if "LEADING" in up else "TRAILING " if "TRAILING" in up else "") + ("SEPARATE" if "SEPARATE" in up else ""),
+            "indexes": [x for x in up[index + 1 :] if x != "BY" and x not in USAGES], "file": of_file if level == 1 else None,
+        }
+        if level == 1 and of_file and files is not None and of_file in files and not files[of_file]["record"]:
+            files[of_file]["record"] = name
         stack.append((level, name))
     return fields, names88
 
@@ -101,16 +143,41 @@ class Statements:
 
     def until(self, stop) -> list[str]:
         out = []
-        while self.i < len(self.t) and self.t[self.i] != "." and not stop(self.up()):
+        while self.i < len(self.t) and self.t[self.i] != "." and not stop(self.up()) and not self.phrase():
             out.append(self.t[self.i])
             self.i += 1
         return out
 
+    def phrase(self) -> tuple[str, int] | None:
+        """A conditional phrase that begins here: its name and its number of words."""
+        no = self.up() == "NOT"
+        for name, words in PHRASES:
+            if all(self.up(no + k) == w for k, w in enumerate(words)):
+                return ("NOT " if no else "") + name, no + len(words)
+        return None
+
+    def phrased(self, s: Statement) -> None:
+        """The words up to the phrases, the phrases, and of SEARCH the WHEN arms."""
+        while self.i < len(self.t) and self.t[self.i] != "." and self.up() not in VERBS and self.up() not in ENDS and not self.phrase():
+            s.words.append(self.t[self.i])
+            self.i += 1
+        end = f"END-{s.kind}"
+        while p := self.phrase():
+            self.i += p[1]
+            s.phrases[p[0]] = self.sentence_list({end, "WHEN"})
+        while s.kind == "SEARCH" and self.up() == "WHEN":
+            self.i += 1
+            cond = " ".join(self.until(lambda w: w in VERBS or w in ENDS or w == "NEXT"))
+            s.arms.append(([cond], self.n, self.sentence_list({"WHEN", end})))
+            self.n += 1
+        self.i += self.up() == end
+        s.text = " ".join(s.words)
+
     def sentence_list(self, ends: set[str]) -> list[Statement]:
         out = []
         while self.i < len(self.t):
             w = self.up()
-            if w == "." or w in ends or (ends and w in ENDS):
+            if w == "." or w in ends or (ends and w in ENDS) or self.phrase():
                 break
             out.append(self.statement())
         return out
@@ -121,6 +188,9 @@ class Statements:
             if self.t[self.i] == "." or self.up() in ENDS:
                 self.i += 1
                 continue
+            if p := self.phrase():  # without a statement before it
+                self.i += p[1]
+                continue
             out += self.sentence_list(set())
         return out
 
@@ -156,19 +226,50 @@ class Statements:
                 self.i += self.up() == "END-PERFORM"
                 s.kind = "PERFORM-INLINE"
             s.text = " ".join(s.words)
+        elif verb == "EXEC":
+            s.words = self.until(lambda w: w == "END-EXEC")
+            s.text = " ".join(s.words)
+            self.i += self.up() == "END-EXEC"
+        elif verb == "EXIT":
+            while self.up() in ("PARAGRAPH", "PERFORM", "PROGRAM", "SECTION", "CYCLE"):
+                s.words.append(self.up())
+                self.i += 1
+            s.text = " ".join(s.words)
+        elif verb in PHRASED:
+            self.phrased(s)
         else:
             s.words = self.until(starts)
             s.text = " ".join(s.words)
         return s
 
 
+REFERENCE = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|([A-Za-z][\w-]*(?:\{[^}]*\})?)\s*\(([\w\s,:+-]*)\)""")
+
+
+def bind_references(text: str, fields: dict) -> str:
+    """`TAB (I, 2)` and `F(1:3)` of declared fields as one word each: TAB{I,2}, F{1:3}."""
+
+    def one(m: re.Match) -> str:
+        if not m[1] or m[1].partition("{")[0].upper() not in fields:
+            return m[0]
+        inside = re.sub(r"\s*([-+:])\s+", r"\1", m[2].strip())
+        return f"{m[1]}{{{re.sub(r'[,\s]+', ',', inside)}}}"
+
+    before = None
+    while before != text:
+        before, text = text, REFERENCE.sub(one, text)
+    return text
+
+
 def parse_program(text: str) -> Program:
     lines = source_lines(text)
     head, _, proc = "\n".join(lines).partition("PROCEDURE DIVISION")
     name = re.search(r"PROGRAM-ID\.?\s+([\w-]+)", head, re.I)
-    fields, names88 = data_division(head.partition("DATA DIVISION")[2])
+    before, _, data = head.partition("DATA DIVISION")
+    files = file_control(before)
+    fields, names88 = data_division(data, files)
     paragraphs: list[tuple[str, list[str]]] = []
-    for line in proc.partition(".")[2].split("\n"):
+    for line in bind_references(proc.partition(".")[2], fields).split("\n"):
         m = re.fullmatch(r"([\w-]+)(?:\s+SECTION)?\s*\.\s*", line)
         if m and not line.startswith("    ") and m[1].upper() not in VERBS | {"GOBACK", "EXIT", "CONTINUE"} | ENDS:
             paragraphs.append((m[1].upper(), []))
@@ -176,7 +277,45 @@ def parse_program(text: str) -> Program:
             if not paragraphs:
                 paragraphs.append(("_ENTRY_", []))
             paragraphs[-1][1].extend(TOKEN.findall(line))
-    return Program(name[1].upper() if name else "", fields, names88, [(p, Statements(t).paragraph()) for p, t in paragraphs])
+    return Program(name[1].upper() if name else "", fields, names88, [(p, Statements(t).paragraph()) for p, t in paragraphs], files)
+
+
+def records(p: Program) -> list[Item]:
+    """The declared records as trees of items."""
+    items = {n: Item(n, f["pic"], f["usage"], f["sign"], f["occurs"], f["redefines"]) for n, f in p.fields.items()}
+    for n, f in p.fields.items():
+        if f["parent"]:
+            items[f["parent"]].children.append(items[n])
+    return [items[n] for n, f in p.fields.items() if not f["parent"]]
+
+
+COPY = re.compile(r"\bCOPY\s+['\"]?([\w-]+)['\"]?(?:\s+(?:OF|IN)\s+[\w-]+)?((?:\s+(?:REPLACING\s+)?(?:==.*?==|\S+)\s+BY\s+(?:==.*?==|[^\s.]+))*)\s*\.", re.I | re.S)
+PAIR = re.compile(r"(?:REPLACING\s+)?(==.*?==|\S+)\s+BY\s+(==.*?==|[^\s.]+)", re.I | re.S)
+
+
+def copy_books(text: str) -> list[str]:
+    """Names of the books a source copies, in order, each once."""
+    code = "\n".join(line for line in text.splitlines() if line.ljust(7)[6] not in "*/")
+    return list(dict.fromkeys(m[1].upper() for m in COPY.finditer(code)))
+
+
+def expand_copies(text: str, books: dict[str, str]) -> str:
+    """COPY statements replaced by their books, whole words and phrases in them by REPLACING; unknown books stay as they are."""
+    bare = lambda x: x[2:-2].strip() if x.startswith("==") else x
+
+    def one(m: re.Match) -> str:
+        book = books.get(m[1].upper())
+        if book is None:
+            return m[0]
+        for old, new in PAIR.findall(m[2]):
+            words = bare(old).split()
+            before, behind = (r"(?<![\w-])" if words[0][0].isalnum() else ""), (r"(?![\w-])" if words[-1][-1].isalnum() else "")
+            book = re.sub(before + r"\s+".join(map(re.escape, words)) + behind, lambda _, new=new: bare(new), book, flags=re.I)
+        return "\n" + book.rstrip("\n") + "\n"
+
+    lines = text.splitlines()
+    kept = [line for line in lines if line.ljust(7)[6] not in "*/"]
+    return COPY.sub(one, "\n".join(kept))
 
 
 def walk(statements: list[Statement], guards: tuple[str, ...] = ()):
@@ -194,6 +333,11 @@ def walk(statements: list[Statement], guards: tuple[str, ...] = ()):
                 before += [f"NOT ( {c} )" for c in own]
         elif s.body:
             yield from walk(s.body, guards)
+        for body in s.phrases.values():
+            yield from walk(body, guards)
+        if s.kind == "SEARCH":
+            for _, _, body in s.arms:
+                yield from walk(body, guards)
 
 
 def arm_condition(subject: str, arm: str) -> str:
@@ -286,3 +430,61 @@ def branches(sources: DataFrame) -> DataFrame:
                     yield p.name, n, s.ordinal, "LOOP", s.text
 
     return _table(sources, lambda p: list(rows(p)), "program string, paragraph string, ordinal int, kind string, text string")
+
+
+def layouts(sources: DataFrame) -> DataFrame:
+    """Every record's fields with their places in bytes."""
+
+    def rows(p: Program):
+        for item in records(p):
+            yield from ((p.name, item.name, x.name, x.offset, x.length, x.occurs) for x in layout(item))
+
+    return _table(sources, lambda p: list(rows(p)), "program string, record string, field string, offset int, length int, occurs int")
+
+
+def files(sources: DataFrame) -> DataFrame:
+    return _table(sources, lambda p: [(p.name, n, f["assign"], f["organization"], f["status"], f["record"]) for n, f in p.files.items()], "program string, file string, assign string, organization string, status string, record string")
+
+
+#: Verbs that meet the world outside, with how an operation is named.
+OUTSIDE = set("ACCEPT CALL CLOSE DELETE EXEC OPEN READ RETURN REWRITE START WRITE".split())
+
+
+def operation(s: Statement) -> str:
+    """VERB:object; OPEN and CLOSE name the file behind the mode, EXEC its first two words."""
+    w = [x.upper().strip("'\"") for x in s.words if x.upper() not in ("INPUT", "OUTPUT", "I-O", "EXTEND")]
+    return f"{s.kind}:{' '.join(w[:2]) if s.kind == 'EXEC' else w[0] if w else ''}"
+
+
+def operations(sources: DataFrame) -> DataFrame:
+    """(program, paragraph, ordinal, operation, phrases) of every statement that meets the world outside."""
+
+    def rows(p: Program):
+        for n, b in p.paragraphs:
+            yield from ((p.name, n, s.ordinal, operation(s), list(s.phrases)) for s, _ in walk(b) if s.kind in OUTSIDE)
+
+    return _table(sources, lambda p: list(rows(p)), "program string, paragraph string, ordinal int, operation string, phrases array<string>")
+
+
+def copies(sources: DataFrame) -> DataFrame:
+    """(path, book) for every book that a source copies."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame([(path, b) for path, text in zip(pdf["path"], pdf["source"], strict=True) for b in copy_books(text)], columns=["path", "book"])
+
+    return sources.select("path", "source").mapInPandas(run, "path string, book string")
+
+
+def expanded(sources: DataFrame, books: DataFrame, rounds: int = 4) -> DataFrame:
+    """(path, source) with COPY statements expanded from `books` (book, text), books in books up to `rounds` deep."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"path": pdf["path"], "source": [expand_copies(t, dict(b or {})) for t, b in zip(pdf["source"], pdf["books"], strict=True)]})
+
+    for _ in range(rounds):
+        wanted = copies(sources).join(books.select(F.upper("book").alias("book"), "text"), "book")
+        held = wanted.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("book", "text"))).alias("books"))
+        sources = sources.select("path", "source").join(held, "path", "left").mapInPandas(run, "path string, source string")
+    return sources
