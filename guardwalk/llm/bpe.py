@@ -178,9 +178,10 @@ class Encoder:
             data = piece.encode("utf-8", "surrogatepass")
             whole = self.v.ranks.get(data)
             ids = str(whole) if whole is not None else " ".join(map(str, Prefixes(self.v, data).tokens()))
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[piece] = ids
+            if len(piece) < 40:
+                if len(self.memory) >= MEMORY:
+                    self.memory.clear()
+                self.memory[piece] = ids
         return ids
 
     def run(self, text: str) -> str:

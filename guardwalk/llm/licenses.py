@@ -16,10 +16,11 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import ahocorasick
 import regex
@@ -45,6 +46,14 @@ NOTICES = (
     ("creative commons attribution", "cc-by"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "reserved"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("made available under the terms of the eclipse public license", "epl"),
+    ("to the extent possible under law the author has waived all copyright", "cc0"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
+    ("distributed under the boost software license version 1 0", "bsl"),
+    ("you may distribute under the terms of the artistic license", "artistic"),
+    ("licensed under the european union public licence", "eupl"),
+    ("the software is provided as is without warranty of any kind", "as-is"),
 )
 
 
@@ -131,14 +140,27 @@ def unbeaten(hits: list[Hit]) -> list[Hit]:
     return out
 
 
-def base_places(joined: str) -> list[tuple[int, str]]:
+class Places:
+    """Words by their places in the joined text; the starts are found once, when they are first asked for."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.starts = words, None
+
+    def word(self, at: int) -> int:
+        """The word that holds the character, or stands before the space, at a place."""
+        if self.starts is None:
+            self.starts = [0, *accumulate(len(w) + 1 for w in self.words)]
+        return bisect_right(self.starts, at) - 1
+
+
+def base_places(joined: str, places: Places) -> list[tuple[int, str]]:
     """(word, label) of every place where the words of a phrase stand in a row."""
     padded, out = f" {joined} ", []
     for phrase, label in PHRASES:
         want = f" {phrase} "
         at = padded.find(want)
         while at >= 0:
-            out.append((padded.count(" ", 0, at), label))
+            out.append((places.word(at), label))
             at = padded.find(want, at + 1)
     return sorted(out)
 
@@ -153,7 +175,8 @@ def scan_text(text: str, s: Scanner) -> tuple[int, list[tuple[int, str]], list[t
     low = ascii_lower(text)
     words = WORD.findall(low)
     joined = " ".join(words)
-    base, hits = base_places(joined), s.find(joined)
+    places = Places(words)
+    base, hits = base_places(joined, places), s.find(joined)
     score = 1.0 if base else max((h.score for h in hits), default=0.0)
     if not hits:
         return len(words), base, [], score
@@ -161,8 +184,8 @@ def scan_text(text: str, s: Scanner) -> tuple[int, list[tuple[int, str]], list[t
     said = []
     for h in hits:
         # a match may begin or end at the space beside a word
-        first = joined.count(" ", 0, h.start + (joined[h.start] == " "))
-        last = max(first, joined.count(" ", 0, h.end - (joined[h.end - 1] == " ")))
+        first = places.word(h.start + (joined[h.start] == " "))
+        last = max(first, places.word(h.end - 1 - (joined[h.end - 1] == " ")))
         said.append((h.label, first, last, spans[first][0], spans[last][1], h.edits))
     return len(words), base, said, score
 

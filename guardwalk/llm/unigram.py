@@ -35,8 +35,9 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.names = {p for p, _ in pieces}
-        #: Whether a space mark only ever begins a piece (or follows space marks), so that words can be searched apart.
-        self.by_word = not any(a != SPACE and b == SPACE for p in self.names for a, b in zip(p, p[1:], strict=False))
+        #: Whether a space mark is a piece and only ever begins one (or follows space marks), so that words can be searched apart:
+        #: no piece, and no run of unknown characters, then goes over the bound of two words.
+        self.by_word = SPACE in self.names and not any(a != SPACE and b == SPACE for p in self.names for a, b in zip(p, p[1:], strict=False))
         self.memory: dict[str, tuple[int, int, float]] = {}
 
     def search(self, text: str) -> tuple[int, int, float]:

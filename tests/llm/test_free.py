@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +79,32 @@ def test_notices_before_a_better_one(at):
     assert [(h.start, h.end) for h in licenses.Scanner().find("all rights resrved all rights reserved")][1:] == [(19, 38)]
 
 
+def test_base_places_by_brute_force():
+    """Base places and every span of added notices against plain searches, over random texts of phrase words and damage."""
+    s, r = licenses.scanner(), random.Random(3)
+    pool = "gnu general public license apache cc by mit Licensé the under sa 4 0 x".split()
+    for seed in range(300):
+        words = [r.choice(pool) for _ in range(r.randrange(60))]
+        text = "".join(w + r.choice((" ", "  ", "\n", "-", ". ")) for w in words)
+        n, base, hits, score = licenses.scan_text(text, s)
+        low = [w.lower() if w.isascii() else w[0].lower() + w[1:] for w in words]
+        want = sorted((i, label) for p, label in licenses.PHRASES for i in range(len(low)) if low[i : i + len(p.split())] == p.split())
+        assert n == len(words) and base == want, seed
+        assert not want or score == 1.0
+        for label, first, last, a, b, edits in hits:
+            assert licenses.WORD.findall(text[a:b].lower()) == low[first : last + 1], (seed, label, edits)
+
+
+def test_long_texts_take_time_in_proportion():
+    took = []
+    for n in (3_000, 12_000):
+        t = time.perf_counter()
+        said = licenses.scan_text("released under the mit license and " * n, licenses.scanner())
+        took.append(time.perf_counter() - t)
+        assert len(said[1]) == n and len(said[2]) == n
+    assert took[1] < 10 * took[0]
+
+
 def test_license_contract(spark):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark).filter("doc_id IS NOT NULL")).collect()}
     r = got[13]
@@ -259,6 +286,22 @@ def test_unigram_equals_the_library(spark):
     assert unigram.count_tokens(empty(spark), UNIGRAM).count() == 0
 
 
+def test_fractional_scores_equal_the_library():
+    """Random vocabularies with fractional and tied scores, with and without the mark as a piece."""
+    from tokenizers import Tokenizer, models
+
+    r = random.Random(8)
+    for seed in range(40):
+        pieces = {"".join(r.choice("▁abc") if i == 0 else r.choice("abc") for i in range(r.randrange(1, 5))) for _ in range(25)}
+        pieces = sorted(pieces | {"a", "b"} | ({"▁"} if seed % 2 else set()))
+        vocab = [(p, -round(r.uniform(1, 6), 3) if seed % 4 < 2 else -float(len(p)) / 4) for p in pieces]
+        lib, c = Tokenizer(models.Unigram([("<unk>", 0.0), *vocab], unk_id=0, byte_fallback=False)), unigram.Counter(vocab)
+        for _ in range(60):
+            t = "".join(r.choice("  abcx") for _ in range(r.randrange(1, 20)))
+            ids = lib.encode("▁" + t.replace(" ", "▁")).ids
+            assert c.count(t)[:2] == (len(ids), ids.count(0)), (seed, t)
+
+
 def test_unigram_ties():
     """Equal scores: the earliest start, that is the longest piece, wins."""
     c = unigram.Counter([("ab", -2.0), ("a", -1.0), ("b", -1.0)])
@@ -300,6 +343,10 @@ def test_near_copies_odd(spark):
     kept = neardup.drop_near_copies(docs(spark))
     assert kept.columns == docs(spark).columns and {r["doc_id"] for r in kept.collect()} >= {1, 2, 3, 4, 6, 8, None}
     assert not {r["doc_id"] for r in kept.collect()} & {7, 10}
+    base = texts()[8][1]
+    rows = [(1, base, "b"), (1, base, "a"), (1, base, "a"), (2, base, "c"), (3, prose(90, 77), "x"), (3, prose(90, 78), "y"), (4, None, "n"), (4, None, "n")]
+    one = neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert listed(one) == sorted([rows[1], *rows[4:]], key=repr)  # of repeated rows the least stays; an id may have several texts
 
 
 def test_large_groups_and_chains(spark, monkeypatch):
