@@ -226,3 +226,62 @@ def first_match(arms: list[tuple[str, object]], fields: dict, other: object = No
     for text, value in arms:
         out = out.when(condition(text, fields, names88), F.lit(value))
     return out.otherwise(F.lit(other))
+
+
+#: The relation when both sides change places.
+SWAP = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def swapped(a: Atom) -> Atom:
+    """The same atom with its sides exchanged."""
+    return Atom(a.right, SWAP[a.op], a.left)
+
+
+def rendered(n: Node) -> str:
+    """One spelling for every condition: symbols, upper case, parentheses where one connective stands below another."""
+
+    def say(x) -> str:
+        if isinstance(x, Name):
+            return x.text
+        return "TRUE" if x is True else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    if n.kind == "true":
+        return ""
+    if n.kind == "atom":
+        a = n.atom
+        if a.op.startswith("IS"):
+            return f"{say(a.left)} {'IS NOT' if a.op == 'IS-NOT' else 'IS'} {a.right}"
+        return f"{say(a.left)} {'NOT =' if a.op == '!=' else a.op} {say(a.right)}"
+    inside = [f"( {rendered(p)} )" if p.kind in ("or", "and") and p.kind != n.kind else rendered(p) for p in n.parts]
+    return f"NOT {inside[0]}" if n.kind == "not" else f" {n.kind.upper()} ".join(inside)
+
+
+def normalised(text: str, names88: dict | None = None) -> str:
+    """The condition in one spelling, for matching conditions from different sources."""
+    return rendered(parse(text, names88))
+
+
+def substituted(n: Node, known: dict[str, object]) -> Node:
+    """Known fields replaced by their values."""
+    if n.kind == "atom":
+        put = lambda x: known.get(x.text, x) if isinstance(x, Name) else x
+        return Node("atom", atom=Atom(put(n.atom.left), n.atom.op, put(n.atom.right)))
+    return Node(n.kind, [substituted(p, known) for p in n.parts])
+
+
+def contradicts(a: Atom, b: Atom, holds) -> bool:
+    """Whether no value of their common field satisfies both atoms; `holds(value, relation, constant)` decides one.
+
+    Numbers: the constants, what lies between and beside them are all the cases there
+    are. Texts: only an equality excludes others.
+    """
+    a, b = (swapped(x) if isinstance(x.right, Name) and not isinstance(x.left, Name) and x.op in SWAP else x for x in (a, b))
+    if not isinstance(a.left, Name) or a.left != b.left or isinstance(a.right, Name) or isinstance(b.right, Name):
+        return False
+    classes = a.op.startswith("IS"), b.op.startswith("IS")
+    if any(classes):
+        return all(classes) and a.right == b.right and a.op != b.op
+    x, y = a.right, b.right
+    numeric = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in (x, y))
+    tried = [x, y, (x + y) / 2, min(x, y) - 1, max(x, y) + 1] if numeric else [v for v, op in ((x, a.op), (y, b.op)) if op == "="]
+    return bool(tried) and not any(holds(v, a.op, x) and holds(v, b.op, y) for v in tried)

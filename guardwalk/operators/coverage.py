@@ -17,6 +17,17 @@ def decide(df: DataFrame, run: Column, decisions: list[tuple[int, str, Column]])
     return df.select(run.alias("run_id"), F.explode(F.filter(each, lambda e: e["result"].isNotNull())).alias("e")).select("run_id", "e.*")
 
 
+def observe_decisions(df: DataFrame, run: Column, decisions: list[tuple[int, str, Column]]) -> DataFrame:
+    """`observe` over `decide`, without its events: one row of flags a run, then one sum per direction."""
+    taken = [(o, k, d, F.coalesce(c if d else ~c, F.lit(False))) for o, k, c in decisions for d in (True, False)]
+    flags = df.select(run.alias("run_id"), *[c.alias(f"_{i}") for i, (*_, c) in enumerate(taken)])
+    runs = flags.groupBy("run_id").agg(*[F.bool_or(f"_{i}").alias(f"_{i}") for i in range(len(taken))])
+    sums = runs.agg(*[F.struct(F.count_if(f"_{i}").alias("n"), F.min(F.when(F.col(f"_{i}"), F.col("run_id"))).alias("first")).alias(f"_{i}") for i in range(len(taken))])
+    say = lambda i, o, k, d: F.struct(F.lit(o).alias("ordinal"), F.lit(k).alias("kind"), F.lit(d).alias("direction"), F.col(f"_{i}.n").alias("n_runs"), F.col(f"_{i}.first").alias("first_run"))
+    each = F.array(*[say(i, o, k, d) for i, (o, k, d, _) in enumerate(taken)])
+    return sums.select(F.explode(each).alias("e")).select("e.*").filter("n_runs > 0")
+
+
 def missing(branches: DataFrame, seen: DataFrame, key: tuple[str, ...] = ("ordinal", "kind")) -> DataFrame:
     """Directions of the branches that no run has taken."""
     both = branches.select(*key).withColumn("direction", F.explode(F.array(F.lit(True), F.lit(False))))

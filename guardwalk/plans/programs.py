@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardwalk.functions.conditions import contradicts, dnf, normalised, parse, rendered, substituted
 from guardwalk.operators import coverage, graph
-from guardwalk.plans.relational import _EVENTS
+from guardwalk.plans.relational import _EVENTS, sql_values
 from guardwalk.plans.runner import final_states, run_program, verdicts
-from guardwalk.plans.solver import plans
+from guardwalk.plans.solver import literals, plans
+from guardwalk.plans.values import related
 from guardwalk.plans.worlds import worlds
 from guardwalk.sources import program as source
 
@@ -350,3 +356,66 @@ def copy_expansion(spark, read) -> DataFrame:
     books = spark.createDataFrame([("PART-1", "       01 :P:-A PIC X.\n       01 OLD-TOTAL PIC 9(2).\n       COPY PART-2.\n"), ("PART-2", "       01 WS-DEEP PIC 9.\n")], "book string, text string")
     src = source.expanded(spark.createDataFrame([("main", text)], "path string, source string"), books)
     return source.fields(src).select("field", "pic")
+
+
+def _mapped(df: DataFrame, f: Callable[..., object], kind: str) -> DataFrame:
+    """A column `said` = f(the row's columns), a batch at a time."""
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + f", said {kind}"
+
+    def run(frames):
+        for pdf in frames:
+            yield pdf.assign(said=pd.Series([f(*r) for r in pdf.itertuples(index=False)], dtype=object))
+
+    return df.mapInPandas(run, schema)
+
+
+_PAIRS = [
+    ("A = 1", "A = 2", True), ("A = 1", "A NOT = 2", False), ("A > 5", "A < 5", True), ("A > 5", "A < 7", False), ("A >= 5", "A <= 5", False), ("A > 5", "A = 5", True),
+    ("A = 'X'", "A = 'X  '", False), ("A = 'X'", "A = 'Y'", True), ("A IS NUMERIC", "A IS NOT NUMERIC", True), ("A = 1", "B = 2", False), ("5 > A", "A > 6", True),
+]
+_TEXTS = [
+    ("a is greater than 5", "A > 5"), ("A > 5", "A > 5"), ("NOT ( A = 1 OR 2 )", "NOT ( A = 1 OR A = 2 )"), ("A EQUAL TO 'x'  AND b NOT LESS 3", "A = 'x' AND B >= 3"),
+    ("A IS NOT NUMERIC", "A IS NOT NUMERIC"), ("A NOT = SPACES", "A NOT = ' '"),
+]
+
+
+@query(f"WITH {sql_values('w', 'a, b, want', [(a, b, int(x)) for a, b, x in _PAIRS])} SELECT a, b, want = 1 AS said FROM w")
+def contradictions(spark, read) -> DataFrame:
+    """Pairs of conditions that nothing satisfies together."""
+    one = lambda text: dnf(parse(text))[0][0]
+    return _mapped(spark.createDataFrame([p[:2] for p in _PAIRS], "a string, b string"), lambda a, b: contradicts(one(a), one(b), related), "boolean")
+
+
+@query(f"WITH {sql_values('w', 'text, said', _TEXTS)} SELECT * FROM w")
+def text_normalisation(spark, read) -> DataFrame:
+    """Conditions of different spelling in one."""
+    return _mapped(spark.createDataFrame([t[:1] for t in _TEXTS], "text string"), normalised, "string")
+
+
+@query("SELECT o_orderstatus AS status, '''' || o_orderstatus || ''' = ''O'' AND B > 2' AS said, count(*) AS n FROM orders GROUP BY 1, 2")
+def constant_substitution(spark, read) -> DataFrame:
+    """A condition with a field's value put in, for every status."""
+    seen = read("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return _mapped(seen, lambda status, n: rendered(substituted(parse("ST = 'O' AND B > 2"), {"ST": status})), "string").select("status", "said", "n")
+
+
+@query("""SELECT * FROM (VALUES ('WS-FLAG', ['"A"', '"R"']), ('WS-QTY', ['1', '10', '40']), ('WS-STATUS', ['"O "'])) t(field, literals)""")
+def literal_harvest(spark, read) -> DataFrame:
+    """The values that a program's conditions compare its fields with."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(f, [json.dumps(v) for v in vs]) for t in pdf["source"] for f, vs in literals(source.parse_program(t)).items()]
+            yield pd.DataFrame(rows, columns=["field", "literals"])
+
+    return _src(spark).mapInPandas(run, "field string, literals array<string>")
+
+
+@query("""SELECT 'A-MAIN' AS paragraph, count(*) AS n_runs FROM lineitem UNION ALL SELECT 'B-BAND', count(*) FROM lineitem UNION ALL SELECT 'C-STATUS', count(*) FROM lineitem
+ UNION ALL SELECT 'D-OPEN', count(*) FILTER (l_linestatus = 'O') FROM lineitem""")
+def paragraph_coverage(spark, read) -> DataFrame:
+    """How many runs enter each paragraph: every different state runs once and counts as often as it occurs."""
+    seen = states(read).groupBy("WS_FLAG", "WS_QTY", "WS_STATUS").agg(F.count("*").alias("runs")).withColumn("run_id", F.concat_ws("|", "WS_FLAG", "WS_QTY", "WS_STATUS"))
+    ends = final_states(SOURCE, seen.drop("runs")).join(seen.select("run_id", "runs"), "run_id")
+    entered = ends.select("runs", F.explode(F.split("entered", ",")).alias("paragraph")).groupBy("paragraph").agg(F.sum("runs").alias("n_runs"))
+    return source.paragraphs(_src(spark)).select("paragraph").join(entered, "paragraph", "left").select("paragraph", F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"))

@@ -45,24 +45,24 @@ e AS (SELECT run_id, 1 AS ordinal, 'IF' AS kind, d1 AS result FROM ev UNION ALL
 
 
 def decisions(read) -> DataFrame:
-    """Guard events of the flagship program: every lineitem is a run through five decisions."""
+    """Directions of the flagship program: every lineitem is a run through five decisions."""
     x = read("lineitem")
     f = {"FLAG": (x.l_returnflag, "string"), "QTY": (x.l_quantity, "double"), "STATUS": (x.l_linestatus, "string")}
     d2, d3 = condition("QTY >= 1 AND <= 10", f), condition("QTY > 40", f)
-    return coverage.decide(x, x.l_orderkey * 10 + x.l_linenumber, [
+    return coverage.observe_decisions(x, x.l_orderkey * 10 + x.l_linenumber, [
         (1, "IF", condition("FLAG = 'A' OR 'R'", f)), (2, "WHEN", d2), (3, "WHEN", F.when(~d2, d3)), (4, "WHEN", ~(d2 | d3)), (5, "IF", condition("STATUS = 'O '", f)),
     ])
 
 
 @query(f"WITH {_EVENTS} SELECT ordinal, kind, result AS direction, count(DISTINCT run_id) AS n_runs, min(run_id) AS first_run FROM e GROUP BY 1, 2, 3")
 def direction_coverage(spark, read) -> DataFrame:
-    return coverage.observe(decisions(read))
+    return decisions(read)
 
 
-@query(f"WITH {_EVENTS}, s AS (SELECT DISTINCT ordinal, kind, result FROM e WHERE run_id % 1000 = 11) SELECT b.ordinal, b.kind, b.direction FROM (SELECT * FROM (VALUES (1, 'IF'), (2, 'WHEN'), (3, 'WHEN'), (4, 'WHEN'), (5, 'IF'), (6, 'LOOP')) t(ordinal, kind), (VALUES (TRUE), (FALSE)) d(direction)) b LEFT JOIN s ON s.ordinal = b.ordinal AND s.kind = b.kind AND s.result = b.direction WHERE s.ordinal IS NULL")
+@query(f"WITH {_EVENTS}, s AS (SELECT DISTINCT ordinal, kind, result FROM e) SELECT b.ordinal, b.kind, b.direction FROM (SELECT * FROM (VALUES (1, 'IF'), (2, 'WHEN'), (3, 'WHEN'), (4, 'WHEN'), (5, 'IF'), (6, 'LOOP')) t(ordinal, kind), (VALUES (TRUE), (FALSE)) d(direction)) b LEFT JOIN s ON s.ordinal = b.ordinal AND s.kind = b.kind AND s.result = b.direction WHERE s.ordinal IS NULL")
 def missing_directions(spark, read) -> DataFrame:
     branches = values(spark, [(1, "IF"), (2, "WHEN"), (3, "WHEN"), (4, "WHEN"), (5, "IF"), (6, "LOOP")], "ordinal int, kind string")
-    return coverage.missing(branches, coverage.observe(decisions(read)))
+    return coverage.missing(branches, decisions(read))
 
 
 @query("SELECT event_type, user_id % 7 AS g, bool_or(value > 0) AS only FROM events GROUP BY 1, 2 HAVING count(DISTINCT value > 0) = 1")
@@ -128,9 +128,8 @@ def learned_rank(spark, read) -> DataFrame:
 def needs_median(spark, read) -> DataFrame:
     """The upper median of sorted sizes."""
     g = read("lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("n"))
-    s = g.groupBy("l_returnflag").agg(F.array_sort(F.collect_list("n")).alias("s"))
-    at = lambda i: F.element_at("s", i.cast("int"))
-    return s.select("l_returnflag", at(F.floor((F.size("s") - 1) / 2) + 1).alias("lower_"), at(F.floor(F.size("s") / 2) + 1).alias("median"), at(F.size("s")).alias("most"))
+    middle = lambda order: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY n{order})").cast("long")
+    return g.groupBy("l_returnflag").agg(middle("").alias("lower_"), middle(" DESC").alias("median"), F.max("n").alias("most"))
 
 
 _NEEDS = [("p1", ["a"]), ("p2", ["a", "b"]), ("p3", ["b", "c"]), ("p4", ["c"]), ("p5", ["d", "e"]), ("p6", ["d", "e"]), ("p7", ["e", "f"]), ("p8", [])]
@@ -349,7 +348,8 @@ _OPCODES = [("READ:A", c, k, p) for k, c in enumerate(("23", "35", "90")) for p
 def fault_worlds(spark, read) -> DataFrame:
     """One fault code at one call; sorted before the cap of sixty, so that the cap falls evenly on the operations."""
     w = values(spark, _OPCODES, "op string, code string, code_rank int, pos int")
-    return w.withColumn("k", F.row_number().over(Window.orderBy("code_rank", "pos", "op")).cast("bigint")).filter("k <= 60").select("op", "code", "pos", "k")
+    first = w.orderBy("code_rank", "pos", "op").limit(60)
+    return first.withColumn("k", F.row_number().over(Window.orderBy("code_rank", "pos", "op")).cast("bigint")).select("op", "code", "pos", "k")
 
 
 @query("SELECT o_orderkey, coalesce(t1.n_nationkey, t2.n_nationkey) AS nation, CASE WHEN t1.n_nationkey IS NOT NULL THEN 'exact' WHEN t2.n_nationkey IS NOT NULL THEN 'alias' ELSE 'none' END AS tier FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'NATION_' ELSE 'nation-' END || (o_orderkey % 30) AS name FROM orders) o LEFT JOIN nation t1 ON t1.n_name = name LEFT JOIN nation t2 ON upper(replace(name, '-', '_')) = t2.n_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from guardwalk.functions import cobol
 from guardwalk.functions.codecs import Item, layout
+from guardwalk.operators import coverage
 from guardwalk.plans import worlds
 from guardwalk.plans.runner import Run, final_states, run_program
 from guardwalk.plans.values import related
@@ -158,3 +159,23 @@ def test_both_comparisons_agree(spark):
         for op in {x[1] for x in rows}:
             said = df.filter(F.col("op") == op).select("i", F.coalesce(cobol.compare(F.col("a"), op, F.col("b"), "string", kind), F.lit(op == "!=")).alias("x")).collect()
             assert all(bool(x["x"]) == related(rows[x["i"]][0], op, rows[x["i"]][2]) for x in said), op
+
+
+def test_greedy_cover(spark):
+    """The largest gain first, of equal ones the first name; without a gain the need of most plans."""
+    needs = [("p1", ["a"]), ("p2", ["a", "b"]), ("p3", ["b", "c"]), ("p4", ["c"]), ("p5", ["d", "e"]), ("p6", ["d", "e"]), ("p7", ["e", "f"]), ("p8", [])]
+    granted, want = set(), []
+    while left := {p: set(n) - granted for p, n in needs if set(n) - granted}:
+        names = sorted({x for n in left.values() for x in n})
+        gain = {x: sum(n == {x} for n in left.values()) for x in names}
+        best = max(names, key=lambda x: (gain[x], 0 if gain[x] else sum(x in n for n in left.values()), [-ord(c) for c in x])) if any(gain.values()) else max(names, key=lambda x: (sum(x in n for n in left.values()), [-ord(c) for c in x]))
+        granted.add(best)
+        want.append((best, sum(set(n) <= granted for _, n in needs)))
+    assert coverage.unlock(spark.createDataFrame(needs, "plan string, needs array<string>")) == want
+
+
+def test_flags_and_events_agree(spark):
+    df = spark.createDataFrame([(1, 1), (1, 5), (2, None), (3, 5), (4, 0)], "r int, x int")
+    decisions = [(1, "IF", F.col("x") > 2), (2, "WHEN", F.when(F.col("x") < 5, F.col("x") == 1))]
+    listed = lambda d: sorted(map(tuple, d.select("ordinal", "kind", "direction", "n_runs", "first_run").collect()))
+    assert listed(coverage.observe_decisions(df, F.col("r"), decisions)) == listed(coverage.observe(coverage.decide(df, F.col("r"), decisions)))
