@@ -7,6 +7,10 @@ headers but no payload. Reading: each member or record must pass its checks
 After a failure the reader looks for the next valid member or version line, goes
 on there, and logs the bytes between as a gap.
 
+`store_archives` writes archives as objects of a folder, `read_archives` reads any
+folder of archives that Spark can reach. The query reads back what it has written
+itself, so a gap there is an error and stops it.
+
 Defined results: a null html is an empty payload; null ids are responses of
 their own; repeated rows (equal id and payload) are all responses or all
 revisits; an empty table gives no archives; other columns are ignored.
@@ -16,14 +20,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardwalk.llm.hot import join_facts
@@ -154,6 +160,8 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     n = int(sizes[1]) if sizes else len(payload)
     if kind == "response" and (n != len(payload) or digest and digest != sha1_32(payload)):
         raise Damaged("payload digest")
+    if kind == "response" and not digest:
+        digest = sha1_32(payload)
     return {"kind": kind, "id": said(b"warc-record-id"), "refers": said(b"warc-refers-to"), "uri": said(b"warc-target-uri"), "digest": digest, "n": n, "payload": payload}, end + 4
 
 
@@ -174,6 +182,14 @@ def salvage_bytes(archive: str, data: bytes, with_payload: bool = False) -> Iter
     def found(at: int, size: int, r: dict) -> tuple:
         return (archive, "record", at, size, name(r["id"]), r["n"], r["digest"], r["kind"], name(r["refers"]), r["uri"], None, r["payload"] if with_payload else None)
 
+    ahead = dict.fromkeys((MAGIC, VERSION), -1)  # where each mark comes next; found once, so that damage costs no second search
+
+    def next_mark(at: int) -> int:
+        for mark, x in ahead.items():
+            if x <= at:
+                ahead[mark] = x if (x := data.find(mark, at + 1)) >= 0 else len(data)
+        return min(ahead.values())
+
     at, bad, why = 0, -1, ""
     while at < len(data):
         inside: list[tuple[int, int, dict | str]] = []
@@ -189,8 +205,7 @@ def salvage_bytes(archive: str, data: bytes, with_payload: bool = False) -> Iter
         except Damaged as e:
             if bad < 0:
                 bad, why = at, str(e)
-            nexts = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(nexts, default=len(data))
+            at = next_mark(at)
             continue
         if bad >= 0:
             yield gap(bad, at - bad, why)
@@ -249,11 +264,40 @@ def salvage(archives: DataFrame, with_payload: bool = False, rows: int = 500) ->
     return archives.select("archive", "bytes").mapInArrow(run, SCHEMA)
 
 
+def store_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """(archive, path, n_bytes) of the objects written to `folder`, which every executor must have mounted.
+
+    `archives` must be read from a stored table or checkpoint, so that a task that runs
+    again writes the same bytes; an object gets its name only when it is whole.
+    """
+    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("n_bytes", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for i in range(b.num_rows):
+                name, data = b.column(0)[i].as_py(), b.column(1)[i].as_py() or b""
+                path, part = os.path.join(folder, name), os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, path)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([path]), pa.array([len(data)], pa.int64())], schema=schema)
+
+    return archives.select("archive", "bytes").mapInArrow(run, "archive string, path string, n_bytes long")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, bytes) of every .warc and .warc.gz object below a path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("bytes"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     checkpoint_dir(spark)
     archives = write_archives(mark_revisits(pages)).checkpoint()  # the stored archives, in the shared folder
-    r = salvage(archives).filter("kind = 'record'")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in an archive of this query:"), "archive", "offset", "reason")).cast("boolean")
+    r = salvage(archives).filter(F.when(F.col("kind") == "record", True).otherwise(lost))
     kind = dict(pages.dtypes)["page_id"]
     return r.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 
