@@ -1,11 +1,16 @@
-"""FLAC: texts' bytes as 8-bit mono samples, in blocks of 192, with a seek point per block.
+"""FLAC: texts' bytes as 8-bit mono samples, in blocks of 192, with seek points.
 
 The encoder picks per block the shortest of constant, verbatim, fixed predictors
 and a quantized linear predictor of order two, with Rice-coded residuals. The
 decoder reads subframes of fixed and linear predictors of any order and any Rice
 partition order, verifies the header's CRC-8, every frame's CRC-16 and the
 stream's MD5, and gives PCM blocks with their sample offsets. Both work on many
-blocks at once: a step handles one sample of every block.
+blocks at once: a step handles one sample of every block. A stream has one seek
+table, with a point per block or, where those would be too many for the format,
+per so many blocks; frames without a point are found by their headers.
+
+Not read (BadStream): other block sizes than 192, other than 8-bit mono samples,
+escaped residuals, wasted bits, and streams that don't say their length.
 
 Defined results: a null text is empty (one block of spaces); repeated rows give
 repeated results; an empty table gives an empty table; other columns are ignored.
@@ -26,6 +31,8 @@ from guardwalk.llm.arrow import map_groups
 BLOCK = 192
 RATE = 8000
 POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
+#: The most seek points that one metadata block holds, whose length has 24 bits.
+POINTS = ((1 << 24) - 1) // POINT.itemsize
 PRECISION, SHIFT = 6, 4
 #: The format's fixed predictors, the newest sample first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -178,12 +185,8 @@ def stream(payload: bytes, frames: bytes, lengths: np.ndarray) -> bytes:
     points["sample"] = np.arange(len(lengths)) * BLOCK
     points["offset"] = lengths.cumsum() - lengths
     points["samples"] = BLOCK
-    table, out = points.tobytes(), [b"fLaC", b"\x00", len(info).to_bytes(3, "big"), info]
-    step = (1 << 24) // 18 * 18 - 18  # a metadata block's length has 24 bits; a longer table goes in parts
-    parts = [table[i : i + step] for i in range(0, len(table), step)] or [b""]
-    for i, p in enumerate(parts):
-        out += [bytes([3 | 0x80 * (i == len(parts) - 1)]), len(p).to_bytes(3, "big"), p]
-    return b"".join([*out, frames])
+    table = points[:: -(-len(points) // POINTS) or 1].tobytes()
+    return b"".join([b"fLaC", b"\x00", len(info).to_bytes(3, "big"), info, b"\x83", len(table).to_bytes(3, "big"), table, frames])
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
@@ -257,20 +260,47 @@ def decode_frames(buf: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> t
         raise BadStream("a frame runs past the end") from e
 
 
-def _decode_frames(buf: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(starts)
-    words = _words(buf)
+def headers(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frame number, bytes of the header, whether it is a header that passes its check) at every start."""
     take = lambda i: buf[np.minimum(starts + i, len(buf) - 1)].astype(np.int64)
-    if not ((take(0) == 0xFF) & (take(1) == 0xF8) & (take(2) >> 4 == 1) & (take(3) & 0xF7 == 0x02)).all() and n:
-        raise BadStream("frame header")
+    good = (take(0) == 0xFF) & (take(1) == 0xF8) & (take(2) >> 4 == 1) & (take(3) & 0xF7 == 0x02)
     lead = take(4)
     size = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], [1, 2, 3, 4, 5, 6], 7)
     number = np.where(size == 1, lead, lead & ((1 << np.maximum(7 - size, 0)) - 1))
     for j in range(1, 7):
         number = np.where(j < size, number << 6 | take(4 + j) & 0x3F, number)
     head = 4 + size + 1
-    if (number != numbers).any() or (crc(buf, starts, head - 1, CRC8, 8) != buf[starts + head - 1]).any():
-        raise BadStream("header check")
+    good &= starts + head <= len(buf)
+    good[good] = crc(buf, starts[good], head[good] - 1, CRC8, 8) == buf[starts[good] + head[good] - 1]
+    return number, head, good
+
+
+def find_frames(buf: np.ndarray, at: int, first: int, count: int) -> np.ndarray:
+    """Where the frames `first` to `first + count - 1` begin, the first of them at `at`.
+
+    A header with the right number and check is the frame if it is the only one of its
+    number; bytes inside a frame may look like one, then every frame's end tells the next.
+    """
+    b = buf[at:]
+    looks = np.flatnonzero((b[:-4] == 0xFF) & (b[1:-3] == 0xF8) & (b[2:-2] >> 4 == 1) & (b[3:-1] & 0xF7 == 0x02)) + at
+    number, _, good = headers(buf, looks)
+    good &= (number >= first) & (number < first + count)
+    looks, number = looks[good], number[good]
+    if (number == np.arange(first, first + count)).all() if len(number) == count else False:
+        return looks
+    starts = np.zeros(count, np.int64)
+    for i in range(count):
+        starts[i] = at
+        at = int(decode_frames(buf, starts[i : i + 1], np.array([first + i]))[1][0])
+    return starts
+
+
+def _decode_frames(buf: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(starts)
+    words = _words(buf)
+    number, head, good = headers(buf, starts)
+    if not good.all() or (number != numbers).any():
+        raise BadStream("frame header")
     bits = Bits(words, (starts + head) * 8)
     first = bits.take(8)
     if (first & 0x81).any():
@@ -350,18 +380,31 @@ def layout(media: bytes) -> tuple[int, bytes, np.ndarray, int]:
         elif kind & 0x7F == 3:
             tables.append(body)
         at += 4 + size
-    return n, md5, np.frombuffer(b"".join(tables), POINT), at
+    points = np.frombuffer(b"".join(tables), POINT)
+    if not n or n % BLOCK:
+        raise BadStream("number of samples")
+    return n, md5, points[points["sample"] < n], at
+
+
+def frame_starts(media: bytes, first: int, stop: int) -> np.ndarray:
+    """Where the blocks from `first` to before `stop` begin: by the seek points, or from the last point before them on."""
+    n, _, points, at = layout(media)
+    if len(points) * BLOCK == n:
+        return points["offset"][first:stop].astype(np.int64) + at
+    k = points["sample"].astype(np.int64) // BLOCK
+    before, behind = np.searchsorted(k, first, "right") - 1, np.searchsorted(k, stop)
+    k0, begin = (int(k[before]), at + int(points["offset"][before])) if before >= 0 else (0, at)
+    end = at + int(points["offset"][behind]) if behind < len(k) else len(media)
+    return find_frames(np.frombuffer(media, np.uint8, end), begin, k0, stop - k0)[first - k0 :]
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads of streams, every check passed. Seek points let all blocks of all streams be read at once."""
+    """The payloads of streams, every check passed. All blocks of all streams are read at once, up to 8192."""
     heads = [layout(m) for m in streams]
     starts, numbers, base = [], [], 0
-    for m, (n, _, points, at) in zip(streams, heads, strict=True):
-        if len(points) * BLOCK != n:
-            raise BadStream("seek table")
-        starts.append(points["offset"].astype(np.int64) + at + base)
-        numbers.append(points["sample"].astype(np.int64) // BLOCK)
+    for m, (n, *_) in zip(streams, heads, strict=True):
+        starts.append(frame_starts(m, 0, n // BLOCK) + base)
+        numbers.append(np.arange(n // BLOCK))
         base += len(m)
     buf = np.frombuffer(b"".join(streams), np.uint8)
     s, k = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (starts, numbers))
@@ -373,12 +416,12 @@ def decode(streams: list[bytes]) -> list[bytes]:
         ends.append(e + lo)
     samples, e = np.concatenate(parts) if parts else np.zeros((0, BLOCK), np.uint8), np.concatenate(ends) if ends else s
     out, a, base = [], 0, 0
-    for m, (n, md5, points, _) in zip(streams, heads, strict=True):
-        c = len(points)
+    for m, (n, md5, *_) in zip(streams, heads, strict=True):
+        c = n // BLOCK
         payload = samples[a : a + c].reshape(-1)
         base += len(m)
         if c and ((e[a : a + c - 1] != s[a + 1 : a + c]).any() or e[a + c - 1] != base):
-            raise BadStream("frames and seek points differ")
+            raise BadStream("a frame doesn't end where the next begins")
         if hashlib.md5((payload ^ 0x80).tobytes()).digest() != md5:
             raise BadStream("MD5")
         out.append(payload.tobytes())
@@ -388,13 +431,13 @@ def decode(streams: list[bytes]) -> list[bytes]:
 
 def read_samples(media: bytes, first: int, count: int) -> bytes:
     """Bytes [first, first + count) of the payload: only the blocks that hold them are decoded."""
-    n, _, points, at = layout(media)
+    n = layout(media)[0]
     first, stop = max(0, first), min(n, first + count)
     if first >= stop:
         return b""
-    p = points[first // BLOCK : (stop - 1) // BLOCK + 1]
-    x, _ = decode_frames(np.frombuffer(media, np.uint8), p["offset"].astype(np.int64) + at, p["sample"].astype(np.int64) // BLOCK)
-    skip = first - int(p["sample"][0])
+    k0, k1 = first // BLOCK, (stop - 1) // BLOCK + 1
+    x, _ = decode_frames(np.frombuffer(media, np.uint8), frame_starts(media, k0, k1), np.arange(k0, k1))
+    skip = first - k0 * BLOCK
     return (x + 128).astype(np.uint8).tobytes()[skip : skip + stop - first]
 
 

@@ -128,6 +128,11 @@ def test_flac_round_trip(spark):
         n, p = flac.payload_of(t)
         r = got[(i, hashlib.sha256(p).hexdigest())]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (n, len(p), zlib.crc32(p[-16:])) and len(p) % 192 == 0 and p
+        x = [b - 128 for b in p]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert r["feature"] == f"sum={sum(x)};energy={sum(v * v for v in x)};crossings={turns};peak={max(map(abs, x))}"
+        (m,) = flac.encode([p])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(m), hashlib.sha256(m).hexdigest())
     assert flac.read_media(flac.encode_media(empty(spark))).count() == 0
 
 
@@ -142,6 +147,29 @@ def test_flac_any_bytes():
             assert flac.read_samples(m, a, n) == p[a : a + n]
 
 
+@pytest.mark.parametrize("most", [1, 3, 7])
+def test_flac_without_a_point_per_block(monkeypatch, most):
+    """Frames without a seek point are found by their headers, also where a frame's bytes look like a header."""
+    r = random.Random(6)
+    some = [bytes(r.randrange(256) for _ in range(192 * 300)), flac.payload_of(prose(3000, 7))[1], bytes(192)]
+    (one,) = flac.encode([some[0]])
+    n, _, points, at = flac.layout(one)
+    like = [one[at + int(p["offset"]) :][:6] for p in points[100:200]]  # headers of later frames as samples of earlier ones
+    some.append(b"".join(like).ljust(192 * 4, b"\x07") + some[0][: 192 * 250])
+    monkeypatch.setattr(flac, "POINTS", most)
+    media = flac.encode(some)
+    for m, p in zip(media, some, strict=True):
+        n, _, points, at = flac.layout(m)
+        assert 1 <= len(points) <= most and n == len(p) and (len(points) * 192 < n or n == 192)
+    assert flac.decode(media) == some
+    for p, m in zip(some, media, strict=True):
+        for a, c in [(0, 1), (len(p) - 5, 9), *((r.randrange(len(p)), r.randrange(1, 900)) for _ in range(4))]:
+            assert flac.read_samples(m, a, c) == p[a : a + c]
+    cut = media[0][: flac.layout(media[0])[3]] + media[0][-1000:]
+    with pytest.raises(flac.BadStream):
+        flac.decode([cut])
+
+
 def test_flac_checks_catch_every_flipped_bit():
     p = flac.payload_of(prose(100, 3))[1]
     m = flac.encode([p])[0]
@@ -174,6 +202,26 @@ def test_flac_decodes_other_partitions_and_orders():
     assert got[0].tolist() == x.tolist() and end[0] == len(body) + 2
 
 
+def test_flac_decodes_a_hand_made_linear_predictor():
+    """Order 3, precision 7, shift 5, five-bit Rice parameters in two partitions."""
+    x = [int(60 * np.sin(i / 9) + 20 * np.cos(i / 4)) for i in range(192)]
+    weights, shift = (61, -33, 3), 5
+    bits = f"0{31 + 3:06b}0" + "".join(f"{v & 255:08b}" for v in x[:3]) + f"{6:04b}{shift:05b}" + "".join(f"{w & 127:07b}" for w in weights) + "01" + f"{1:04b}"
+    for part, k in ((range(3, 96), 2), (range(96, 192), 4)):
+        bits += f"{k:05b}"
+        for i in part:
+            v = x[i] - (sum(w * x[i - 1 - j] for j, w in enumerate(weights)) >> shift)
+            z = v * 2 if v >= 0 else -v * 2 - 1
+            bits += "0" * (z >> k) + "1" + f"{z & ((1 << k) - 1):0{k}b}"
+    bits += "0" * (-len(bits) % 8)
+    table = lambda data, t, size: int(flac.crc(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]), t, size)[0])
+    head = bytes([0xFF, 0xF8, 0x14, 0x02, 0])
+    body = head + bytes([table(head, flac.CRC8, 8)]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    body += table(body, flac.CRC16, 16).to_bytes(2, "big")
+    got, end = flac.decode_frames(np.frombuffer(body, np.uint8), np.array([0]), np.array([0]))
+    assert got[0].tolist() == x and end[0] == len(body)
+
+
 def test_pcm_blocks(spark):
     rows = flac.pcm_blocks(flac.encode_media(docs(spark).filter("doc_id = 6")), 960).orderBy("sample_offset").collect()
     assert b"".join(r["pcm"] for r in rows) == flac.payload_of(texts()[6][1])[1] and [r["sample_offset"] for r in rows] == [960 * i for i in range(len(rows))]
