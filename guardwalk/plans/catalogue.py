@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guardwalk.plans import programs, relational, scalar
+from guardwalk.plans import programs, relational, scalar, walks
 
-QUERIES = {**scalar.QUERIES, **relational.QUERIES, **programs.QUERIES}
-ORACLES = {**scalar.ORACLES, **relational.ORACLES, **programs.ORACLES}
+QUERIES = {**scalar.QUERIES, **relational.QUERIES, **programs.QUERIES, **walks.QUERIES}
+ORACLES = {**scalar.ORACLES, **relational.ORACLES, **programs.ORACLES, **walks.ORACLES}

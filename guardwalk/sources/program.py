@@ -466,6 +466,26 @@ def operations(sources: DataFrame) -> DataFrame:
     return _table(sources, lambda p: list(rows(p)), "program string, paragraph string, ordinal int, operation string, phrases array<string>")
 
 
+def execution_order(sources: DataFrame) -> DataFrame:
+    """(program, paragraph, rank): paragraphs as a walk from the first one enters them, calls in source order; unreached ones behind, in source order."""
+
+    def rows(p: Program):
+        below: dict[str, list[str]] = {}
+        for caller, callee, *_ in call_sites(p):
+            below.setdefault(caller, []).append(callee)
+        names = [n for n, _ in p.paragraphs]
+        seen: dict[str, None] = {}
+        stack = names[:1]
+        while stack:
+            at = stack.pop()
+            if at in names and at not in seen:
+                seen[at] = None
+                stack += below.get(at, [])[::-1]
+        return [(p.name, n, i) for i, n in enumerate([*seen, *(n for n in names if n not in seen)])]
+
+    return _table(sources, rows, "program string, paragraph string, rank int")
+
+
 def copies(sources: DataFrame) -> DataFrame:
     """(path, book) for every book that a source copies."""
 
