@@ -88,3 +88,19 @@ def canonical_state(state: Column) -> Column:
 def proxy_profile(bindings: DataFrame) -> DataFrame:
     """(slot, injectable, n_values): slots that evidence has set to two different values or more can be injected."""
     return bindings.groupBy("slot").agg(F.count_distinct("value").alias("n_values")).select("slot", (F.col("n_values") >= 2).alias("injectable"), "n_values")
+
+
+def boundaries(fields: DataFrame) -> DataFrame:
+    """(program, field, pos, category, value): values at and beyond the edge of every elementary field's picture.
+
+    fields: (program, field, numeric, width). A picture without digits or letters gives no row.
+    """
+    nines, over = F.repeat(F.lit("9"), F.col("width")), F.concat(F.lit("1"), F.repeat(F.lit("0"), F.col("width")))
+    pair = lambda c, v: F.struct(F.lit(c).alias("category"), v.alias("value"))
+    digits = F.array(pair("all-nines", nines), pair("overflow", over), pair("negative-max", F.concat(F.lit("-"), nines)), pair("zero", F.lit("0")))
+    letters = F.array(
+        pair("width-exact", F.repeat(F.lit("A"), F.col("width"))), pair("over-width", F.repeat(F.lit("A"), F.col("width") + 1)),
+        pair("trailing-space", F.concat(F.repeat(F.lit("A"), F.col("width") - 1), F.lit(" "))), pair("spaces", F.repeat(F.lit(" "), F.col("width"))),
+    )
+    each = F.posexplode(F.when(F.col("numeric"), digits).otherwise(letters)).alias("pos", "v")
+    return fields.filter("width > 0").select("program", "field", each).select("program", "field", "pos", "v.category", "v.value")

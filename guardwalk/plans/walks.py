@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from guardwalk.operators import evidence, graph, paths
 from guardwalk.plans.programs import HEAD, READER, SOURCE, _src, states
 from guardwalk.plans.relational import sql_values, values
-from guardwalk.plans.runner import final_states
+from guardwalk.plans.runner import final_states, run_program
+from guardwalk.plans.solver import plans
 from guardwalk.plans.worlds import worlds
 from guardwalk.sources import program as source
+from guardwalk.sources import stores
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +221,55 @@ def canonical_states(spark, read) -> DataFrame:
 def proxy_profile(spark, read) -> DataFrame:
     """What evidence shows a harness can set."""
     return evidence.proxy_profile(read("orders").select(F.col("o_custkey").alias("slot"), F.col("o_orderstatus").alias("value")))
+
+
+# ---- a program's worlds, plans and operations against a harness
+
+
+def _worlds(spark) -> DataFrame:
+    return worlds(spark.createDataFrame([(READER,)], "source string"))
+
+
+@query("SELECT * FROM (VALUES ('io', 'loop_limit', 1::BIGINT), ('io', 'ended', 2), ('sequence', 'ended', 3), ('fault', 'ended', 9)) t(kind, disposition, n)")
+def world_dispositions(spark, read) -> DataFrame:
+    """How the runs in each kind of world end."""
+    w = _worlds(spark)
+    ends = final_states(READER, w.select(F.col("world").alias("run_id"), "outcomes"))
+    return ends.join(w.select(F.col("world").alias("run_id"), "kind"), "run_id").groupBy("kind", F.col("stopped").alias("disposition")).agg(F.count("*").alias("n"))
+
+
+@query(listed([("A-MAIN", 1, "IF", True, "OPEN:IN-FILE 35 at 1"), ("A-MAIN", 1, "IF", False, "empty"), ("B-READ", 0, "AT END", True, "empty"), ("B-READ", 0, "AT END", False, "populated"), ("B-READ", 3, "IF", True, "READ:IN-FILE 23 at 1"), ("B-READ", 3, "IF", False, "empty")],
+    "paragraph, ordinal, kind, direction, recipe"))
+def world_credit(spark, read) -> DataFrame:
+    """The simplest world that takes each direction of an IF or a phrase, kept by a ledger that has met the worlds kind by kind."""
+    names = _worlds(spark).filter("world <> 'bare'").select(F.col("world").alias("run_id"), "kind", "outcomes")
+    seq = F.when(F.col("kind") == "io", F.when(F.col("run_id") == "empty", 1).otherwise(2)).when(F.col("kind") == "sequence", F.substring_index("run_id", " ", -1).cast("int") + 2)
+    order = names.withColumn("run_seq", F.coalesce(seq, F.when(F.col("run_id").startswith("READ:IN-FILE 23"), F.substring_index("run_id", " ", -1).cast("int") + 10), F.lit(100)).cast("long"))
+    e = run_program(READER, names.drop("kind")).filter("kind <> 'LOOP'").join(order.select("run_id", "kind", "run_seq").withColumnRenamed("kind", "world_kind"), "run_id")
+    taken = e.select("paragraph", "ordinal", "kind", F.col("result").alias("direction"), F.col("run_id").alias("recipe"), "run_seq", "world_kind")
+    ledger = stores.credit(taken.filter("world_kind = 'io'"), taken.filter("world_kind = 'sequence'"))
+    return stores.credit(ledger, taken.filter("world_kind = 'fault'")).drop("run_seq")
+
+
+@query(listed([("D-OPEN", "WS-STATUS", "not injectable: WS-STATUS")], "plan, slot, reason"))
+def plan_representability(spark, read) -> DataFrame:
+    """Bindings of a program's plans that a harness which sets WS-FLAG and WS-QTY only can't hold."""
+    bound = plans(_src(spark)).select(F.col("target").alias("plan"), F.explode(F.map_keys(F.from_json("state", "map<string,string>"))).alias("slot"))
+    profile = values(spark, [("p", ["WS-FLAG", "WS-QTY"], [], "READ:IN-FILE", [], ["IN-KEY"])], "name string, injectable array<string>, replayable array<string>, op string, aliases array<string>, fields array<string>")
+    return stores.unrepresentable(bound.select("plan", "slot", F.lit(None).cast("string").alias("op"), F.col("slot").alias("field")), profile)
+
+
+@query(listed([("OPEN:IN-FILE", "OPEN-IN-FILE", "canonical"), ("READ:IN-FILE", "GET.RECORD", "alias")], "op, found, tier"))
+def operation_resolution(spark, read) -> DataFrame:
+    """A program's operations under the names that a harness has for them."""
+    profile = values(spark, [("OPEN-IN-FILE", ["OPN"]), ("GET.RECORD", ["read_in_file"])], "op string, aliases array<string>")
+    ops = source.operations(spark.createDataFrame([(READER,)], "source string")).select(F.col("operation").alias("op"))
+    return stores.resolve_operations(ops, profile)
+
+
+@query(listed(
+    [("WS-X", i, c, v) for i, (c, v) in enumerate([("all-nines", "9"), ("overflow", "10"), ("negative-max", "-9"), ("zero", "0")])] + [("WS-Y", i, c, v) for i, (c, v) in enumerate([("width-exact", "A"), ("over-width", "AA"), ("trailing-space", " "), ("spaces", " ")])],
+    "field, pos, category, value"))
+def field_boundaries(spark, read) -> DataFrame:
+    """Values at the edges of a program's own fields."""
+    return evidence.boundaries(source.pictures(spark.createDataFrame([(ENDER,)], "source string"))).drop("program")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardwalk.functions.codecs import Item, layout
+from guardwalk.functions.codecs import Item, Picture, layout
 
 TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\.(?=\s|$)|(?:[^\s'\".]|\.(?!\s|$))+")
 VERBS = set("ACCEPT ADD ALTER CALL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE EVALUATE EXEC EXIT GO GOBACK IF INITIALIZE INSPECT MOVE MULTIPLY OPEN PERFORM READ RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT UNSTRING WRITE".split())
@@ -412,6 +412,18 @@ def fields(sources: DataFrame) -> DataFrame:
     return _table(sources, lambda p: [(p.name, n, f["parent"], f["pic"], None if f["value"] is None else json.dumps(f["value"])) for n, f in p.fields.items()], "program string, field string, parent string, pic string, value string")
 
 
+def pictures(sources: DataFrame) -> DataFrame:
+    """(program, field, numeric, width) of every field that has a picture: a number's digits before the point, else printed characters."""
+
+    def rows(p: Program):
+        for n, f in p.fields.items():
+            if f["pic"]:
+                pic = Picture.of(f["pic"])
+                yield p.name, n, pic.numeric, pic.whole if pic.numeric else pic.printed
+
+    return _table(sources, lambda p: list(rows(p)), "program string, field string, numeric boolean, width int")
+
+
 def edges(sources: DataFrame) -> DataFrame:
     return _table(sources, lambda p: [(p.name, *c) for c in call_sites(p)], "program string, caller string, callee string, seq long, guards array<string>, kind string")
 

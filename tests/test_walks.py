@@ -95,6 +95,12 @@ def test_record_group_needs_its_score(spark):
     assert sorted(map(tuple, evidence.record_group(f, g).collect())) == [("WS-CUST", "WS-CUST-ALT", 2), ("WS-CUST-ID", "WS-CUST-ALT", 2)]
 
 
+def test_boundaries_of_pictures(spark):
+    text = RECURSIVE.replace("01  N PIC 9.", "01  N PIC 9.\n       01  M PIC S9(3)V99 COMP-3.\n       01  G.\n          05 T PIC X(3).")
+    got = {(r["field"], r["category"]): r["value"] for r in evidence.boundaries(source.pictures(spark.createDataFrame([(text,)], "source string"))).collect()}
+    assert len(got) == 12 and got["M", "overflow"] == "1000" and got["M", "negative-max"] == "-999" and got["T", "trailing-space"] == "AA " and got["T", "over-width"] == "AAAA"
+
+
 def test_sampled_values(spark):
     pool = ["a", "b", "c"]
     rows = spark.range(50).select("id", evidence.sampled("s", F.col("id"), F.lit("F"), F.array(*map(F.lit, pool))).alias("v"))
