@@ -359,18 +359,25 @@ def rooted(stars: DataFrame) -> DataFrame:
     return stars.union(stars.select("component", "component").distinct())
 
 
-def candidates(reps: DataFrame, small: DataFrame, alike: DataFrame, percent: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(set_key, rep, digest, cc, members, chunks): classes that candidate links join, and how many chunks their group takes.
-
-    Members of a small node are candidates of each other by their sketches, members of
-    a large alike node all of them. Only classes of one group need comparing.
-    """
+def candidate_edges(reps: DataFrame, small: DataFrame, alike: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of a small node are candidates of each other by their sketches, members of a large alike node all of them."""
     bar = SKETCH * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5)
     told = small.select("key", "set_key").join(reps.select("set_key", "n", "sketch").hint("shuffle_hash"), "set_key").select("key", "set_key", "n", "sketch")
-    edges = in_groups(told, "a binary, b binary", lambda rows: like(rows, bar, percent))
+    return in_groups(told, "a binary, b binary", lambda rows: like(rows, bar, percent)).union(star_edges(alike))
+
+
+def star_edges(alike: DataFrame) -> DataFrame:
+    """(a, b): every member of a node (key, set_key) with the node's least one."""
     least = alike.groupBy("key").agg(F.min("set_key").alias("b"), F.count("*").alias("n_node"))
-    stars = join_facts(alike, "key", [F.col("set_key")], least, "n_node", alike.count()).select(F.col("set_key").alias("a"), "b")
-    groups = rooted(components(edges.union(stars), cut))
+    return join_facts(alike, "key", [F.col("set_key")], least, "n_node", alike.count()).select(F.col("set_key").alias("a"), "b")
+
+
+def candidates(reps: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(set_key, rep, digest, cc, members, chunks): classes that candidate links join, and how many chunks their group takes.
+
+    Only classes of one group need comparing.
+    """
+    groups = rooted(components(edges, cut))
     named = cut(groups.withColumnRenamed("component", "cc").join(reps.select("set_key", "rep", "digest", "n").hint("shuffle_hash"), F.col("node") == F.col("set_key")).drop("node"))
     sizes = named.groupBy("cc").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     chunks = F.when((F.col("members") <= SMALL) & (F.col("tokens") <= TOKENS), 1).otherwise(F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(2 * F.col("tokens") / TOKENS), F.lit(2)))
@@ -435,7 +442,18 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.digest", "m.n", "m.roots", "m.sketch", "copies"))
     leaves = grow(reps, reps.count(), cut)
     small, alike = leaves.filter("NOT dense"), leaves.filter("dense")
-    found = candidates(reps, small, alike, percent, cut)
+    edges = candidate_edges(reps, small, alike, percent)
+    return confirmed(docs, id_col, text_col, width, percent, sets, reps, edges, small, alike, t)
+
+
+def confirmed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, sets: DataFrame, reps: DataFrame, edges: DataFrame, small: DataFrame, alike: DataFrame, t: Tables, verify: Callable[[list[tuple], int], list[tuple]] = joined) -> DataFrame:
+    """What `classified` gives, from candidate `edges` and the nodes (key, set_key) that hold every linked pair.
+
+    Candidates are verified on full sets, whose classes come from `sets` (doc_id, digest, n, set_key) and
+    `reps` (set_key, rep, digest, n, copies).
+    """
+    cut = t.cut
+    found = candidates(reps, edges, cut)
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     held = texts.join(found.withColumnRenamed("digest", "_d").hint("shuffle_hash"), (F.col("_id") == F.col("rep")) & (text_digest(F.col("_text")) == F.col("_d")))
 
@@ -446,7 +464,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     wanted = [held[c] for c in ("set_key", "cc", "members", "chunks", "_text")]
     full = cut(map_rows(held, wanted, "set_key binary, cc binary, members long, chunks long, tokens binary", make))
     alone = full.filter("chunks = 1").select(F.col("cc").alias("key"), "set_key", F.col("set_key").alias("label"), "tokens")
-    links = in_groups(alone, "a binary, b binary", lambda rows: joined(rows, percent))
+    links = in_groups(alone, "a binary, b binary", lambda rows: verify(rows, percent))
     large = full.filter("chunks > 1")
     if not large.isEmpty():
         links = links.union(large_links(large, small, alike, percent, cut))
@@ -493,13 +511,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     return components_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLE = rf"""
+def oracle(percent: int = PERCENT, more: str = ", d.doc_id = m.c AS kept") -> str:
+    """All pairs that share a shingle, in DuckDB."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+{WIDTH - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)),
 r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id{more}
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = d.doc_id
 """
+
+
+ORACLE = oracle()

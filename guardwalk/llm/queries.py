@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guardwalk.llm import bpe, flac, licenses, mixing, neardup, quality, secrets, sharding, unigram, warc
+from guardwalk.llm import bpe, flac, licenses, mixing, neardup, ngramjoin, quality, secrets, sharding, trie, unigram, warc, whitening
 
 QUERIES = {
     "op1_license_scans": licenses.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scans": secrets.query,
     "op9_mixing": mixing.query,
     "op10_quality_rules": quality.query,
+    "op11_whitening": whitening.query,
+    "op12_prefix_trie": trie.query,
+    "op13_ngram_join": ngramjoin.query,
 }
 ORACLES = {
     "op3_warc_salvage": warc.ORACLE,
@@ -22,4 +25,6 @@ ORACLES = {
     "op6_sharding": sharding.ORACLE,
     "op8_secret_scans": secrets.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
+    "op13_ngram_join": ngramjoin.ORACLE,
 }
