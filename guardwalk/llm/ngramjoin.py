@@ -118,9 +118,9 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def postings(docs: DataFrame, text_col: str, width: int, percent: int, often: np.ndarray) -> DataFrame:
-    """(token, hi, lo, n, at) of every set's prefix; hi and lo are the set's key. A set may come once from every task."""
+    """(token, hi, lo, place) of every set's prefix; hi and lo are the set's key, place its size * 2^32 + the token's place. A set may come once from every task."""
     shared = docs.sparkSession.sparkContext.broadcast(often)  # COUNTERS numbers, whatever the corpus
-    schema = pa.schema([("token", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts, seen = Shingler(width), shared.value, set()
@@ -131,7 +131,7 @@ def postings(docs: DataFrame, text_col: str, width: int, percent: int, often: np
             k = np.array([len(t) for t in tokens])
             pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            columns = [np.concatenate(tokens).view(np.int64), np.repeat(pair[:, 0], k), np.repeat(pair[:, 1], k), np.repeat(np.array(sizes, np.int32), k), at.astype(np.int32)]
+            columns = [np.concatenate(tokens).view(np.int64), np.repeat(pair[:, 0], k), np.repeat(pair[:, 1], k), (np.repeat(np.array(sizes, np.int64), k) << 32) + at]
             tokens.clear(), keys.clear(), sizes.clear()
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
@@ -155,21 +155,21 @@ def postings(docs: DataFrame, text_col: str, width: int, percent: int, often: np
         if tokens:
             yield packed()
 
-    return docs.select(docs[text_col]).mapInArrow(run, "token long, hi long, lo long, n int, at int")
+    return docs.select(docs[text_col]).mapInArrow(run, "token long, hi long, lo long, place long")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
     """(token, members, set_key, n, at): postings of shingles that several classes have; of shingles with the same classes, the rarest's."""
-    rows = rows.repartition("token")
+    rows = rows.filter("token IS NOT NULL").repartition("token")  # both uses below need the same rows and columns, so Spark makes and shuffles them once
     low = F.lit((1 << 31) - 1)
     pieces = [x for c in ("hi", "lo") for x in (F.col(c).bitwiseAND(low), F.shiftrightunsigned(F.col(c), 33))]
-    told = rows.groupBy("token").agg(F.min("hi").alias("least"), F.max("hi").alias("most"), F.count("*").alias("members"), F.min_by("at", "hi").alias("at"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(pieces)])
+    told = rows.groupBy("token").agg(F.min("hi").alias("least"), F.max("hi").alias("most"), F.count("*").alias("members"), F.min_by("place", "hi").alias("place"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(pieces)])
     told = told.filter("least <> most")
     # equal sums of the members' keys: the same members; among their shingles places run alike in all of them
-    kept = told.groupBy("members", "least", "most", *[f"s{i}" for i in range(4)]).agg(F.min_by("token", "at").alias("token")).select("token", "members")
+    kept = told.groupBy("members", "least", "most", *[f"s{i}" for i in range(4)]).agg(F.min_by("token", "place").alias("token")).select("token", "members")
     half = lambda c: F.lpad(F.hex(c), 16, "0")
     swap = lambda c: F.concat(*[F.substring(half(c), 15 - 2 * i, 2) for i in range(8)])  # noqa: E731  the key's bytes were read as little-endian numbers
-    return rows.join(kept.hint("shuffle_hash"), "token").select("token", "members", F.unhex(F.concat(swap("hi"), swap("lo"))).alias("set_key"), "n", "at")
+    return rows.join(kept.hint("shuffle_hash"), "token").select("token", "members", F.unhex(F.concat(swap("hi"), swap("lo"))).alias("set_key"), F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 
 
 def may_link(rows: list[tuple], percent: int) -> list[tuple]:
