@@ -119,31 +119,92 @@ class Damaged(Exception):
     pass
 
 
-def unpack(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at `at` and where it ends; its CRC and length have been checked."""
-    z, pos, out = zlib.decompressobj(31), at, []
+class Scan:
+    """Where marks come next along a buffer. A stretch without a mark is searched once, so that damage costs no second search.
+
+    `looked` counts the bytes that were searched, unpacked or hashed.
+    """
+
+    def __init__(self, data: bytes):
+        self.data, self.looked = data, 0
+        self.free: dict[bytes, tuple[int, int]] = {}  # mark -> (from, to): the next mark from anywhere in there is at `to`
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of `mark` from `at` on; the buffer's length if there is none."""
+        begin, x = self.free.get(mark, (0, -1))
+        if not begin <= at <= x:
+            x = self.data.find(mark, at)
+            x = len(self.data) if x < 0 else x
+            self.looked += x - at
+            self.free[mark] = at, x
+        return x
+
+
+#: Bytes of a record's header, and of a member's name or comment; what is longer counts as damage.
+MOST_HEADER = 1 << 16
+
+
+def body_of(scan: Scan, at: int) -> int:
+    """Where the deflated bytes of the gzip member at `at` begin (RFC 1952)."""
+    data = scan.data
+    if at + 10 > len(data):
+        raise Damaged("member cut short")
+    flags, p = data[at + 3], at + 10
+    if flags & 0xE0:
+        raise Damaged("gzip flags")
+    if flags & 4:
+        p += 2 + int.from_bytes(data[p : p + 2], "little")
+    for part in (8, 16):
+        if flags & part:
+            end = scan.next(b"\0", p) if p < len(data) else len(data)
+            if end - p > MOST_HEADER or end == len(data):
+                raise Damaged("gzip header")
+            p = end + 1
+    if flags & 2:
+        scan.looked += p - at
+        if int.from_bytes(data[p : p + 2], "little") != zlib.crc32(data[at:p]) & 0xFFFF:
+            raise Damaged("gzip header")
+        p += 2
+    return p
+
+
+def unpack(scan: Scan, at: int) -> tuple[bytes, int]:
+    """The gzip member at `at` and where it ends; its CRC and length have been checked. Few bytes are tried first, as most false marks fail there."""
+    data, pos, step = scan.data, body_of(scan, at), 256
+    z, out = zlib.decompressobj(-15), []
     try:
         while not z.eof:
             if pos >= len(data):
                 raise Damaged("member cut short")
-            out.append(z.decompress(data[pos : pos + 65536]))
-            pos += min(65536, len(data) - pos)
+            out.append(z.decompress(data[pos : pos + step]))
+            scan.looked += min(step, len(data) - pos)
+            pos, step = pos + min(step, len(data) - pos), min(2 * step, MOST_HEADER)
     except zlib.error as e:
-        raise Damaged("gzip check") from e
-    return b"".join(out), pos - len(z.unused_data)
+        raise Damaged("gzip data") from e
+    whole, end = b"".join(out), pos - len(z.unused_data)
+    if end + 8 > len(data):
+        raise Damaged("member cut short")
+    if data[end : end + 8] != (zlib.crc32(whole)).to_bytes(4, "little") + (len(whole) & 0xFFFFFFFF).to_bytes(4, "little"):
+        raise Damaged("gzip check")
+    return whole, end + 8
 
 
+FIRST = re.compile(re.escape(VERSION) + rb"\d+\r\n")
 HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record at `at` and where it ends; its digests have been checked."""
-    if not data.startswith(VERSION, at):
+def parse(scan: Scan, at: int = 0) -> tuple[dict, int]:
+    """The record at `at` and where it ends; its digests have been checked. A header ends before the next version line."""
+    data = scan.data
+    if not (first := FIRST.match(data, at)):
         raise Damaged("version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    stop = scan.next(b"\r\n\r\n", at)
+    if stop == len(data):
         raise Damaged("header cut short")
-    head = {m[1].strip().lower(): m[2].strip() for m in HEADER.finditer(data, data.find(b"\r\n", at) + 2, stop + 2)}
+    if stop - at > MOST_HEADER or scan.next(b"\n" + VERSION, first.end() - 1) < stop:
+        raise Damaged("header")
+    scan.looked += stop - at
+    head = {m[1].strip().lower(): m[2].strip() for m in HEADER.finditer(data, first.end(), stop + 2)}
     size = head.get(b"content-length", b"")
     if not size.isdigit():
         raise Damaged("content length")
@@ -151,6 +212,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record end")
     block = data[begin:end]
+    scan.looked += 2 * len(block)
     said = lambda k: head.get(k, b"").decode("latin-1")
     if (want := said(b"warc-block-digest")) and want != f"sha1:{sha1_32(block)}":
         raise Damaged("block digest")
@@ -165,7 +227,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"kind": kind, "id": said(b"warc-record-id"), "refers": said(b"warc-refers-to"), "uri": said(b"warc-target-uri"), "digest": digest, "n": n, "payload": payload}, end + 4
 
 
-def salvage_bytes(archive: str, data: bytes, with_payload: bool = False) -> Iterator[tuple]:
+def salvage_bytes(archive: str, data: bytes, with_payload: bool = False, scan: Scan | None = None) -> Iterator[tuple]:
     """Rows of SCHEMA: every record that passes its checks, and the gaps between them.
 
     The only record of a member has the member's place. Of several records in one,
@@ -182,30 +244,23 @@ def salvage_bytes(archive: str, data: bytes, with_payload: bool = False) -> Iter
     def found(at: int, size: int, r: dict) -> tuple:
         return (archive, "record", at, size, name(r["id"]), r["n"], r["digest"], r["kind"], name(r["refers"]), r["uri"], None, r["payload"] if with_payload else None)
 
-    ahead = dict.fromkeys((MAGIC, VERSION), -1)  # where each mark comes next; found once, so that damage costs no second search
-
-    def next_mark(at: int) -> int:
-        for mark, x in ahead.items():
-            if x <= at:
-                ahead[mark] = x if (x := data.find(mark, at + 1)) >= 0 else len(data)
-        return min(ahead.values())
-
+    scan = scan or Scan(data)
     at, bad, why = 0, -1, ""
     while at < len(data):
         inside: list[tuple[int, int, dict | str]] = []
         try:
             if data.startswith(MAGIC, at):
-                whole, end = unpack(data, at)
-                inside = list(records_in(whole))
+                whole, end = unpack(scan, at)
+                inside = list(records_in(whole, scan))
                 if not any(isinstance(r, dict) for _, _, r in inside):
                     raise Damaged(next((r for _, _, r in inside), "version line"))
             else:
-                r, end = parse(data, at)
+                r, end = parse(scan, at)
                 inside = [(0, end - at, r)]
         except Damaged as e:
             if bad < 0:
                 bad, why = at, str(e)
-            at = next_mark(at)
+            at = min(scan.next(MAGIC, at + 1), scan.next(VERSION, at + 1))
             continue
         if bad >= 0:
             yield gap(bad, at - bad, why)
@@ -219,16 +274,16 @@ def salvage_bytes(archive: str, data: bytes, with_payload: bool = False) -> Iter
         yield gap(bad, len(data) - bad, why)
 
 
-def records_in(whole: bytes) -> Iterator[tuple[int, int, dict | str]]:
+def records_in(whole: bytes, outer: Scan) -> Iterator[tuple[int, int, dict | str]]:
     """(from, to, record or what is wrong) along a member's unpacked bytes."""
-    at, bad, why = 0, -1, ""
+    at, bad, why, scan = 0, -1, "", Scan(whole)
     while at < len(whole):
         try:
-            r, end = parse(whole, at)
+            r, end = parse(scan, at)
         except Damaged as e:
             if bad < 0:
                 bad, why = at, str(e)
-            at = x if (x := whole.find(VERSION, at + 1)) >= 0 else len(whole)
+            at = scan.next(VERSION, at + 1)
             continue
         if bad >= 0:
             yield bad, at, why
@@ -237,6 +292,7 @@ def records_in(whole: bytes) -> Iterator[tuple[int, int, dict | str]]:
         at = end
     if bad >= 0:
         yield bad, len(whole), why
+    outer.looked += scan.looked
 
 
 def salvage(archives: DataFrame, with_payload: bool = False, rows: int = 500) -> DataFrame:

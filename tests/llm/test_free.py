@@ -291,12 +291,29 @@ def test_salvage_of_damage_in_bulk(spark, tmp_path, compress):
         assert sum(spans[-1]) == sum(r["length"] for k, r in before.items() if k[0] == name)
 
 
-def test_salvage_takes_time_in_proportion():
-    """Very many false marks with one far mark of the other kind."""
-    data = warc.MAGIC * 100_000
-    t = time.time()
-    rows = list(warc.salvage_bytes("a", data))
-    assert [(r[1], r[2], r[3]) for r in rows] == [("gap", 0, len(data))] and time.time() - t < 20
+def _marks(kind, n):
+    line = b"WARC/1.0\r\nContent-Length: 7\r\n"
+    return {
+        "magics": warc.MAGIC * n,
+        "magics with zeros": (warc.MAGIC + b"\x00" * 7) * n,
+        "names without an end": (warc.MAGIC + b"\x08" + b"x" * 30) * n,
+        "versions": warc.VERSION * n,
+        "version lines": line * n,
+        "version lines with blank lines far off": line * n + b"\r\n\r\n",
+        "headers of one damaged record each": (line + b"\r\n" + b"1234567xx\r\n\r\n") * n,
+        "version lines in a member": warc.member(line * n),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["magics", "magics with zeros", "names without an end", "versions", "version lines", "version lines with blank lines far off", "headers of one damaged record each", "version lines in a member"])
+def test_salvage_looks_at_bytes_in_proportion(kind):
+    """Very many false marks: the bytes looked at are a bounded multiple of the archive's, at either size."""
+    for n in (2_000, 40_000):
+        data = _marks(kind, n)
+        scan = warc.Scan(data)
+        rows = list(warc.salvage_bytes("a", data, scan=scan))
+        assert {r[1] for r in rows} == {"gap"} and sum(r[3] for r in rows) == len(data)
+        assert scan.looked < 60 * max(len(data), 30 * n)
 
 
 def test_query_stops_at_a_gap(spark, sf, monkeypatch):
