@@ -50,28 +50,6 @@ def shortest_chains(edges: DataFrame, entry: str) -> DataFrame:
         seen = seen.union(frontier)
 
 
-def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(caller, callee): every pair one or more edges apart. Semi-naive: only new pairs are joined on."""
-    checkpoint_dir(edges.sparkSession)
-    base = edges.select("caller", "callee").distinct().checkpoint()
-    all_, fresh, k = base, base, 0
-    while rounds is None or k < rounds:
-        k += 1
-        step = fresh.select("caller", F.col("callee").alias("mid")).join(base.select(F.col("caller").alias("mid"), "callee"), "mid").select("caller", "callee").distinct()
-        fresh = step.join(all_, ["caller", "callee"], "left_anti").checkpoint()
-        if fresh.isEmpty():
-            break
-        all_ = all_.union(fresh)
-    return all_
-
-
-def external_reach(edges: DataFrame, ops: DataFrame) -> DataFrame:
-    """(paragraph, op): external operations a paragraph reaches, its own and its callees'."""
-    own = ops.select("paragraph", "op").distinct()
-    below = closure(edges).join(own, F.col("callee") == F.col("paragraph")).select(F.col("caller").alias("paragraph"), "op")
-    return own.union(below).distinct()
-
-
 def live_in(edges: DataFrame, uses: DataFrame) -> DataFrame:
     """(paragraph, field): fields read before they are written, through PERFORM.
 
@@ -101,14 +79,14 @@ def reaching_writers(writers: DataFrame, reads: DataFrame) -> DataFrame:
     return j.withColumn("n", F.row_number().over(near)).filter("n = 1").select("read_id", "field", "writer")
 
 
-def producers(moves: DataFrame, targets: DataFrame, limit: int = 16) -> DataFrame:
-    """(field, source, source_kind, hops): MOVE renames are walked back to a literal, stub or input.
+def producers(moves: DataFrame, targets: DataFrame) -> DataFrame:
+    """(field, source, source_kind, hops): MOVE renames are walked back to a literal, stub or input, however long the chain.
 
     moves: (field, source, source_kind) with source_kind field, literal, stub or input.
     """
     walk = targets.select("field", F.col("field").alias("at"), F.lit(0).alias("hops"), F.array("field").alias("path"))
     done = None
-    for _ in range(limit):
+    while True:
         step = walk.join(moves.select(F.col("field").alias("at"), "source", "source_kind"), "at", "left")
         ended = step.filter("source_kind IS NULL OR source_kind <> 'field'").select("field", F.coalesce("source", "at").alias("source"), F.coalesce("source_kind", F.lit("input")).alias("source_kind"), F.col("hops").cast("int").alias("hops"))
         done = ended if done is None else done.union(ended)

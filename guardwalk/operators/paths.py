@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardwalk.operators.graph import shortest_chains
-from guardwalk.session import checkpoint_dir
+from guardwalk.operators import flow
+from guardwalk.operators.graph import depths, shortest_chains
+from guardwalk.session import Rounds
 
 
 def frames(chains: DataFrame, limit: int = 25) -> DataFrame:
@@ -45,43 +46,62 @@ def chain_via(edges: DataFrame, stops: list[str]) -> DataFrame:
     return whole.select((F.size(chain) - 1).alias("depth"), chain.alias("chain"))
 
 
+END = "#end"
+
+
 def ways_to_end(statements: DataFrame) -> DataFrame:
-    """(program, paragraph, ordinal, guards): statements at which a run may end, with all that must hold for it.
+    """(program, paragraph, ordinal, guards, sure): statements at which a run may end, and what must hold for it.
 
-    A PERFORM of a paragraph that may end the run is one, under the guards of both. A
-    recursion adds nothing: every paragraph is walked once on a way.
+    A PERFORM of a paragraph that may end the run is one. Guards are the statement's own, then, sorted,
+    those that every way from its callee to an end meets, in the graph that leads from the end back
+    to callers. `sure`: the run does end there if the guards hold, as the callee always ends it
+    or has one way to do so; otherwise they are necessary, not sufficient. Ways aren't listed, so
+    their number doesn't matter. A recursion adds nothing.
     """
-    checkpoint_dir(statements.sparkSession)
-    own = statements.filter("kind IN ('GOBACK', 'STOP') OR kind = 'EXIT' AND text = 'PROGRAM'").select("program", "paragraph", "ordinal", "guards", F.array("paragraph").alias("way"))
-    calls = statements.filter("kind = 'PERFORM'").select("program", F.col("paragraph").alias("at"), F.col("ordinal").alias("o"), F.col("guards").alias("g"), F.upper(F.element_at(F.split("text", " "), 1)).alias("paragraph"))
-    all_, fresh = own, own
-    while True:
-        up = fresh.join(calls, ["program", "paragraph"]).filter(~F.array_contains("way", F.col("at")))
-        fresh = up.select("program", F.col("at").alias("paragraph"), F.col("o").alias("ordinal"), F.array_distinct(F.concat("g", "guards")).alias("guards"), F.concat("way", F.array("at")).alias("way"))
-        fresh = fresh.distinct().checkpoint()
-        if fresh.isEmpty():
-            return all_.select("program", "paragraph", "ordinal", "guards").distinct()
-        all_ = all_.union(fresh)
+    name = lambda *c: F.concat_ws("\x1f", *c)
+    calls = F.upper(F.element_at(F.split("text", " "), 1))
+    ends = F.col("kind").isin("GOBACK", "STOP") | (F.col("kind") == "EXIT") & (F.col("text") == "PROGRAM")
+    s = statements.filter(ends | (F.col("kind") == "PERFORM")).select(
+        "program", "paragraph", "ordinal", "guards", ends.alias("own"), name("program", "paragraph").alias("here"), name("program", "paragraph", F.col("ordinal").cast("string")).alias("at"), F.when(ends, F.lit(END)).otherwise(name("program", calls)).alias("below")
+    )
+    r = Rounds(statements.sparkSession)
+    s = r.cut(s)
+    back = lambda t: t.select(F.col("below").alias("caller"), F.col("at").alias("callee")).union(t.select(F.col("at"), F.col("here")))
+    tags = s.select(F.col("at").alias("node"), F.explode(F.transform("guards", lambda g: F.concat(F.lit("g"), g))).alias("label")).union(s.select("here", F.concat(F.lit("p"), "here")).distinct())
+    met = r.cut(flow.must_pass(back(s), END, tags))
+    always = depths(back(s.filter(F.size("guards") == 0)), END).select(F.col("paragraph").alias("below"), F.lit(True).alias("always"))
+    own_tag = F.concat(F.lit("p"), "here")
+    may = r.cut(s.join(met.withColumnRenamed("node", "at"), "at").filter(~F.array_contains("labels", own_tag)))  # may end, and not by recursion
+    lone = may.groupBy("here").agg(F.count("*").alias("n")).filter("n = 1").select("here")
+    several = may.select("at", F.explode("labels").alias("l")).filter("l LIKE 'p%'").join(lone.select(F.concat(F.lit("p"), "here").alias("l")), "l", "left_anti").select("at").distinct().withColumn("several", F.lit(True))
+    out = may.join(several, "at", "left").join(always, "below", "left")
+    every = F.transform(F.filter("labels", lambda x: x.startswith("g")), lambda x: F.substr(x, F.lit(2)))
+    all_ = F.concat("guards", F.array_sort(F.array_except(every, F.col("guards"))))
+    sure = F.col("own") | F.coalesce("always", F.lit(False)) | F.col("several").isNull()
+    return r.last(out.select("program", "paragraph", "ordinal", all_.alias("guards"), sure.alias("sure")))
 
 
 def survival(statements: DataFrame) -> DataFrame:
-    """(program, paragraph, ordinal, callee, obligations, infeasible) of every PERFORM and GO TO.
+    """(program, paragraph, ordinal, callee, obligations, infeasible, undecided) of every PERFORM and GO TO.
 
-    An earlier statement of the paragraph that ends the run must not have been met: its
-    guards mustn't hold together, without those that the call has too. One whose guards
-    the call shares, or that has none, makes the call infeasible; one that is
-    on the other side of a condition obliges to nothing.
+    An earlier statement of the paragraph that may end the run must not have ended it: the guards on
+    every way to that end mustn't hold together, without those that the call has too. One that
+    surely ends the run under guards that the call shares, or under none, makes the call infeasible; if it
+    needn't end it (its ways have nothing in common that could be denied) the call is undecided. One that
+    is on the other side of a condition obliges to nothing.
     """
     word = F.when(F.col("kind") == "GO", F.regexp_extract("text", r"(?i)^TO\s+(\S+)", 1)).otherwise(F.element_at(F.split("text", " "), 1))
     calls = statements.filter("kind IN ('PERFORM', 'GO')").select("program", "paragraph", "ordinal", F.upper(word).alias("callee"), F.col("guards").alias("held"))
-    ends = ways_to_end(statements).select("program", "paragraph", F.col("ordinal").alias("before"), "guards")
+    ends = ways_to_end(statements).select("program", "paragraph", F.col("ordinal").alias("before"), "guards", "sure")
     j = calls.join(ends, ["program", "paragraph"], "left").withColumn("earlier", F.coalesce(F.col("before") < F.col("ordinal"), F.lit(False)))
     no = lambda g: F.concat(F.lit("NOT ( "), g, F.lit(" )"))
     apart = F.exists("guards", lambda g: F.array_contains("held", no(g))) | F.exists("held", lambda h: F.array_contains("guards", no(h)))
     rest = F.array_except("guards", "held")
     owed = F.when(F.col("earlier") & ~apart & (F.size(rest) > 0), no(F.array_join(rest, " AND ")))
-    dead = F.coalesce(F.col("earlier") & ~apart & (F.size(rest) == 0), F.lit(False))
-    return j.groupBy("program", "paragraph", "ordinal", "callee").agg(F.array_sort(F.collect_set(owed)).alias("obligations"), F.bool_or(dead).alias("infeasible"))
+    met = F.coalesce(F.col("earlier") & ~apart & (F.size(rest) == 0), F.lit(False))
+    return j.groupBy("program", "paragraph", "ordinal", "callee").agg(
+        F.array_sort(F.collect_set(owed)).alias("obligations"), F.bool_or(met & F.coalesce("sure", F.lit(False))).alias("infeasible"), F.bool_or(met & ~F.coalesce("sure", F.lit(False))).alias("undecided")
+    )
 
 
 def branch_obligations(statements: DataFrame) -> DataFrame:

@@ -171,22 +171,6 @@ def guard_weight(spark, read) -> DataFrame:
     return _edges(spark).select("caller", "callee", F.size("guards").cast("bigint").alias("weight"))
 
 
-_OPS = [("READ", "READ:ACCT"), ("WRITE", "WRITE:OUT"), ("ABEND", "CALL:CEE3ABD"), ("INIT", "OPEN:ACCT")]
-_REACH = f"{_ESQL}, {sql_values('ops', 'paragraph, op', _OPS)}, c AS (SELECT caller, callee FROM edges UNION SELECT c.caller, e.callee FROM c JOIN edges e ON e.caller = c.callee)"
-
-
-@query(f"WITH RECURSIVE {_REACH} SELECT paragraph, op FROM ops UNION SELECT c.caller, o.op FROM c JOIN ops o ON o.paragraph = c.callee")
-def external_reach(spark, read) -> DataFrame:
-    return graph.external_reach(_edges(spark), values(spark, _OPS, "paragraph string, op string"))
-
-
-@query(f"WITH RECURSIVE {_REACH}, x AS (SELECT paragraph, op FROM ops UNION SELECT c.caller, o.op FROM c JOIN ops o ON o.paragraph = c.callee) SELECT paragraph, list_sort(list(op)) AS ops, count(*) AS n FROM x GROUP BY 1")
-def route_options(spark, read) -> DataFrame:
-    """What a route through each paragraph obliges one to control, the cheapest first."""
-    r = graph.external_reach(_edges(spark), values(spark, _OPS, "paragraph string, op string"))
-    return r.groupBy("paragraph").agg(F.array_sort(F.collect_list("op")).alias("ops"), F.count("*").alias("n")).orderBy("n", "paragraph")
-
-
 _USES = [("MAIN", 1, "write", "RC"), ("MAIN", 2, "read", "EOF"), ("MAIN", 3, "call", "WORK"), ("WORK", 1, "read", "AMT"), ("WORK", 2, "read", "RC"), ("WORK", 3, "call", "CHECK"), ("WORK", 4, "write", "ST"), ("CHECK", 1, "read", "ST"), ("CHECK", 2, "write", "RC"), ("CHECK", 3, "read", "RC")]
 
 

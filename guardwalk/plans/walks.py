@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardwalk.operators import evidence, graph, paths
+from guardwalk.operators import evidence, flow, graph, paths
 from guardwalk.plans.programs import HEAD, READER, SOURCE, _src, states
 from guardwalk.plans.relational import sql_values, values
 from guardwalk.plans.runner import final_states, run_program
@@ -118,7 +118,7 @@ def branch_obligations(spark, read) -> DataFrame:
 def resume_points(spark, read) -> DataFrame:
     src = spark.createDataFrame([(READER,)], "source string")
     ops = source.operations(src).select("paragraph", F.col("operation").alias("op"))
-    return paths.resume_points(graph.external_reach(source.edges(src), ops))
+    return paths.resume_points(flow.reach(source.edges(src), ops))
 
 
 # ---- evidence

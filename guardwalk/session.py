@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -39,3 +41,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor shares")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="guardwalk-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+class Rounds:
+    """Results of an iteration's rounds as Parquet in the shared folder: a round's plan holds nothing of the rounds before it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """The answer, checkpointed; the rounds' files go."""
+        out = df.checkpoint()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
+def numbered(df: DataFrame, order: list[str], rounds: Rounds, name: str = "number") -> DataFrame:
+    """Rows with their number from 0 in the order of unique `order` columns: ranges are numbered apart, then moved by the sizes of those before them."""
+    parts = rounds.cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))  # a row a partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    own = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_before", "_at")

@@ -87,11 +87,6 @@ def test_plans(spark):
     assert got["P-3"]["verdict"] in ("open", "verified") and got["M-1"]["state"] == "{}"
 
 
-def test_closure(spark):
-    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "caller string, callee string")
-    assert graph.closure(e).count() == 12
-
-
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_catalogue(spark, sf, name):
     assert compare.compare(spark, sf, name).startswith("equal")
