@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardwalk.functions import codecs
 from guardwalk.operators import flow, graph, paths
+from guardwalk.session import checkpoint_dir
+from guardwalk.sources.records import Varying, read_varying, write_varying
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +133,36 @@ _PROGRAM = """p AS (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (P
 def ways_to_end(spark, read) -> DataFrame:
     """Where a customer's run may end, and what must hold for it, by dominators."""
     return paths.ways_to_end(order_programs(read)).withColumn("guards", F.array_sort("guards"))
+
+
+# ---- records of varying length
+
+#: order 9(18) COMP, customer 9(9) COMP, status X, lines 9(4) COMP; then a part, quantity S9(5) COMP-3 and price S9(9)V99 COMP-3 for every line.
+ORDER = Varying(head=15, counter=13, entry=13)
+
+
+def order_records(read) -> DataFrame:
+    """(record) of every order with all its lines."""
+    x = read("lineitem")
+    line = F.concat(codecs.binary(F.col("l_partkey"), 4), codecs.packed(F.col("l_quantity").cast("long"), 3), codecs.packed(F.round(F.col("l_extendedprice") * 100).cast("long"), 6))
+    entries = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("e")))).alias("lines"))  # an order's own lines
+    o = read("orders").join(entries, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    lines = F.coalesce("lines", F.filter(F.array(F.struct(F.lit(0).alias("l_linenumber"), F.lit(0).cast("long").alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey"), F.lit(b"").alias("e"))), lambda _: F.lit(False)))
+    table = F.aggregate(lines, F.lit(b""), lambda acc, e: F.concat(acc, e["e"]))
+    head = F.concat(codecs.binary(F.col("o_orderkey"), 8), codecs.binary(F.col("o_custkey"), 4), F.col("o_orderstatus").cast("binary"), codecs.binary(F.size(lines), 2))
+    return o.select(F.concat(head, table).alias("record"))
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, count(l_orderkey) OVER (PARTITION BY o_orderkey) AS n_lines,
+ CASE WHEN l_orderkey IS NOT NULL THEN (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INTEGER END AS pos,
+ l_partkey, l_quantity::BIGINT AS quantity, round(l_extendedprice * 100)::BIGINT AS cents FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
+def variable_records(spark, read) -> DataFrame:
+    """Orders with all their lines, written as records of varying length and read back in seven partitions."""
+    path = f"{checkpoint_dir(spark)}/orders-{uuid.uuid4().hex}"
+    write_varying(order_records(read), path, ORDER, stride=1 << 14)
+    r = F.col("record")
+    part = lambda at, n: F.substring(r, at + 1, n)
+    head = [codecs.unbinary(part(0, 8), 8).cast("long").alias("o_orderkey"), codecs.unbinary(part(8, 4), 4).cast("long").alias("o_custkey"), part(12, 1).cast("string").alias("o_orderstatus"), codecs.unbinary(part(13, 2), 2).cast("long").alias("n_lines")]
+    told = read_varying(spark, path, ORDER, 7).select(*head, F.posexplode_outer(ORDER.occurrences(r)).alias("pos", "e"))
+    e = lambda at, n: F.substring("e", at + 1, n)
+    return told.select("o_orderkey", "o_custkey", "o_orderstatus", "n_lines", "pos", codecs.unbinary(e(0, 4), 4).cast("long").alias("l_partkey"), codecs.unpacked(e(4, 3)).alias("quantity"), codecs.unpacked(e(7, 6)).alias("cents"))
