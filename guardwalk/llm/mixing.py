@@ -251,6 +251,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     return taken_words(draw(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def taken_query(spark, sf_dir: str) -> DataFrame:
+    """The same result without its words by shard, which have no SQL."""
+    return query(spark, sf_dir).drop("shard_words")
+
+
 def sql(seed: str = SEED, buckets: int = BUCKETS) -> str:
     """The mix without its shards in DuckDB: targets by filling up, lines of words, permuted blocks. The tree's draws have no SQL."""
     h = lambda *p: "('0x' || substr(md5(concat_ws(':', " + ", ".join(p) + ")), 1, 12))::BIGINT"

@@ -14,6 +14,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.query,
     "op8_secret_scans": secrets.query,
     "op9_mixing": mixing.query,
+    "mixing_taken": mixing.taken_query,
     "op10_quality_rules": quality.query,
     "op11_whitening": whitening.query,
     "op12_prefix_trie": trie.query,
@@ -24,6 +25,7 @@ ORACLES = {
     "op5_minhash_near_dedup": neardup.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op8_secret_scans": secrets.ORACLE,
+    "mixing_taken": mixing.sql(),
     "op10_quality_rules": quality.ORACLE,
     "op12_prefix_trie": trie.ORACLE,
     "op13_ngram_join": ngramjoin.ORACLE,
