@@ -424,7 +424,7 @@ def large_links(large: DataFrame, small: DataFrame, alike: DataFrame, percent: i
     near = open_.join(alike.select("set_key").distinct().hint("shuffle_hash"), "set_key", "left_semi").withColumn("rest", F.col("label") != F.col("main"))
     counts = near.select("set_key", "cc", "rest").distinct().groupBy("cc").agg(F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")).filter("n_rest > 0")
     dealt = join_facts(near, "cc", [F.col("set_key")], counts, "n_all", open_.count()).filter("n_rest > 0")
-    rows, cols = F.ceil(F.col("n_rest") / CHUNK), F.ceil(F.col("n_all") / CHUNK)
+    rows, cols = F.ceil(F.col("n_rest") / SMALL), F.ceil(F.col("n_all") / SMALL)  # every set is sent once for each block across, so blocks are large
     at = lambda n: F.pmod(F.xxhash64("set_key", F.lit(2)), n)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     some = dealt.filter("rest").select("cc", "set_key", "label", "tokens", at(rows).alias("i"), upto(cols).alias("j"))
