@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardwalk.session import Rounds
+
 
 def observe(events: DataFrame, run: str = "run_id", key: tuple[str, ...] = ("ordinal", "kind"), result: str = "result") -> DataFrame:
     """Directions seen, how many runs saw each, and the first that did."""
@@ -43,22 +45,25 @@ def first_recipe(credits: DataFrame, key: list[str], recipe: str = "recipe", ord
     return credits.groupBy(*key).agg(F.min_by(recipe, order).alias(recipe), F.min(order).alias(order))
 
 
-def unlock(needs: DataFrame, limit: int = 100) -> list[tuple[str, int]]:
-    """Greedy set cover: capabilities in the order they are granted, with the plans unlocked so far.
+def unlock(needs: DataFrame, limit: int | None = None) -> list[tuple[str, int]]:
+    """Greedy set cover: capabilities in the order they are granted, with the plans unlocked so far; all of them, unless a limit is set.
 
-    needs: (plan, needs array<string>). Each round counts on the cluster; the driver
-    holds the granted names only. Of equal gains the first name is granted; if none
+    needs: (plan, needs array<string>). Needs are rows that go as they are granted: a round counts what is
+    left and writes it without the granted need, so rounds get cheaper and their plans don't grow. The
+    driver holds the granted names only. Of equal gains the first name is granted; if none
     gains, the one most plans still need.
     """
-    granted: list[str] = []
+    r = Rounds(needs.sparkSession)
+    left = r.cut(needs.select("plan", F.explode(F.array_distinct("needs")).alias("need")))
+    plans = needs.select("plan").distinct().count()
     out: list[tuple[str, int]] = []
-    while len(out) < limit:
-        left = needs.select("plan", F.array_except("needs", F.array(*[F.lit(g) for g in granted]).cast("array<string>")).alias("left")).filter("size(left) > 0")
-        each = left.select(F.explode("left").alias("need"), (F.size("left") == 1).cast("int").alias("gain"))
-        best = each.groupBy("need").agg(F.sum("gain").alias("gain"), F.count("*").alias("n")).orderBy(F.desc("gain"), F.when(F.col("gain") > 0, 0).otherwise(-F.col("n")), "need").first()
+    while limit is None or len(out) < limit:
+        open_ = r.cut(left.groupBy("plan").agg(F.count("*").alias("n"), F.min("need").alias("only")))  # `only` is a plan's last need where n = 1
+        gain = open_.filter("n = 1").groupBy(F.col("only").alias("need")).agg(F.count("*").alias("gain"))
+        per = left.groupBy("need").agg(F.count("*").alias("n")).join(gain, "need", "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+        best = per.orderBy(F.desc("gain"), F.when(F.col("gain") > 0, 0).otherwise(-F.col("n")), "need").first()
         if best is None:
             break
-        granted.append(best["need"])
-        done = needs.filter(F.size(F.array_except("needs", F.array(*[F.lit(g) for g in granted]))) == 0).count()
-        out.append((best["need"], done))
+        left = r.cut(left.filter(F.col("need") != best["need"]))
+        out.append((best["need"], plans - left.select("plan").distinct().count()))
     return out

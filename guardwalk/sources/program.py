@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardwalk.functions.codecs import Item, Picture, layout
+from guardwalk.session import Rounds
 
 TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\.(?=\s|$)|(?:[^\s'\".]|\.(?!\s|$))+")
 VERBS = set("ACCEPT ADD ALTER CALL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE EVALUATE EXEC EXIT GO GOBACK IF INITIALIZE INSPECT MOVE MULTIPLY OPEN PERFORM READ RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT UNSTRING WRITE".split())
@@ -508,15 +509,18 @@ def copies(sources: DataFrame) -> DataFrame:
     return sources.select("path", "source").mapInPandas(run, "path string, book string")
 
 
-def expanded(sources: DataFrame, books: DataFrame, rounds: int = 4) -> DataFrame:
-    """(path, source) with COPY statements expanded from `books` (book, text), books in books up to `rounds` deep."""
+def expanded(sources: DataFrame, books: DataFrame) -> DataFrame:
+    """(path, source) with COPY statements expanded from `books` (book, text), books in books however deep; a book that copies itself is an error."""
 
     def run(frames):
         for pdf in frames:
             yield pd.DataFrame({"path": pdf["path"], "source": [expand_copies(t, dict(b or {})) for t, b in zip(pdf["source"], pdf["books"], strict=True)]})
 
-    for _ in range(rounds):
-        wanted = copies(sources).join(books.select(F.upper("book").alias("book"), "text"), "book")
+    cut = Rounds(sources.sparkSession).cut
+    for _ in range(books.count() + 1):
+        wanted = cut(copies(sources).join(books.select(F.upper("book").alias("book"), "text"), "book"))
+        if wanted.isEmpty():
+            return sources
         held = wanted.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("book", "text"))).alias("books"))
-        sources = sources.select("path", "source").join(held, "path", "left").mapInPandas(run, "path string, source string")
-    return sources
+        sources = cut(sources.select("path", "source").join(held, "path", "left").mapInPandas(run, "path string, source string"))
+    raise ValueError("a book copies itself: COPY statements are left after as many rounds as there are books")

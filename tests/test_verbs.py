@@ -78,6 +78,9 @@ def test_inspect():
     data = "01 A PIC X(8) VALUE 'AABBAACC'.\n01 N PIC 9(2)."
     assert after(data, "INSPECT A TALLYING N FOR ALL 'A'").state["N"] == 4
     assert after(data, "INSPECT A TALLYING N FOR LEADING 'A'").state["N"] == 2
+    assert after(data, "INSPECT A TALLYING N FOR CHARACTERS AFTER 'B' BEFORE 'A'").state["N"] == 1
+    for several in ("REPLACING ALL 'A' BY 'X' ALL 'B' BY 'Y'", "TALLYING N FOR ALL 'A' N FOR ALL 'B'", "TALLYING N FOR ALL 'A' ALL 'B'"):
+        assert after(data, f"INSPECT A {several}").stopped == "unsupported: INSPECT with several clauses"
     assert after(data, "INSPECT A TALLYING N FOR CHARACTERS BEFORE INITIAL 'C'").state["N"] == 6
     assert after(data, "INSPECT A REPLACING ALL 'A' BY 'Z' AFTER INITIAL 'B'").state["A"] == "AABBZZCC"
     assert after(data, "INSPECT A REPLACING FIRST 'A' BY 'Z'").state["A"] == "ZABBAACC"
@@ -179,3 +182,13 @@ def test_flags_and_events_agree(spark):
     decisions = [(1, "IF", F.col("x") > 2), (2, "WHEN", F.when(F.col("x") < 5, F.col("x") == 1))]
     listed = lambda d: sorted(map(tuple, d.select("ordinal", "kind", "direction", "n_runs", "first_run").collect()))
     assert listed(coverage.observe_decisions(df, F.col("r"), decisions)) == listed(coverage.observe(coverage.decide(df, F.col("r"), decisions)))
+
+
+def test_copies_however_deep(spark):
+    """Books six deep, and one that copies itself."""
+    books = [(f"B{i}", f"       COPY B{i + 1}.") for i in range(6)] + [("B6", "       01  DEEP PIC X.")]
+    src = spark.createDataFrame([("m", "       COPY B0.")], "path string, source string")
+    got = source.expanded(src, spark.createDataFrame(books, "book string, text string")).collect()
+    assert "DEEP" in got[0]["source"] and "COPY" not in got[0]["source"]
+    with pytest.raises(ValueError, match="copies itself"):
+        source.expanded(src, spark.createDataFrame([("B0", "       COPY B0.")], "book string, text string"))
