@@ -132,12 +132,20 @@ def needs_median(spark, read) -> DataFrame:
     return g.groupBy("l_returnflag").agg(middle("").alias("lower_"), middle(" DESC").alias("median"), F.max("n").alias("most"))
 
 
-_NEEDS = [("p1", ["a"]), ("p2", ["a", "b"]), ("p3", ["b", "c"]), ("p4", ["c"]), ("p5", ["d", "e"]), ("p6", ["d", "e"]), ("p7", ["e", "f"]), ("p8", [])]
+_NEEDS = """WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS plan, n_name AS need FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+ r AS (SELECT 0 AS step, []::VARCHAR[] AS granted, NULL::VARCHAR AS capability
+  UNION ALL SELECT step + 1, list_append(granted, need), need FROM (
+   SELECT step, granted, need, row_number() OVER (ORDER BY gain DESC, CASE WHEN gain > 0 THEN 0 ELSE -n END, need) AS k FROM (
+    SELECT step, granted, need, count(*) FILTER (left_ = 1) AS gain, count(*) AS n FROM (
+     SELECT r.step, r.granted, n.plan, n.need, count(*) OVER (PARTITION BY n.plan) AS left_ FROM r JOIN n ON NOT list_contains(r.granted, n.need)) GROUP BY 1, 2, 3)) WHERE k = 1)"""
 
 
-@query(None)
+@query(f"{_NEEDS} SELECT r.step, r.capability, (SELECT count(DISTINCT plan) FROM n) - count(DISTINCT n.plan) AS unlocked FROM r LEFT JOIN n ON NOT list_contains(r.granted, n.need) WHERE r.step > 0 GROUP BY 1, 2")
 def unlock_cover(spark, read) -> DataFrame:
-    got = coverage.unlock(values(spark, _NEEDS, "plan string, needs array<string>"))
+    """Nations in the order in which dealing with them serves the most orders, with the orders served whole so far."""
+    s = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    needs = read("lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").alias("plan")).agg(F.collect_set("n_name").alias("needs"))  # 25 nations at most
+    got = coverage.unlock(needs)
     return values(spark, [(i + 1, c, n) for i, (c, n) in enumerate(got)], "step int, capability string, unlocked long")
 
 
