@@ -113,11 +113,11 @@ def order_programs(read) -> DataFrame:
     x = read("lineitem").join(named, F.col("l_orderkey") == F.col("o_orderkey"))
     kind = F.when(F.col("l_returnflag") == "R", "STOP").when((F.col("l_returnflag") == "A") & F.col("next").isNotNull(), "PERFORM").otherwise("MOVE")
     guards = F.array_compact(F.array(guard(F.col("l_linestatus") == "O", "OPEN"), guard(F.col("l_quantity") > 25, "MANY"), guard(F.col("l_discount") >= 0.05, "CHEAP")))
-    return x.select(F.col("o_custkey").cast("string").alias("program"), F.col("o_orderkey").cast("string").alias("paragraph"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("ordinal"), kind.alias("kind"), F.coalesce(F.col("next").cast("string"), F.lit("")).alias("text"), guards.alias("guards"))
+    return x.select(F.col("o_custkey").cast("string").alias("program"), F.col("o_orderkey").cast("string").alias("paragraph"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("ordinal"), kind.alias("kind"), F.coalesce(F.col("next").cast("string"), F.lit("")).alias("text"), guards.alias("guards"))
 
 
 _PROGRAM = """p AS (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
- st AS (SELECT p.c, p.o, p.k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS i, CASE WHEN l_returnflag = 'R' THEN 'STOP' WHEN l_returnflag = 'A' AND p.k > 1 THEN 'PERFORM' ELSE 'MOVE' END AS kind,
+ st AS (SELECT p.c, p.o, p.k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::INTEGER AS i, CASE WHEN l_returnflag = 'R' THEN 'STOP' WHEN l_returnflag = 'A' AND p.k > 1 THEN 'PERFORM' ELSE 'MOVE' END AS kind,
    (l_linestatus = 'O')::INT + 2 * (l_quantity > 25)::INT + 4 * (l_discount >= 0.05)::INT AS own FROM p JOIN lineitem ON l_orderkey = p.o),
  f AS (SELECT DISTINCT c, 0::BIGINT AS k, 0 AS mask, FALSE AS may, FALSE AS always, 0::BIGINT AS ways FROM p
   UNION ALL SELECT f.c, f.k + 1, coalesce(bit_and(CASE WHEN kind = 'STOP' THEN own ELSE own | f.mask END) FILTER (kind = 'STOP' OR kind = 'PERFORM' AND f.may), 0),
@@ -154,7 +154,7 @@ def order_records(read) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, o_custkey, o_orderstatus, count(l_orderkey) OVER (PARTITION BY o_orderkey) AS n_lines,
- CASE WHEN l_orderkey IS NOT NULL THEN (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INTEGER END AS pos,
+ CASE WHEN l_orderkey IS NOT NULL THEN (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INTEGER END AS pos,
  l_partkey, l_quantity::BIGINT AS quantity, round(l_extendedprice * 100)::BIGINT AS cents FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
 def variable_records(spark, read) -> DataFrame:
     """Orders with all their lines, written as records of varying length and read back in seven partitions."""
