@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardwalk.operators import lineage
+from guardwalk.operators import lineage, matching
 from guardwalk.plans.structure import query
 
 # ---- slices that events write into their users' records, and slices of what users are into the sources of these
@@ -47,3 +47,18 @@ def byte_origins(spark, read) -> DataFrame:
 def byte_origins_through(spark, read) -> DataFrame:
     """The same, followed through the event types' own records to the users whose bytes these hold."""
     return lineage.compose(lineage.overlay(_slice(read, *_USERS)), lineage.overlay(_slice(read, *_TYPES)))
+
+
+# ---- a master and a transaction file in key order
+
+
+@query("""WITH m AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 0),
+ t AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+ SELECT coalesce(t.k, m.k) AS custkey, CASE WHEN m.k IS NULL THEN 'no master' WHEN t.k IS NULL THEN 'no transaction' ELSE 'matched' END AS side,
+  t.n AS occurrence, m.c_name, t.o_orderkey FROM m FULL JOIN t ON m.k = t.k""")
+def matched_reads(spark, read) -> DataFrame:
+    """Customers in credit, as masters, against urgent finished orders."""
+    m = read("customer").filter("c_acctbal > 0").withColumnRenamed("c_custkey", "custkey")
+    t = read("orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "custkey")
+    out = matching.balance_line(m, t, "custkey", ["o_orderdate", "o_orderkey"])
+    return out.select("custkey", "side", "occurrence", "master.c_name", "transaction.o_orderkey")
