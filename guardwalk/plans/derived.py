@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardwalk.operators import lineage, matching
+from guardwalk.operators import domains, lineage, matching
 from guardwalk.plans.structure import query
 
 # ---- slices that events write into their users' records, and slices of what users are into the sources of these
@@ -62,3 +62,39 @@ def matched_reads(spark, read) -> DataFrame:
     t = read("orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "custkey")
     out = matching.balance_line(m, t, "custkey", ["o_orderdate", "o_orderkey"])
     return out.select("custkey", "side", "occurrence", "master.c_name", "transaction.o_orderkey")
+
+
+# ---- an order's lines as fields: what quantities may be, if returned lines were too small, accepted ones large enough, and every line holds more than the one before it
+
+
+def quantities(read) -> DataFrame:
+    """(plan, id, left, op, right, value) of every order and its lines in their order; each is one more than, or as much as, the one before by whether it is still open."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")  # an order's own lines
+    x = read("lineitem").withColumn("k", F.row_number().over(w))
+    name = lambda p, k: F.concat(F.lit(p), F.lpad(k.cast("string"), 3, "0"))
+    own = F.when(F.col("l_returnflag") == "R", ">").when(F.col("l_returnflag") == "A", "<=").otherwise("<>")
+    a = x.select(F.col("l_orderkey").alias("plan"), name("own", F.col("k")).alias("id"), name("Q", F.col("k")).alias("left"), own.alias("op"), F.lit(None).cast("string").alias("right"), F.col("l_quantity").cast("long").alias("value"))
+    b = x.filter("k > 1").select("l_orderkey", name("up", F.col("k")), name("Q", F.col("k") - 1), F.when(F.col("l_linestatus") == "O", "<").otherwise("<="), name("Q", F.col("k")), F.lit(None).cast("long"))
+    return a.union(b)
+
+
+_NAME = "'{}' || lpad({}::VARCHAR, 3, '0')".format
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, l_quantity::BIGINT AS q, (l_linestatus = 'O')::BIGINT AS d FROM lineitem),
+ y AS (SELECT l_orderkey AS plan, k, d, max(k) OVER (PARTITION BY l_orderkey) AS n, lead(d) OVER (PARTITION BY l_orderkey ORDER BY k) AS next_d,
+  CASE WHEN l_returnflag = 'R' THEN q + 1 END AS least, CASE WHEN l_returnflag = 'A' THEN q END AS most, CASE WHEN l_returnflag NOT IN ('R', 'A') THEN q END AS gone, {_NAME('own', 'k')} AS own, {_NAME('up', 'k')} AS up FROM x),
+ s AS (SELECT *, CASE WHEN coalesce(least, 1) > 1 THEN least WHEN gone = 1 THEN 2 ELSE 1 END AS alone, CASE WHEN coalesce(least, 1) > 1 OR gone = 1 THEN [own] ELSE []::VARCHAR[] END AS why FROM y),
+ f AS (SELECT plan, k, n, alone AS lo, why FROM s WHERE k = 1
+  UNION ALL SELECT s.plan, s.k, s.n, CASE WHEN f.lo + s.d <= s.alone THEN s.alone WHEN f.lo + s.d = s.gone THEN f.lo + s.d + 1 ELSE f.lo + s.d END,
+   CASE WHEN f.lo + s.d <= s.alone THEN s.why WHEN f.lo + s.d = s.gone THEN list_concat(f.why, [s.up, s.own]) ELSE list_concat(f.why, [s.up]) END FROM f JOIN s ON s.plan = f.plan AND s.k = f.k + 1),
+ h AS (SELECT plan, k, CASE WHEN coalesce(most, 60) < 60 THEN most WHEN gone = 60 THEN 59 ELSE 60 END AS hi FROM s WHERE k = n
+  UNION ALL SELECT s.plan, s.k, least(CASE WHEN coalesce(s.most, 60) < 60 THEN s.most WHEN s.gone = 60 THEN 59 ELSE 60 END, CASE WHEN h.hi - s.next_d = s.gone THEN h.hi - s.next_d - 1 ELSE h.hi - s.next_d END) FROM h JOIN s ON s.plan = h.plan AND s.k = h.k - 1),
+ c AS (SELECT f.plan, list_sort(list_concat(f.why, CASE WHEN s.most < f.lo THEN [s.own] ELSE []::VARCHAR[] END)) AS ids FROM f JOIN s ON s.plan = f.plan AND s.k = f.k WHERE f.lo > least(coalesce(s.most, 60), 60)
+  UNION ALL SELECT f.plan, list_sort(f.why) FROM f WHERE f.lo > 60),
+ m AS (SELECT plan, arg_min(list_distinct(ids), (len(list_distinct(ids)), ids)) AS ids FROM c GROUP BY plan)
+ SELECT f.plan, {_NAME('Q', 'f.k')} AS field, f.lo, h.hi, NULL::VARCHAR AS conflict FROM f JOIN h ON h.plan = f.plan AND h.k = f.k WHERE f.plan NOT IN (SELECT plan FROM m)
+ UNION ALL SELECT plan, NULL, NULL, NULL, array_to_string(list_sort(ids), ',') FROM m""")
+def slot_conflicts(spark, read) -> DataFrame:
+    """What quantity every line of an order may have, from 1 to 60, or which of the order's demands conflict."""
+    return domains.solve(quantities(read), 1, 60).withColumn("conflict", F.array_join("conflict", ","))
