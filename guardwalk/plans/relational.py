@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from guardwalk.functions import cobol
 from guardwalk.functions.conditions import condition
-from guardwalk.operators import coverage, graph
+from guardwalk.operators import coverage, graph, sequences
+from guardwalk.session import Rounds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -315,15 +316,15 @@ def representability(spark, read) -> DataFrame:
 @query("SELECT event_id, user_id, n, CASE WHEN n <= 3 THEN event_type ELSE 'terminal' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)")
 def outcome_delivery(spark, read) -> DataFrame:
     """The n-th call of an operation gets the n-th outcome; beyond the series, the terminal."""
-    e = read("events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint"))
-    return e.select("event_id", "user_id", "n", F.when(F.col("n") <= 3, F.col("event_type")).otherwise("terminal").alias("outcome"))
+    e = sequences.runs(read("events").select("event_id", "user_id", "ts", "event_type"), "user_id", ["ts", "event_id"], "event_type", Rounds(spark))
+    return e.select("event_id", "user_id", F.col("call").alias("n"), F.when(F.col("call") <= 3, F.col("event_type")).otherwise("terminal").alias("outcome"))
 
 
 @query("SELECT event_id, event_type, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), TRUE) AS breaks FROM events")
 def control_break(spark, read) -> DataFrame:
     """This key against the previous one of the same stream."""
-    p = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return read("events").select("event_id", "event_type", F.coalesce(F.col("event_type") != p, F.lit(True)).alias("breaks"))
+    e = sequences.runs(read("events").select("event_id", "user_id", "ts", "event_type"), "user_id", ["ts", "event_id"], "event_type", Rounds(spark))
+    return e.select("event_id", "event_type", F.col("fresh").alias("breaks"))
 
 
 @query("SELECT n.i AS n_records, f.f AS field, p.i AS pos, (p.i % 3)::BIGINT AS candidate FROM range(1, 4) n(i), (VALUES ('K'), ('AMT')) f(f), range(3) p(i) WHERE p.i < n.i")
