@@ -48,8 +48,8 @@ def _passed(field: Column, bound: Column, steps: Column, out: Column) -> Column:
     return F.aggregate(F.coalesce(out, F.array().cast("array<struct<value: bigint, id: string>>")), zero, take)
 
 
-def _least(fields: DataFrame, bounds: DataFrame, edges: DataFrame, out: DataFrame, least: int, r: Rounds) -> tuple[DataFrame, DataFrame]:
-    """((plan, field, bound, steps), (plan, ids)): the least values, by which constraints they came about; and the circles of plans that have none.
+def _least(fields: DataFrame, bounds: DataFrame, edges: DataFrame, out: DataFrame, least: int, r: Rounds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((plan, field, bound, steps), (plan, ids), (plan, field, bound, steps, out)): the least values, by which constraints they came about; the circles of plans that have none; what every field has by itself.
 
     Fields whose bound rose tell it to those above them until none rises. A circle of constraints that gains on every turn shows
     as soon as a bound comes back to its own field: it isn't run through till it leaves the domain.
@@ -61,6 +61,7 @@ def _least(fields: DataFrame, bounds: DataFrame, edges: DataFrame, out: DataFram
     better = F.coalesce(F.col("bound") > least, F.lit(False))
     new = _passed(F.col("field"), F.when(better, F.col("bound")).otherwise(F.lit(least).cast("long")), F.when(better, told).otherwise(start), F.col("out"))
     state = r.cut(first.select("plan", "field", new.alias("new"), "out", F.lit(True).alias("moved")).select("plan", "field", "new.*", "out", "moved"))
+    first = state
     circles: list[DataFrame] = []
     while True:
         tell = edges.join(state.filter("moved").select("plan", F.col("field").alias("u"), "bound", "steps"), ["plan", "u"])
@@ -78,7 +79,30 @@ def _least(fields: DataFrame, bounds: DataFrame, edges: DataFrame, out: DataFram
         new = F.when(F.col("best").isNotNull(), _passed(F.col("field"), -F.col("best.b"), F.col("best.way"), F.col("out"))).otherwise(F.struct("bound", "steps"))
         state = r.cut(x.select("plan", "field", new.alias("new"), "out", F.col("best").isNotNull().alias("moved")).select("plan", "field", "new.*", "out", "moved"))
         if state.filter("moved").isEmpty():
-            return state.select("plan", "field", "bound", "steps"), reduce(DataFrame.union, circles)
+            return state.select("plan", "field", "bound", "steps"), reduce(DataFrame.union, circles), first
+
+
+def _derived(low: DataFrame, first: DataFrame, edges: DataFrame, r: Rounds) -> DataFrame:
+    """`low` with steps that start from what fields have by themselves and lead over final bounds only.
+
+    While bounds rise, one may be met by passing an excluded value although the bound that its neighbour has in the end leads there
+    directly; the excluded value's constraint has no part in it then. Shorter ways come first; bounds that only lean on each
+    other keep their steps.
+    """
+    both = first.select("plan", "field", F.col("bound").alias("alone"), F.col("steps").alias("own"), "out")
+    all_ = r.cut(low.join(both, ["plan", "field"]))
+    done = r.cut(all_.filter("bound = alone").select("plan", "field", "bound", F.col("own").alias("steps")))
+    found, new = [done], done
+    while not new.isEmpty():
+        known = reduce(DataFrame.union, found).select("plan", "field")
+        open_ = all_.select("plan", "field", F.col("bound").alias("want"), "out").join(known, ["plan", "field"], "left_anti")
+        tell = edges.join(new.select("plan", F.col("field").alias("u"), "bound", "steps"), ["plan", "u"]).select("plan", F.col("v").alias("field"), (F.col("bound") + F.col("by")).alias("told"), F.concat("steps", F.array(F.struct(F.col("v").alias("field"), "id", "by"))).alias("way"))
+        met = tell.join(open_, ["plan", "field"]).filter("told <= want").withColumn("to", _passed(F.col("field"), F.col("told"), F.col("way"), F.col("out"))).filter("to.bound = want")
+        best = met.groupBy("plan", "field", "want").agg(F.min(F.struct((F.col("told") < F.col("want")).alias("late"), F.size("way").alias("n"), F.col("to.steps").alias("steps"))).alias("best"))
+        new = r.cut(best.select("plan", "field", F.col("want").alias("bound"), "best.steps"))
+        found.append(new)
+    told = reduce(DataFrame.union, found).select("plan", "field", F.col("steps").alias("better"))
+    return r.cut(low.join(told, ["plan", "field"], "left").select("plan", "field", "bound", F.coalesce("better", "steps").alias("steps")))
 
 
 def solve(constraints: DataFrame, least: int, most: int) -> DataFrame:
@@ -95,17 +119,20 @@ def solve(constraints: DataFrame, least: int, most: int) -> DataFrame:
     fields = r.cut(c.select("plan", F.col("left").alias("field")).union(c.filter("right IS NOT NULL").select("plan", "right")).distinct())
     gone = c.filter("op = '<>'").groupBy("plan", F.col("left").alias("field"), "value").agg(F.min("id").alias("id"))
     out = lambda sign: r.cut(gone.groupBy("plan", "field").agg(F.array_sort(F.collect_list(F.struct((F.col("value") * sign).alias("value"), "id"))).alias("out")))
-    low, circles = _least(fields, _bounds(c, True), edges, out(1), least, r)
+    low, circles, first = _least(fields, _bounds(c, True), edges, out(1), least, r)
 
     caps = _bounds(c, False).union(fields.select("plan", "field", F.lit(most).cast("long"), F.lit(None).cast("string")))
-    broken = low.join(caps, ["plan", "field"]).filter(low["bound"] > caps["bound"])
+    worst = caps.groupBy("plan", "field").agg(F.min("bound").alias("cap"))
+    hurt = r.cut(low.join(worst, ["plan", "field"]).filter("bound > cap").select("plan").distinct())
+    low_hurt = _derived(low.join(hurt, "plan", "left_semi"), first, edges, r)
+    broken = low_hurt.join(caps, ["plan", "field"]).filter(low_hurt["bound"] > caps["bound"])
     ids = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.transform("steps", lambda s: s["id"]), F.array(caps["id"])))))
     clashes = broken.select("plan", ids.alias("ids")).union(circles)
     conflict = r.cut(clashes.groupBy("plan").agg(F.min(F.struct(F.size("ids"), "ids")).getField("ids").alias("conflict")))
 
     fine = lambda df: df.join(conflict.select("plan"), "plan", "left_anti")
     turned = _bounds(c, False).withColumn("bound", -F.col("bound"))
-    high, _ = _least(fine(fields), fine(turned), fine(edges).select("plan", F.col("v").alias("u"), F.col("u").alias("v"), "by", "id"), out(-1), -most, r)
+    high, _, _ = _least(fine(fields), fine(turned), fine(edges).select("plan", F.col("v").alias("u"), F.col("u").alias("v"), "by", "id"), out(-1), -most, r)
     both = fine(low).select("plan", "field", F.col("bound").alias("lo")).join(high.select("plan", "field", (-F.col("bound")).alias("hi")), ["plan", "field"])
     none = F.lit(None)
     return r.last(both.withColumn("conflict", none.cast("array<string>")).unionByName(conflict.select("plan", none.cast("string").alias("field"), none.cast("long").alias("lo"), none.cast("long").alias("hi"), "conflict")))

@@ -63,3 +63,9 @@ def test_rows_that_are_not_taken(spark):
     assert sorted(x["id"] for x in domains.unread(c).collect()) == ["1", "2", "3", "4", "5", "6"]
     assert [tuple(x) for x in domains.solve(c, 0, 9).collect()] == [("a", "X", 1, 1, None)]
     assert domains.solve(c.limit(0), 0, 9).count() == 0
+
+
+def test_conflicts_lead_over_final_bounds(spark):
+    """Z first passes 6, as Y is 5; when Y has risen to 6 it leads to 7 directly, and what excludes 6 has no part in the conflict."""
+    rows = [("a", "1", "X", ">", None, 4), ("a", "2", "X", "<", "Y", None), ("a", "3", "Y", ">", None, 4), ("a", "4", "Y", "<", "Z", None), ("a", "5", "Z", "<>", None, 6), ("a", "6", "Z", "<=", None, 6)]
+    assert [x["conflict"] for x in domains.solve(spark.createDataFrame(rows, ROWS), 0, 60).collect()] == [["1", "2", "4", "6"]]
