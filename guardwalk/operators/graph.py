@@ -7,26 +7,38 @@ checkpoint. Nothing is collected but the question whether a round found anything
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardwalk.session import checkpoint_dir
+from guardwalk.session import Rounds, checkpoint_dir
 
 
-def depths(edges: DataFrame, entry: str) -> DataFrame:
-    """(paragraph, depth): breadth-first levels from the entry."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    pairs = edges.select("caller", "callee").distinct()
-    seen = spark.createDataFrame([(entry, 0)], "paragraph string, depth int")
-    frontier, depth = seen, 0
+def entered(edges: DataFrame, entry: str, r: Rounds) -> DataFrame:
+    """(caller, callee) of callers that are the entry or somebody's callee, as a file: others are never reached."""
+    pairs = r.cut(edges.select("caller", "callee"))
+    led = r.cut(pairs.select(F.col("callee").alias("caller")).filter(F.col("callee") != entry).distinct().union(pairs.sparkSession.createDataFrame([(entry,)], "caller string")))
+    return r.cut(pairs.join(led, "caller", "left_semi"))
+
+
+def levels(pairs: DataFrame, entry: str, r: Rounds) -> DataFrame:
+    """(paragraph, depth) over pairs (caller, callee) that are files already; a frontier is a file too, so that Spark sees how small it is and leaves the pairs where they are."""
+    frontier, depth = r.cut(pairs.sparkSession.createDataFrame([(entry, 0)], "paragraph string, depth int")), 0
+    found = [frontier]
     while True:
         depth += 1
-        step = frontier.join(pairs, F.col("paragraph") == F.col("caller")).select(F.col("callee").alias("paragraph"), F.lit(depth).alias("depth")).distinct()
-        frontier = step.join(seen.select("paragraph"), "paragraph", "left_anti").checkpoint()
+        step = pairs.join(frontier.select("paragraph"), F.col("paragraph") == F.col("caller")).select(F.col("callee").alias("paragraph"), F.lit(depth).alias("depth")).distinct()
+        frontier = r.cut(step.join(reduce(DataFrame.union, found).select("paragraph"), "paragraph", "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
+            return reduce(DataFrame.union, found)
+        found.append(frontier)
+
+
+def depths(edges: DataFrame, entry: str) -> DataFrame:
+    """(paragraph, depth): breadth-first levels from the entry. Edges are made once."""
+    r = Rounds(edges.sparkSession)
+    return r.last(levels(entered(edges, entry, r), entry, r))
 
 
 def shortest_chains(edges: DataFrame, entry: str) -> DataFrame:

@@ -87,3 +87,38 @@ def test_empty_graph(spark):
     e = spark.createDataFrame([], "caller string, callee string")
     assert flow.strong_components(e).count() == 0 and flow.reach(e, spark.createDataFrame([], "paragraph string, op string")).count() == 0
     assert [r["node"] for r in flow.dominators(spark.createDataFrame([("a", "b")], "caller string, callee string"), "z").collect()] in ([], ["z"])
+
+
+def test_depths_make_their_edges_once(spark):
+    """A round reads the edges, it doesn't make them again from what they are derived from."""
+    made = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)], "caller string, callee string").mapInArrow(told, "caller string, callee string")
+    assert {tuple(r) for r in graph.depths(e, "n0").collect()} == {(f"n{i}", i) for i in range(6)}
+    assert made.value == 5
+
+
+def test_unreached_edges_go_before_the_rounds(spark, monkeypatch):
+    seen = []
+    real = flow.must_pass
+    monkeypatch.setattr(flow, "must_pass", lambda edges, entry, labels: seen.append((edges.count(), labels.count())) or real(edges, entry, labels))
+    e = spark.createDataFrame([("a", "b"), ("b", "c")] + [(f"x{i}", "b") for i in range(30)], "caller string, callee string")
+    assert sorted((r["node"], r["idom"]) for r in flow.dominators(e, "a").collect()) == [("a", None), ("b", "a"), ("c", "b")]
+    assert seen == [(2, 3)]
+
+
+def test_layers_that_nothing_leads_to_stay_out_of_the_condensation(spark, monkeypatch):
+    seen = []
+    real = flow.strong_components
+    monkeypatch.setattr(flow, "strong_components", lambda edges: seen.append(edges.count()) or real(edges))
+    outer = [(f"x{i}", f"y{i % 4}") for i in range(40)] + [(f"y{i}", "a") for i in range(4)]
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), *outer], "caller string, callee string")
+    o = spark.createDataFrame([("c", "p"), ("y1", "q"), ("x0", "r"), ("lone", "s")], "paragraph string, op string")
+    want = {(n, "p") for n in ["a", "b", "c", *{x for pair in outer for x in pair}]} | {(n, "q") for n in ["y1", *[f"x{i}" for i in range(1, 40, 4)]]} | {("x0", "r"), ("lone", "s")}
+    assert {tuple(r) for r in flow.reach(e, o).collect()} == want
+    assert seen == [3]
