@@ -48,22 +48,22 @@ def first_recipe(credits: DataFrame, key: list[str], recipe: str = "recipe", ord
 def unlock(needs: DataFrame, limit: int | None = None) -> list[tuple[str, int]]:
     """Greedy set cover: capabilities in the order they are granted, with the plans unlocked so far; all of them, unless a limit is set.
 
-    needs: (plan, needs array<string>). Needs are rows that go as they are granted: a round counts what is
-    left and writes it without the granted need, so rounds get cheaper and their plans don't grow. The
+    needs: (plan, needs array<string>). Plans with the same needs are one row with their number, and meet again as
+    granted needs go, so a round's work is bounded by the different sets that are left. The
     driver holds the granted names only. Of equal gains the first name is granted; if none
     gains, the one most plans still need.
     """
     r = Rounds(needs.sparkSession)
-    left = r.cut(needs.select("plan", F.explode(F.array_distinct("needs")).alias("need")))
-    plans = needs.select("plan").distinct().count()
+    each = needs.groupBy("plan").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("needs")))).alias("needs"))
+    left = r.cut(each.groupBy("needs").agg(F.count("*").alias("plans")))
+    plans = left.agg(F.sum("plans")).first()[0] or 0
     out: list[tuple[str, int]] = []
     while limit is None or len(out) < limit:
-        open_ = r.cut(left.groupBy("plan").agg(F.count("*").alias("n"), F.min("need").alias("only")))  # `only` is a plan's last need where n = 1
-        gain = open_.filter("n = 1").groupBy(F.col("only").alias("need")).agg(F.count("*").alias("gain"))
-        per = left.groupBy("need").agg(F.count("*").alias("n")).join(gain, "need", "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+        per = left.select(F.explode("needs").alias("need"), "plans", (F.size("needs") == 1).alias("last")).groupBy("need").agg(F.sum("plans").alias("n"), F.sum(F.when(F.col("last"), F.col("plans")).otherwise(0)).alias("gain"))
         best = per.orderBy(F.desc("gain"), F.when(F.col("gain") > 0, 0).otherwise(-F.col("n")), "need").first()
         if best is None:
             break
-        left = r.cut(left.filter(F.col("need") != best["need"]))
-        out.append((best["need"], plans - left.select("plan").distinct().count()))
+        left = r.cut(left.select(F.array_remove("needs", best["need"]).alias("needs"), "plans").groupBy("needs").agg(F.sum("plans").alias("plans")))
+        out.append((best["need"], plans - (left.filter(F.size("needs") > 0).agg(F.sum("plans")).first()[0] or 0)))
+    r.close()
     return out

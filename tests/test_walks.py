@@ -121,3 +121,19 @@ def test_greedy_cover(spark):
         granted.add(best)
         want.append((best, sum(n <= granted for n in plans.values())))
     assert coverage.unlock(spark.createDataFrame([(p, sorted(n)) for p, n in plans.items()], "plan string, needs array<string>")) == want
+
+
+def test_unlock_keeps_a_row_per_set_of_needs(spark, monkeypatch):
+    """Plans that need the same are one row of a round."""
+    sizes = []
+    real = coverage.Rounds.cut
+
+    def cut(self, df):
+        out = real(self, df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(coverage.Rounds, "cut", cut)
+    plans = [(i, ["a", "b"] if i % 3 else ["b"]) for i in range(60)] + [(100, [])]
+    assert coverage.unlock(spark.createDataFrame(plans, "plan long, needs array<string>")) == [("b", 21), ("a", 61)]
+    assert sizes == [3, 2, 1]
