@@ -88,14 +88,16 @@ def _joined(parts: DataFrame, r: Rounds) -> DataFrame:
     return both.select("record", "lo", "hi", "value.seq", "value.source", (F.col("value.shift") + F.col("lo")).alias("source_lo"))
 
 
-def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, rounds: Rounds | None = None) -> DataFrame:
     """(lo, hi, and the columns of both): the shared bytes of intervals of two tables, in pieces that don't overlap for any pair.
 
     Both have (record, lo, hi) and one column more, `a` and `b`. Two dyadic blocks overlap only if one holds the other, so it is an
-    equality join of blocks with the blocks that hold those of the other side: every row is a piece of the answer.
+    equality join of blocks with the blocks that hold those of the other side: every row is a piece of the answer. With `rounds`
+    both sides' blocks are files first, so that Spark sees how small a side is: the other one's hot records stay where they are then.
     """
+    put = rounds.cut if rounds else lambda df: df
     cut = lambda df, name: df.filter("record IS NOT NULL AND lo >= 0 AND lo < hi").select("record", F.explode(blocks(F.col("lo"), F.col("hi"))).alias("k"), name).select("record", "k.level", "k.at", name)
-    x, y = cut(a, "a"), cut(b, "b")
+    x, y = put(cut(a, "a")), put(cut(b, "b"))
     top = max(df.agg(F.max(F.length(F.bin("hi")))).first()[0] or 0 for df in (a, b))
     inside = _above(x, F.col("level"), top).join(y.select("record", F.col("level").alias("up"), F.col("at").alias("up_at"), "b"), ["record", "up", "up_at"])
     around = _above(y, F.col("level") + 1, top).join(x.select("record", F.col("level").alias("up"), F.col("at").alias("up_at"), "a"), ["record", "up", "up_at"])
@@ -113,6 +115,9 @@ def compose(outer: DataFrame, inner: DataFrame) -> DataFrame:
     size = F.col("hi") - F.col("lo")
     a = outer.select(F.col("source").alias("record"), F.col("source_lo").alias("lo"), (F.col("source_lo") + size).alias("hi"), F.struct("record", (F.col("lo") - F.col("source_lo")).alias("move")).alias("a"))
     b = inner.select("record", "lo", "hi", F.struct("source", (F.col("source_lo") - F.col("lo")).alias("shift")).alias("b"))
-    deeper = overlaps(a, b).select(F.col("a.record").alias("record"), (F.col("lo") + F.col("a.move")).alias("lo"), (F.col("hi") + F.col("a.move")).alias("hi"), F.lit(1).alias("seq"), F.col("b.source").alias("source"), (F.col("lo") + F.col("b.shift")).alias("source_lo"))
+    r = Rounds(outer.sparkSession)
+    deeper = overlaps(a, b, r).select(F.col("a.record").alias("record"), (F.col("lo") + F.col("a.move")).alias("lo"), (F.col("hi") + F.col("a.move")).alias("hi"), F.lit(1).alias("seq"), F.col("b.source").alias("source"), (F.col("lo") + F.col("b.shift")).alias("source_lo"))
     whole = outer.select("record", "lo", "hi", F.lit(0).alias("seq"), "source", "source_lo").union(deeper)
-    return overlay(whole).drop("seq")
+    out = overlay(whole).drop("seq")
+    r.close()
+    return out

@@ -58,9 +58,12 @@ class Rounds:
     def last(self, df: DataFrame) -> DataFrame:
         """The answer, checkpointed; the rounds' files go."""
         out = df.checkpoint()
+        self.close()
+        return out
+
+    def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        return out
 
 
 def numbered(df: DataFrame, order: list[str], rounds: Rounds, name: str = "number") -> DataFrame:

@@ -58,3 +58,12 @@ def test_compose(spark):
 def test_no_writes(spark):
     none = lineage.overlay(spark.createDataFrame([], WRITES))
     assert none.columns == ["record", "lo", "hi", "seq", "source", "source_lo"] and none.count() == 0 and lineage.compose(none, none).count() == 0
+
+
+def test_a_small_side_of_overlaps_is_told_to_all(spark):
+    """A few records that very many intervals lie in don't gather these: their blocks are known to be few."""
+    a = spark.range(1000).selectExpr("'r' AS record", "id % 50 AS lo", "id % 50 + 3 AS hi", "id AS a")
+    b = spark.createDataFrame([("r", 0, 10, 1), ("r", 10, 60, 2)], "record string, lo long, hi long, b long").checkpoint()
+    got = lineage.overlaps(a, b, lineage.Rounds(spark))
+    assert got.selectExpr("sum(hi - lo)").first()[0] == 3000
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString() and "SortMergeJoin" not in got._jdf.queryExecution().toString()
