@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardwalk.operators.graph import entered, levels
 from guardwalk.session import Rounds, numbered
 
 WORD = 63  # bits of a long that stay clear of its sign
@@ -28,15 +29,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     r = Rounds(edges.sparkSession)
     cut = r.cut
-    every = cut(edges.select(F.col("caller").alias("u"), F.col("callee").alias("v")).distinct())
+    every = cut(edges.select(F.col("caller").alias("u"), F.col("callee").alias("v")))
     nodes = cut(every.select("u").union(every.select("v")).distinct().withColumnRenamed("u", "node"))
     found: list[DataFrame] = []
-    e = cut(every.filter("u <> v"))
+    e = every.filter("u <> v")
     while True:
         n = e.count()
-        while n:
-            both = e.select("u").distinct().join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-            e = cut(e.join(both, "u", "left_semi").join(both.withColumnRenamed("u", "v"), "v", "left_semi").select("u", "v"))
+        while n:  # what nothing leads to goes before what leads nowhere is looked for, so that the whole table is joined once only
+            led = cut(e.join(cut(e.select(F.col("v").alias("u")).distinct()), "u", "left_semi").select("u", "v"))
+            e = cut(led.join(cut(led.select(F.col("u").alias("v")).distinct()), "v", "left_semi").select("u", "v").distinct())
             n, before = e.count(), n
             if n == before:
                 break
@@ -73,18 +74,44 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def reach_bits(edges: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((node, word, bits), (op, number)): operations that every node reaches, its own among them, as bits of words.
 
-    One pass over the condensation, from what reaches nothing upwards: a component's words are
-    those of its own operations and of its successors, all of which are done before it. Only
-    words with a bit are rows.
+    Nodes that nothing leads to are set aside with their edges, a layer a round, as long as a layer takes half of what is left. The
+    rest is one pass over its condensation, from what reaches nothing upwards: a component's words are
+    those of its own operations and of its successors, all of which are done before it. Then each
+    layer asks its successors once. Only words with a bit are rows.
     """
     r = Rounds(edges.sparkSession)
     cut = r.cut
     names = cut(numbered(ops.select("op").distinct(), ["op"], r))
-    parts = strong_components(edges.select("caller", "callee").union(ops.select(F.col("paragraph").alias("caller"), F.col("paragraph").alias("callee"))))
-    of = lambda a, b: parts.select(F.col("node").alias(a), F.col("component").alias(b))
     word, bit = F.floor(F.col("number") / WORD).cast("int"), F.expr(f"shiftleft(1L, CAST(number % {WORD} AS INT))")
-    own = cut(ops.select("paragraph", "op").distinct().join(of("paragraph", "c"), "paragraph").join(names, "op").groupBy("c", word.alias("word")).agg(F.bit_or(bit).alias("bits")))
-    down = cut(edges.join(of("caller", "u"), "caller").join(of("callee", "v"), "callee").filter("u <> v").select("u", "v").distinct())
+    named = ops.select(F.col("paragraph").alias("node"), "op").distinct().join(names, "op")
+    own = cut(named.groupBy("node", word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    e = cut(edges.select(F.col("caller").alias("u"), F.col("callee").alias("v")).filter("u <> v"))
+    n = e.count()
+    layers: list[DataFrame] = []
+    while n:
+        led = cut(e.select(F.col("v").alias("u")).distinct().withColumn("led", F.lit(True)))
+        split = cut(e.join(led, "u", "left"))
+        m = split.filter("led").count()
+        if 2 * m > n:
+            break
+        layers.append(split.filter("led IS NULL").select("u", "v"))
+        e, n = split.filter("led").select("u", "v"), m
+    values = own.union(_within(e, own, r)) if n else own
+    for layer in reversed(layers):
+        told = layer.join(values.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        values = values.union(cut(told))
+    names = names.checkpoint()
+    return r.last(values.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))), names
+
+
+def _within(edges: DataFrame, own: DataFrame, r: Rounds) -> DataFrame:
+    """(node, word, bits) of the nodes of edges (u, v), by a pass over their condensation; own: (node, word, bits) of any nodes."""
+    cut = r.cut
+    edges = cut(edges.distinct())
+    parts = strong_components(edges.select(F.col("u").alias("caller"), F.col("v").alias("callee")))
+    of = lambda a, b: parts.select(F.col("node").alias(a), F.col("component").alias(b))
+    own = cut(own.join(of("node", "c"), "node").groupBy("c", "word").agg(F.bit_or("bits").alias("bits")))
+    down = cut(edges.join(of("u", "cu"), "u").join(of("v", "cv"), "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
     left, open_ = cut(parts.select(F.col("component").alias("c")).distinct()), down
     done: list[DataFrame] = []
     while True:
@@ -98,9 +125,8 @@ def reach_bits(edges: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
         done.append(cut(words.groupBy("c", "word").agg(F.bit_or("bits").alias("bits"))))
         left = cut(left.join(ready, "c", "left_anti"))
         open_ = cut(open_.join(ready.withColumnRenamed("c", "v"), "v", "left_anti").select("u", "v"))
-    whole = reduce(DataFrame.union, done) if done else own
-    names = names.checkpoint()
-    return r.last(parts.join(whole, F.col("component") == F.col("c")).select("node", "word", "bits")), names
+    whole = reduce(DataFrame.union, done)
+    return cut(parts.join(whole, F.col("component") == F.col("c")).select("node", "word", "bits"))
 
 
 def reach(edges: DataFrame, ops: DataFrame) -> DataFrame:
@@ -147,9 +173,15 @@ def must_pass(edges: DataFrame, entry: str, labels: DataFrame) -> DataFrame:
 
 
 def dominators(edges: DataFrame, entry: str) -> DataFrame:
-    """(node, idom, depth, path): the immediate dominator of every node that the entry reaches, and all of them from the entry down."""
-    ends = edges.select(F.col("caller").alias("node")).union(edges.select("callee")).distinct()
-    sets = must_pass(edges, entry, ends.withColumn("label", F.col("node")))
+    """(node, idom, depth, path): the immediate dominator of every node that the entry reaches, and all of them from the entry down.
+
+    What the entry doesn't reach goes first: no round passes over it.
+    """
+    r = Rounds(edges.sparkSession)
+    pairs = entered(edges, entry, r)
+    reached = r.cut(levels(pairs, entry, r).select(F.col("paragraph").alias("node")))
+    inner = r.cut(pairs.join(reached.withColumnRenamed("node", "caller"), "caller", "left_semi"))
+    sets = must_pass(inner, entry, reached.withColumn("label", F.col("node")))
     ranks = sets.select(F.col("node").alias("d"), F.size("labels").alias("rank"))  # dominators of a node have sets of different sizes, in their order
     each = sets.select("node", F.explode("labels").alias("d")).join(ranks, "d")
     paths = each.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "d"))), lambda x: x["d"]).alias("path"))
