@@ -9,16 +9,17 @@ through a keyed permutation of its blocks, epoch by epoch, and consecutive range
 of draws go to consecutive shards, as long as the tree says: no two shards draw the
 same block of an epoch. Within a shard, `order_key` shuffles (write_mix).
 
-Whole documents (mixed_documents) are not drawn by blocks: a source's documents with
-words stand in the order of their lengths (to four leading bits, there dealt over
-cells by digest), and systematic sampling from a keyed start takes each of them
-target / size times, rounded up or down. Each document has that expected number of
-copies, and neighbours of like length make up for each other, so the source's words
-meet its target to about its longest document.
+Whole documents (mixed_documents) go through the same tree with documents for blocks: a
+source's documents with words are classes by length (to four leading bits), and its target
+gives each class a quota of documents, what one class is off being owed to the next. The tree splits the
+quotas of all classes and sources at once among the shards; within a class the draws run through a keyed
+permutation of its documents, epoch by epoch. So each document is taken its class's share of
+times, rounded up or down, and the source's words meet its target as far as lengths within a class are alike.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, the last; null ids and repeated rows are documents like any
-other; an empty table gives an empty mix; the driver holds one row per source; other columns are ignored (draw) or
+other; an empty table gives an empty mix; the driver holds one row per source, and for whole documents
+one per class of lengths of it, of which a doubling of lengths has eight; other columns are ignored (draw) or
 kept (mixed_documents).
 """
 
@@ -210,41 +211,58 @@ def write_mix(drawn: DataFrame, path: str, parts: int = 1) -> None:
     rows.withColumn("part", part).repartition("shard", "part").sortWithinPartitions("shard", "part", "order_key", "epoch", "first_word").write.partitionBy("shard", "part").parquet(path)
 
 
-def whole_copies(groups: DataFrame, ratios: DataFrame, seed: str) -> DataFrame:
-    """(doc_id, tag, size, c, times): how often the mix takes the c documents of an id, source and length, together.
+def document_quotas(classes: list[tuple[int, int]], ratio: float) -> list[int]:
+    """How many draws each class of (documents, words) gets for ratio times its words, in their order; what one is off is owed to the next."""
+    out, owed = [], 0.0
+    for n, words in classes:
+        owed += ratio * words
+        out.append(max(0, min(round(owed * n / words), CAP * n)))
+        owed -= out[-1] * words / n
+    return out
 
-    Documents are numbered along their source by length and cell; those from number i
-    to j are taken floor(j * ratio + start) - floor(i * ratio + start) times.
-    """
+
+def whole_draws(groups: DataFrame, ratios: dict[str, float], shards: int, seed: str) -> DataFrame:
+    """(doc_id, tag, size, c, copy, taken_by): every draw of each of the c documents of an id, source and length, with its epoch, shard and order_key."""
     shift = "greatest(length(bin(size)) - 4, 0)"
     g = groups.filter("size > 0").withColumn("about", F.expr(f"shiftleft(shiftright(size, {shift}), {shift})")).withColumn("cell", F.col("b") % CELLS)
-    per = g.groupBy("tag", "about", "cell").agg(F.sum("c").alias("n"))
-    place = per.select("tag", "about", "cell", F.coalesce(F.sum("n").over(before(Window.partitionBy("tag").orderBy("about", "cell"))), F.lit(0)).alias("at"))
+    per = g.groupBy("tag", "about", "cell").agg(F.sum("c").alias("n"), F.sum(F.col("size") * F.col("c")).alias("w"))
+    classes = per.groupBy("tag", "about").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).orderBy("tag", F.desc("about")).collect()
+    quotas: list[int] = []
+    for tag in dict.fromkeys(r["tag"] for r in classes):  # the longest first, so that the shortest settle what is owed
+        quotas += document_quotas([(int(r["n"]), int(r["w"])) for r in classes if r["tag"] == tag], ratios[tag])
+    unit = max(1, -(-sum(quotas) // MOST_BLOCKS))  # the sampler takes less than 10^9 draws; what is over goes to the last shard
+    cuts = np.cumsum(np.array(tree([q // unit for q in quotas], shards, seed), dtype=np.int64).reshape(shards, -1), axis=0) * unit
+    cuts[-1] = quotas
+    plans = [(r["tag"], r["about"], int(r["n"]), q, [int(x) for x in cuts[:, i]]) for i, (r, q) in enumerate(zip(classes, quotas, strict=True))]
+    p = groups.sparkSession.createDataFrame(plans, "tag string, about long, n_docs long, quota long, cuts array<long>")
+    place = per.select("tag", "about", "cell", F.coalesce(F.sum("n").over(before(Window.partitionBy("tag", "about").orderBy("cell"))), F.lit(0)).alias("at"))
     inner = F.sum("c").over(before(Window.partitionBy("tag", "about", "cell").orderBy("size", F.col("doc_id").asc_nulls_first())))
-    j = g.withColumn("in", F.coalesce(inner, F.lit(0))).join(place, ["tag", "about", "cell"]).join(ratios, "tag")
-    start = hashed(F.lit(seed), F.lit("whole"), F.col("tag")) / F.lit(float(2**48))
-    upto = lambda n: F.floor(n * F.col("ratio") + start)
-    first = F.col("at") + F.col("in")
-    return j.select("doc_id", "tag", "size", "c", (upto(first + F.col("c")) - upto(first)).alias("times"))
+    j = g.withColumn("in", F.coalesce(inner, F.lit(0))).join(place, ["tag", "about", "cell"]).join(F.broadcast(p) if len(plans) <= BROADCAST_SOURCES else p, ["tag", "about"])
+    copies = j.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    d = permute(copies.withColumn("number", F.col("at") + F.col("in") + F.col("copy")), "number", "n_docs", seed, "place")
+    at = lambda epoch: epoch * F.col("n_docs") + F.col("place")
+    epochs = F.filter(F.array(*[F.lit(e).cast("long") for e in range(CAP)]), lambda e: at(e) < F.col("quota"))
+    by = F.transform(epochs, lambda e: F.struct(e.alias("epoch"), F.size(F.filter("cuts", lambda x: x <= at(e))).alias("shard"), hashed(F.lit(seed), F.lit("whole"), F.col("tag"), F.col("about"), at(e)).alias("order_key")))
+    return d.select("doc_id", "tag", "size", "c", "copy", by.alias("taken_by")).filter("size(taken_by) > 0")
 
 
 def mixed_documents(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """Whole documents with all their columns, none, one or several rows of each, so that every source's words meet its target."""
+    """Whole documents with all their columns, none, one or several rows of each, so that every source's words meet its target; shards stay together, in the order of their keys."""
     groups, _, sizes = tally(docs, id_col, source_col, text_col, buckets)
-    ratios = docs.sparkSession.createDataFrame([(tag, t / s) for (tag, s), t in zip(sizes, source_targets(sizes, weights), strict=True) if s], "tag string, ratio double")
-    per = whole_copies(groups, F.broadcast(ratios) if len(sizes) <= BROADCAST_SOURCES else ratios, seed).filter("times > 0").checkpoint()
+    ratios = {tag: t / s for (tag, s), t in zip(sizes, source_targets(sizes, weights), strict=True) if s}
+    per = whole_draws(groups, ratios, shards, seed).checkpoint()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), tag_of(docs, source_col).alias("_tag"), word_count(docs, text_col).alias("_size"))
-
-    def taken(part: DataFrame) -> DataFrame:
-        return rows.join(part.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag")) & (F.col("_size") == F.col("size")))
-
-    out = taken(per.filter("times % c = 0")).withColumn("_n", F.floor(F.col("times") / F.col("c")))
-    uneven = per.filter("times % c > 0")
-    if not uneven.isEmpty():  # repeated ids whose copies don't go evenly into their rows: the first rows get one more
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tag") == F.col("tag")) & (F.col("_size") == F.col("size"))
+    out = rows.join(per.filter("c = 1").hint("shuffle_hash"), same).select("_row", "taken_by")
+    several = per.filter("c > 1")
+    if not several.isEmpty():  # repeated ids: the n-th of their rows is the n-th copy
         by = [F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-        nth = F.row_number().over(Window.partitionBy("_id", "_tag", "_size").orderBy(*by))
-        out = out.unionByName(taken(uneven).withColumn("_n", F.floor(F.col("times") / F.col("c")) + (nth <= F.col("times") % F.col("c")).cast("long")))
-    return out.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")
+        nth = F.row_number().over(Window.partitionBy("_id", "_tag", "_size").orderBy(*by)) - 1
+        alike = rows.join(several.select("doc_id", "tag", "size").distinct(), same, "left_semi").withColumn("_nth", nth)
+        out = out.unionByName(alike.join(several, same & (F.col("_nth") == F.col("copy"))).select("_row", "taken_by"))
+    each = out.select("_row", F.explode("taken_by").alias("_d")).select("_row", F.col("_d.shard").alias("_shard"), F.col("_d.order_key").alias("_order"))
+    part = F.shiftright("_order", 42)  # 64 ranges of keys a shard
+    return each.withColumn("_part", part).repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_order").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

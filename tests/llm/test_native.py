@@ -254,3 +254,24 @@ def test_mixed_documents_meet_the_targets(spark):
     for (source, _, longest), want in zip(sizes, mixing.targets([w for _, w, _ in sizes], weights), strict=True):
         assert abs(got.get(source, 0) - want) <= longest, (source, want)
     assert listed(mixed) == listed(mixing.mixed_documents(rows.repartition(7), weights))
+
+
+def test_mixed_documents_go_through_the_tree(spark):
+    """The tree splits the classes' quotas of documents: shards' numbers of draws are the tree's, and no epoch takes a document twice."""
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'a', 'b')").alias("source"), F.repeat(F.lit("w "), F.expr("cast(8 + id % 40 as int)")).alias("text"))
+    groups, _, sizes = mixing.tally(rows, "doc_id", "source", "text", 64)
+    ratios = {tag: t / s for (tag, s), t in zip(sizes, mixing.source_targets(sizes, None), strict=True)}
+    drawn = mixing.whole_draws(groups, ratios, 4, "x").select("doc_id", "tag", "size", F.explode("taken_by").alias("d")).select("doc_id", "tag", "size", "d.*").collect()
+    about = lambda n: n >> max(0, n.bit_length() - 4) << max(0, n.bit_length() - 4)
+    classes = {}
+    for i in range(900):
+        c = classes.setdefault(("sb" if i % 3 else "sa", -about(8 + i % 40)), [0, 0])
+        c[0], c[1] = c[0] + 1, c[1] + 8 + i % 40
+    order = sorted(classes)
+    quotas = [q for tag in ("sa", "sb") for q in mixing.document_quotas([tuple(classes[k]) for k in order if k[0] == tag], ratios[tag])]
+    want = {(s, *k): n for s, part in enumerate(mixing.tree(quotas, 4, "x")) for k, n in zip(order, part, strict=True) if n}
+    got = {}
+    for r in drawn:
+        k = (r["shard"], r["tag"], -about(r["size"]))
+        got[k] = got.get(k, 0) + 1
+    assert got == want and len({(r["doc_id"], r["epoch"]) for r in drawn}) == len(drawn) == sum(quotas)
