@@ -243,7 +243,8 @@ def whole_draws(groups: DataFrame, ratios: dict[str, float], shards: int, seed:
     at = lambda epoch: epoch * F.col("n_docs") + F.col("place")
     epochs = F.filter(F.array(*[F.lit(e).cast("long") for e in range(CAP)]), lambda e: at(e) < F.col("quota"))
     by = F.transform(epochs, lambda e: F.struct(e.alias("epoch"), F.size(F.filter("cuts", lambda x: x <= at(e))).alias("shard"), hashed(F.lit(seed), F.lit("whole"), F.col("tag"), F.col("about"), at(e)).alias("order_key")))
-    return d.select("doc_id", "tag", "size", "c", "copy", by.alias("taken_by")).filter("size(taken_by) > 0")
+    # the first epoch's draw, not the list of draws, tells whether there is one: Spark moves the condition down and would walk the permutation once for every use in it
+    return d.filter(F.col("place") < F.col("quota")).select("doc_id", "tag", "size", "c", "copy", by.alias("taken_by"))
 
 
 def mixed_documents(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
