@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from guardwalk.llm import neardup
 from guardwalk.llm.arrow import SLICE
-from guardwalk.llm.neardup import SMALL, Sets, Shingler, Tables, confirmed, in_groups, key_of, spread, star_edges, text_digest
+from guardwalk.llm.neardup import SMALL, Sets, Shingler, Tables, confirmed, in_groups, key_of, spread, text_digest
 
 WIDTH, PERCENT = 4, 85
 #: Counters of shingle frequencies, and the pieces they travel in.
@@ -49,16 +49,22 @@ COUNTERS, PIECE = 1 << 19, 1 << 16
 HELD = 1 << 20
 #: Sets of a task that are remembered, so that copies in one task give one set's postings; bounds memory, not results.
 SEEN = 500_000
-#: Ranges that the suffix filter's pivots make.
-RANGES = 32
+#: Ranges that the suffix filter's pivots make, at least and at most; there is one to 8 or 16 shingles.
+RANGES, MOST_RANGES = 32, 1024
+
+
+def ranges_of(tokens: np.ndarray) -> np.ndarray:
+    """How many shingles lie in each of equal ranges, as far as a byte tells: differences of these bound the symmetric difference from below."""
+    r = min(MOST_RANGES, max(RANGES, 1 << (len(tokens) // 16).bit_length()))
+    return np.minimum(np.bincount((tokens >> np.uint64(65 - r.bit_length())).astype(np.int64), minlength=r), 255).astype(np.uint8)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (doc_id, digest, n, set_key) of documents, and rows (piece, counts) of the task's counters with the other columns null."""
+    """Rows (doc_id, digest, n, set_key, ranges) of documents, and rows (piece, counts) of the task's counters with the other columns null."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {kind}, digest binary, n long, set_key binary, piece int, counts binary"
+    schema = f"doc_id {kind}, digest binary, n long, set_key binary, ranges binary, piece int, counts binary"
     out = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,23 +78,24 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                 size = 0
 
         for b in batches:
-            n, keys = [], []
+            n, keys, ranges = [], [], []
             for at in range(0, b.num_rows, SLICE):
                 for text in b.column(2).slice(at, SLICE).to_pylist():
                     s = shingle(text)
                     n.append(len(s))
                     keys.append(key_of(s) if len(s) else None)
+                    ranges.append(ranges_of(s).tobytes() if len(s) else None)
                     if len(s):
                         held.append(s)
                         size += len(s)
                         if size >= HELD:
                             count()
-            none = [pa.nulls(len(n), f.type) for f in list(out)[4:]]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(out.field(0).type), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *none], schema=out)
+            none = [pa.nulls(len(n), f.type) for f in list(out)[5:]]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(out.field(0).type), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(ranges, pa.binary()), *none], schema=out)
         count()
         pieces = [zlib.compress(counts[at : at + PIECE].tobytes(), 1) for at in range(0, COUNTERS, PIECE)]
         if counts.any():
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(pieces), f.type) for f in list(out)[:4]], pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(pieces), f.type) for f in list(out)[:5]], pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], schema=out)
 
     return docs.select(docs[id_col], text_digest(docs[text_col]), docs[text_col]).mapInArrow(run, schema)
 
@@ -172,31 +179,55 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     return rows.join(kept.hint("shuffle_hash"), "token").select("token", "members", F.unhex(F.concat(swap("hi"), swap("lo"))).alias("set_key"), F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 
 
+class Ranged:
+    """Ranges of a group's rows, held against each other; of two rows with different numbers of ranges the finer is folded."""
+
+    def __init__(self, ranges: list[bytes], percent: int):
+        self.percent = percent
+        self.own = [np.frombuffer(x, np.uint8).astype(np.int32) for x in ranges]
+        self.fine = np.array([len(x) for x in self.own])
+        self.at = np.zeros(len(self.own), np.int64)
+        self.tables = {}
+        for r in np.unique(self.fine):
+            mine = np.flatnonzero(self.fine == r)
+            self.at[mine] = np.arange(len(mine))
+            self.tables[int(r)] = np.stack([self.own[i] for i in mine])
+
+    def near(self, i: int, others: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Those of `others` that may be linked with row i by their ranges; both: their sizes and row i's together."""
+        apart = np.zeros(len(others), np.int64)
+        for r, table in self.tables.items():
+            some = np.flatnonzero(self.fine[others] == r)
+            if len(some):
+                low = min(r, len(self.own[i]))
+                theirs = table[self.at[others[some]]].reshape(len(some), low, -1).sum(2)
+                apart[some] = np.abs(theirs - self.own[i].reshape(low, -1).sum(1)).sum(1)
+        return others[(100 + self.percent) * (both - apart) >= 2 * self.percent * both]
+
+
 def may_link(rows: list[tuple], percent: int) -> list[tuple]:
-    """Candidate links (a, b) among (key, set_key, n, at) that the length and positional filters leave, as far as they join candidates."""
-    if len(rows) == 2:
-        (_, a, n, i), (_, b, m, j) = rows
-        return [(a, b)] if (100 + percent) * min(n - i, m - j) >= percent * (n + m) else []
+    """Candidate links (a, b) among (key, set_key, n, at, ranges) that the length, positional and suffix filters leave, as far as they join candidates."""
     n, left = np.array([r[2] for r in rows], np.int64), np.array([r[2] - r[3] for r in rows], np.int64)
+    if len(rows) == 2 and (100 + percent) * left.min() < percent * n.sum():
+        return []
+    ranged = Ranged([r[4] for r in rows], percent)
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        return others[(100 + percent) * np.minimum(left[others], left[i]) >= percent * (n[others] + n[i])]
+        some = others[(100 + percent) * np.minimum(left[others], left[i]) >= percent * (n[others] + n[i])]
+        return ranged.near(i, some, n[some] + n[i]) if len(some) else some
 
     return [(rows[i][1], rows[j][1]) for i, j in spread(range(len(rows)), near)]
 
 
 class Suffixed(Sets):
-    """Full sets behind a suffix filter: sizes of the ranges that fixed pivots make bound the symmetric difference."""
+    """Full sets behind the suffix filter."""
 
     def __init__(self, rows: list[tuple], percent: int):
         super().__init__(rows, percent)
-        shift = np.uint64(64 - RANGES.bit_length() + 1)
-        self.ranges = np.array([np.bincount((np.frombuffer(r[3], np.uint64) >> shift).astype(np.int64), minlength=RANGES) for r in rows])
+        self.ranged = Ranged([ranges_of(np.frombuffer(r[3], np.uint64)).tobytes() for r in rows], percent)
 
     def near(self, i: int, others: np.ndarray) -> np.ndarray:
-        both = self.n[others] + self.n[i]
-        apart = np.abs(self.ranges[others] - self.ranges[i]).sum(1)
-        return super().near(i, others[(100 + self.percent) * (both - apart) >= 2 * self.percent * both])
+        return super().near(i, self.ranged.near(i, others, self.n[others] + self.n[i]))
 
 
 def verified(rows: list[tuple], percent: int) -> list[tuple]:
@@ -211,17 +242,27 @@ def joined_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perc
     cut = t.cut
     told = cut(described(docs, id_col, text_col, width))
     sets = told.filter("piece IS NULL").drop("piece", "counts")
-    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "digest", "n")).alias("m"), F.count("*").alias("copies"))
-    reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.digest", "m.n", "copies"))
+    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "digest", "n", "ranges")).alias("m"), F.count("*").alias("copies"))
+    reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.digest", "m.n", "m.ranges", "copies"))
     named = docs.filter(docs[id_col].isNotNull())
     near = cut(shared_postings(postings(named, text_col, width, percent, frequencies(told))))
     bands = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / (percent - 0.1))))  # of two linked sets' bands one is at most one below the other
     dealt = near.filter(F.col("members") > SMALL).withColumn("band", F.explode(F.array(bands, bands - 1))).withColumn("key", F.xxhash64("token", "band")).drop("token", "band", "members")
     sized = cut(neardup.join_facts(dealt, "key", [F.col("set_key")], dealt.groupBy("key").agg(F.count("*").alias("members")), "members", dealt.count()))
     few = near.filter(F.col("members") <= SMALL).select(F.col("token").alias("key"), "set_key", "n", "at").union(sized.filter(F.col("members") <= SMALL).select("key", "set_key", "n", "at"))
-    small, alike = few.select("key", "set_key"), sized.filter(F.col("members") > SMALL).select("key", "set_key").distinct()
-    edges = in_groups(few, "a binary, b binary", lambda rows: may_link(rows, percent)).union(star_edges(alike))
-    return confirmed(docs, id_col, text_col, width, percent, sets, reps, edges, small, alike, t, verified)
+    small = few.union(blocks(sized.filter(F.col("members") > SMALL)))
+    told = small.join(reps.select("set_key", "ranges").hint("shuffle_hash"), "set_key").select("key", "set_key", "n", "at", "ranges")
+    edges = in_groups(told, "a binary, b binary", lambda rows: may_link(rows, percent))
+    small = small.select("key", "set_key")
+    return confirmed(docs, id_col, text_col, width, percent, sets, reps, edges, small, small.filter(F.lit(False)), t, verified)
+
+
+def blocks(large: DataFrame) -> DataFrame:
+    """(key, set_key, n, at) of groups (key, set_key, n, at, members) in blocks of about SMALL rows, so that any two rows of a group meet in one."""
+    parts = F.ceil(2 * F.col("members") / SMALL)
+    part = F.pmod(F.xxhash64("set_key", F.lit(3)), parts)
+    pairs = large.withColumn("i", part).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).filter("i <> j")
+    return pairs.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "set_key", "n", "at")
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from guardwalk.llm import neardup, ngramjoin, trie, whitening
 from tests.llm.common import docs, empty, prose, texts
@@ -263,3 +264,43 @@ def test_filters_leave_linked_pairs(spark):
     for i, x in enumerate(sets):
         want = [j for j, y in enumerate(sets) if (c := len(np.intersect1d(x, y))) and 100 * c >= 85 * (len(x) + len(y) - c)]
         assert [j for j in f.near(i, every).tolist() if j != i] == [j for j in want if j != i]
+
+
+def test_one_shared_shingle_makes_no_candidates():
+    """Unrelated sets that share one rare shingle aren't candidates; sets that are linked always are, whatever their numbers of ranges."""
+    r = np.random.default_rng(5)
+    draw = lambda n: r.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+    row = lambda k, s: ("t", bytes([k]), len(s), 0, ngramjoin.ranges_of(s).tobytes())
+    for n in (200, 1000, 20_000):
+        apart = [np.unique(np.append(draw(n), np.uint64(1))) for _ in range(3)]
+        assert ngramjoin.may_link([row(k, s) for k, s in enumerate(apart)], 85) == []
+    for n in (1, 2, 7, 100, 511, 512, 530, 5000, 16_000, 40_000):
+        s = np.unique(draw(n))
+        m = -(-85 * len(s) // 100)
+        changed = np.unique(np.append(s[: 46 * len(s) // 50], draw(len(s) // 100)))
+        for t in (s[:m], s[len(s) - m :], *([changed] if n >= 100 else [])):
+            assert ngramjoin.may_link([row(0, s), row(1, np.sort(t))], 85), (n, len(t))
+            assert ngramjoin.may_link([row(0, draw(n)), row(1, np.sort(t)), row(2, s)], 85)
+
+
+def test_blocks_let_all_rows_of_a_group_meet(spark):
+    rows = [(7, k.to_bytes(2, "big"), 9, 0, 1700) for k in range(1700)]
+    out = ngramjoin.blocks(spark.createDataFrame(rows, "key long, set_key binary, n int, at int, members long")).collect()
+    met, held = set(), {}
+    for x in out:
+        held.setdefault(x["key"], []).append(int.from_bytes(bytes(x["set_key"]), "big"))
+    assert max(map(len, held.values())) < 2 * ngramjoin.SMALL
+    for some in held.values():
+        met |= {(a, b) for a in some for b in some if a < b}
+    assert len(met) == 1700 * 1699 // 2
+
+
+def test_facts_find_hot_and_other_rows(spark):
+    """Keys of each type: hot rows take keys of their own, and every row gets its own group's facts."""
+    from guardwalk.llm.hot import join_facts
+
+    for kind in ("binary", "bigint", "string", "int"):
+        rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).cast("string" if kind == "binary" else kind).cast(kind).alias("k"))
+        facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        out = join_facts(rows, "k", [F.col("id")], facts, "n", 3000)
+        assert sorted(map(tuple, out.select("id", "n", "least").collect())) == sorted(map(tuple, rows.join(facts, "k").select("id", "n", "least").collect()))
