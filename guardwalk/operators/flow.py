@@ -142,34 +142,67 @@ def reach_counts(edges: DataFrame, ops: DataFrame) -> DataFrame:
     return reach_bits(edges, ops)[0].groupBy(F.col("node").alias("paragraph")).agg(F.sum(F.bit_count("bits")).cast("long").alias("n_ops"))
 
 
+_NONE = "CAST(array() AS array<string>)"
+
+
+def _shared(told: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, met): of rows (callee, met) the labels in all that aren't null, with the node's own; null if all are."""
+    most = told.groupBy("callee").agg(F.count("met").alias("n"))
+    each = told.select("callee", F.explode("met").alias("l")).groupBy("callee", "l").agg(F.count("*").alias("n"))
+    shared = each.join(most, ["callee", "n"]).groupBy("callee").agg(F.collect_list("l").alias("l"))
+    out = most.join(shared, "callee", "left").withColumnRenamed("callee", "node").join(own, "node", "left")
+    none = F.expr(_NONE)
+    return out.select("node", F.when(F.col("n") > 0, F.array_sort(F.array_union(F.coalesce("l", none), F.coalesce("own", none)))).alias("met"))
+
+
 def must_pass(edges: DataFrame, entry: str, labels: DataFrame) -> DataFrame:
     """(node, labels): of every node that the entry reaches, the labels that every way to it meets, those of the node itself among them.
 
-    edges: (caller, callee); labels: (node, label), any number a node. What all ways to a node have
-    met is what all its predecessors tell. Sets start with what the first ways found have met
-    and only shrink; nodes whose predecessors have changed are looked at again until none does. Ways
+    edges: (caller, callee), and `via`, an array of labels that the edge itself meets, if there is such a column; labels: (node, label), any
+    number a node. What all ways to a node have met is what all its predecessors tell. First the nodes whose predecessors are all done, a layer
+    a round: each is made once, and a round passes only over edges to nodes that aren't done. What circles leave starts with what the first ways found have met
+    and only shrinks; nodes whose predecessors have changed are looked at again until none does. Ways
     aren't listed, however many there are.
     """
     r = Rounds(edges.sparkSession)
     cut = r.cut
-    e = cut(edges.select("caller", "callee").filter(F.col("callee") != entry).distinct())
+    none = F.expr(_NONE)
+    via = F.col("via") if "via" in edges.columns else none.alias("via")
+    every = cut(edges.select("caller", "callee", via).filter(F.col("callee") != entry).distinct())
     own = cut(labels.groupBy("node").agg(F.array_sort(F.collect_set("label")).alias("own")))
     start = edges.sparkSession.createDataFrame([(entry,)], "node string").join(own, "node", "left")
-    sets = cut(start.select("node", F.coalesce("own", F.array().cast("array<string>")).alias("met"), F.lit(True).alias("moved")))
+    frontier = cut(start.select("node", F.coalesce("own", none).alias("met")))
+    callees = every.select(F.col("callee").alias("node")).distinct()
+    lone = cut(every.select(F.col("caller").alias("node")).filter(F.col("node") != entry).distinct().join(callees, "node", "left_anti").withColumn("met", F.lit(None).cast("array<string>")))  # nothing reaches them
+    done, rest, waiting = [frontier], every, None
+    while True:
+        split = cut(rest.join(frontier.select(F.col("node").alias("caller"), "met", F.lit(True).alias("told")), "caller", "left"))
+        rest = split.filter("told IS NULL").select("caller", "callee", "via")
+        now = split.filter("told").select("callee", F.array_union("met", "via").alias("met"))
+        waiting = now if waiting is None else waiting.union(now)
+        blocked = cut(rest.select("callee").distinct())
+        frontier = cut(_shared(waiting.join(blocked, "callee", "left_anti"), own))
+        frontier = frontier.union(lone) if len(done) == 1 else frontier
+        if frontier.isEmpty():
+            break
+        done.append(frontier)
+        waiting = cut(waiting.join(blocked, "callee", "left_semi"))
+    fixed = reduce(DataFrame.union, done).filter("met IS NOT NULL")
+    if blocked.isEmpty():
+        return r.last(fixed.select("node", F.col("met").alias("labels")))
+    e = cut(every.join(blocked, "callee", "left_semi"))
+    sets = cut(fixed.join(e.select(F.col("caller").alias("node")).distinct(), "node", "left_semi").withColumn("moved", F.lit(True)))
     while True:
         look = e.join(sets.filter("moved").select(F.col("node").alias("caller")), "caller", "left_semi").select("callee").distinct()
         known = e.join(look, "callee", "left_semi").join(sets.select(F.col("node").alias("caller"), "met"), "caller")
-        most = known.groupBy("callee").agg(F.count("*").alias("n"))
-        told = known.select("callee", F.explode("met").alias("l")).groupBy("callee", "l").agg(F.count("*").alias("n"))
-        shared = told.join(most, ["callee", "n"]).groupBy("callee").agg(F.collect_list("l").alias("l"))
-        none = F.array().cast("array<string>")
-        fresh = most.select(F.col("callee").alias("node")).join(shared.withColumnRenamed("callee", "node"), "node", "left").join(own, "node", "left")
-        both = sets.join(fresh.select("node", F.array_sort(F.array_union(F.coalesce("l", none), F.coalesce("own", none))).alias("new")), "node", "full_outer")
+        fresh = _shared(known.select("callee", F.array_union("met", "via").alias("met")), own).withColumnRenamed("met", "new")
+        both = sets.join(fresh, "node", "full_outer")
         new = F.coalesce("new", "met")
         sets = cut(both.select("node", new.alias("met"), F.coalesce(~new.eqNullSafe(F.col("met")), F.lit(True)).alias("moved")))
         if sets.filter("moved").isEmpty():
             break
-    return r.last(sets.select("node", F.col("met").alias("labels")))
+    rounds = sets.join(blocked.withColumnRenamed("callee", "node"), "node", "left_semi").select("node", "met")
+    return r.last(fixed.union(rounds).select("node", F.col("met").alias("labels")))
 
 
 def dominators(edges: DataFrame, entry: str) -> DataFrame:

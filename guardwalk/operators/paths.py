@@ -66,12 +66,16 @@ def ways_to_end(statements: DataFrame) -> DataFrame:
     )
     r = Rounds(statements.sparkSession)
     s = r.cut(s)
-    back = lambda t: t.select(F.col("below").alias("caller"), F.col("at").alias("callee")).union(t.select(F.col("at"), F.col("here")))
-    tags = s.select(F.col("at").alias("node"), F.explode(F.transform("guards", lambda g: F.concat(F.lit("g"), g))).alias("label")).union(s.select("here", F.concat(F.lit("p"), "here")).distinct())
-    met = r.cut(flow.must_pass(back(s), END, tags))
-    always = depths(back(s.filter(F.size("guards") == 0)), END).select(F.col("paragraph").alias("below"), F.lit(True).alias("always"))
+    tagged = F.transform("guards", lambda g: F.concat(F.lit("g"), g))
+    # of the statements of a paragraph that lead to one callee, or to the end, a way meets what all of them have
+    all_have = lambda lists: F.aggregate(F.slice(lists, 2, F.size(lists)), F.get(lists, F.lit(0)), F.array_intersect)
+    back = s.groupBy(F.col("below").alias("caller"), F.col("here").alias("callee")).agg(all_have(F.collect_set(tagged)).alias("via"))
+    met = flow.must_pass(back, END, s.select(F.col("here").alias("node"), F.concat(F.lit("p"), "here").alias("label")).distinct())
+    bare = s.filter(F.size("guards") == 0).select(F.col("below").alias("caller"), F.col("here").alias("callee")).distinct()
+    always = depths(bare, END).select(F.col("paragraph").alias("below"), F.lit(True).alias("always"))
     own_tag = F.concat(F.lit("p"), "here")
-    may = r.cut(s.join(met.withColumnRenamed("node", "at"), "at").filter(~F.array_contains("labels", own_tag)))  # may end, and not by recursion
+    below = s.filter(~F.col("own")).join(met.withColumnRenamed("node", "below"), "below").withColumn("labels", F.array_union(tagged, F.col("labels")))
+    may = r.cut(s.filter("own").withColumn("labels", tagged).unionByName(below).filter(~F.array_contains("labels", own_tag)))  # may end, and not by recursion
     lone = may.groupBy("here").agg(F.count("*").alias("n")).filter("n = 1").select("here")
     several = may.select("at", F.explode("labels").alias("l")).filter("l LIKE 'p%'").join(lone.select(F.concat(F.lit("p"), "here").alias("l")), "l", "left_anti").select("at").distinct().withColumn("several", F.lit(True))
     out = may.join(several, "at", "left").join(always, "below", "left")

@@ -122,3 +122,20 @@ def test_layers_that_nothing_leads_to_stay_out_of_the_condensation(spark, monkey
     want = {(n, "p") for n in ["a", "b", "c", *{x for pair in outer for x in pair}]} | {(n, "q") for n in ["y1", *[f"x{i}" for i in range(1, 40, 4)]]} | {("x0", "r"), ("lone", "s")}
     assert {tuple(r) for r in flow.reach(e, o).collect()} == want
     assert seen == [3]
+
+
+def test_must_pass_with_labels_of_edges(spark):
+    """Layers, a circle behind them, nodes that the entry doesn't reach; edges have labels too."""
+    edges = [("s", "a", ["x", "y"]), ("s", "b", ["y"]), ("a", "c", []), ("b", "c", []), ("c", "d", ["z"]), ("d", "e", []), ("e", "c2", []), ("c2", "d2", []), ("d2", "c2", ["w"]), ("d2", "f", []), ("u", "a", []), ("u", "v", []), ("f", "s", ["q"]), ("k", "l", []), ("l", "k", []), ("l", "c2", [])]
+    own = {"a": {"A"}, "b": {"A"}, "d2": {"D"}, "u": {"U"}}
+    met = {"s": set()}
+    while True:  # the greatest fixpoint over what is reached
+        new = {"s": set()}
+        for v in {v for u, v, _ in edges if u in met and v != "s"}:
+            new[v] = set.intersection(*[met[u] | set(via) for u, w, via in edges if w == v and u in met]) | own.get(v, set())
+        if new == met:
+            break
+        met = new
+    labels = spark.createDataFrame([(n, x) for n, some in own.items() for x in some], "node string, label string")
+    out = flow.must_pass(spark.createDataFrame(edges, "caller string, callee string, via array<string>"), "s", labels)
+    assert {r["node"]: set(r["labels"]) for r in out.collect()} == met
