@@ -20,8 +20,11 @@ def join_facts(rows: DataFrame, key: str, spread: list[Column], facts: DataFrame
     are broadcast; their rows then take a key of their own (from `spread`) in the
     shuffle that joins the rest, and don't meet in one task. `drop_when_hot` replaces
     columns of hot rows before that shuffle, in terms of the facts' columns. Facts that
-    aren't `small` aren't broadcast; Spark splits their rows where they are skewed.
+    aren't `small` aren't broadcast; Spark splits their rows where they are skewed, for
+    which both sides need a shuffle of their own. Otherwise hot rows' keys are of the key's
+    type, so that facts which come from a grouping by the key stay where they are.
     """
+    kinds = {dict(rows.dtypes)[key], dict(facts.dtypes)[key]}
     facts = facts.withColumnRenamed(key, "_k")
     names = [c for c in facts.columns if c != "_k"]
     large = is_hot(count, total) if small is None else is_hot(count, total) & small
@@ -30,7 +33,10 @@ def join_facts(rows: DataFrame, key: str, spread: list[Column], facts: DataFrame
     met = F.col("_k").isNotNull()
     kept = [F.coalesce((drop_when_hot or {}).get(c, F.col(c)), F.lit(None)).alias(c) if c in (drop_when_hot or {}) else F.col(c) for c in rows.columns]
     own = F.concat_ws(":", F.lit("hot"), *[c.cast("string") for c in spread])
-    b = a.select(*kept, *[f"_h_{c}" for c in names], met.alias("_met"), F.when(met, F.md5(own)).otherwise(F.col(key).cast("string")).alias("_j"))
-    cold = facts.filter(~large).select(F.col("_k").cast("string").alias("_c"), *[F.col(c).alias(f"_c_{c}") for c in names])
+    apart = {"binary": F.unhex(F.md5(own)), "bigint": F.xxhash64(own), "string": F.md5(own)}
+    kind = kinds.pop() if small is None and len(kinds) == 1 else ""
+    typed = (lambda c: F.col(c)) if kind in apart else (lambda c: F.col(c).cast("string"))
+    b = a.select(*kept, *[f"_h_{c}" for c in names], met.alias("_met"), F.when(met, apart.get(kind, apart["string"])).otherwise(typed(key)).alias("_j"))
+    cold = facts.filter(~large).select(typed("_k").alias("_c"), *[F.col(c).alias(f"_c_{c}") for c in names])
     c = b.join(cold.hint("shuffle_hash"), F.col("_j") == F.col("_c"), "left")
     return c.select(*rows.columns, *[F.when(F.col("_met"), F.col(f"_h_{x}")).otherwise(F.col(f"_c_{x}")).alias(x) for x in names])

@@ -308,7 +308,7 @@ def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] | None =
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"), "d")
         large = join_facts(both.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], m, "d", 2 * n)
-        l = large.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        l = large.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeated ones go below
         below = l.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumnRenamed("u", "k")
         small = join_facts(l.withColumn("k", F.col("u")), "k", [F.col("u"), F.col("v")], below, "d", n)
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
@@ -342,7 +342,7 @@ def grow(reps: DataFrame, total: int, cut: Callable[[DataFrame], DataFrame]) ->
         token = lambda j: F.substring(F.col("sketch"), 2 * F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SKETCH)).cast("int") + 1, F.lit(2))
         child = F.xxhash64("key", F.lit(level), token(0))
         # pairs of the probe that choose the same token estimate the members' mean similarity
-        probe = big.filter(F.pmod(F.xxhash64("set_key", "key", F.lit(level)), F.col("cnt")) < PROBE)
+        probe = big.filter(F.pmod(F.xxhash64("set_key", "key", F.lit(level)), F.col("cnt")) < PROBE).repartition("key")  # for all groupings below
         picks = probe.select("key", "cnt", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), token(j + 1).alias("v")) for j in range(4)])).alias("p"))
         same = picks.groupBy("key", "cnt", "p").agg(F.count("*").alias("n")).groupBy("key", "cnt", "p.j").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.sum("n").alias("m"))
         mean = F.sum("same") / F.greatest(F.sum(F.col("m") * (F.col("m") - 1)), F.lit(1))
@@ -426,10 +426,12 @@ def large_links(large: DataFrame, small: DataFrame, alike: DataFrame, percent: i
     dealt = join_facts(near, "cc", [F.col("set_key")], counts, "n_all", open_.count()).filter("n_rest > 0")
     rows, cols = F.ceil(F.col("n_rest") / SMALL), F.ceil(F.col("n_all") / SMALL)  # every set is sent once for each block across, so blocks are large
     at = lambda n: F.pmod(F.xxhash64("set_key", F.lit(2)), n)
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    some = dealt.filter("rest").select("cc", "set_key", "label", "tokens", at(rows).alias("i"), upto(cols).alias("j"))
-    every = dealt.select("cc", "set_key", "label", "tokens", upto(rows).alias("i"), at(cols).alias("j"))
-    blocks = some.union(every).select(F.xxhash64("cc", "i", "j").alias("key"), "set_key", "label", "tokens")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    block = lambda i, j: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+    across = F.when(F.col("rest"), F.transform(upto(cols), lambda j: block(at(rows), j)))
+    down = F.transform(upto(rows), lambda i: block(i, at(cols)))
+    each = dealt.select("cc", "set_key", "label", "tokens", F.explode(F.array_distinct(F.concat(F.coalesce(across, F.array().cast("array<struct<i:bigint,j:bigint>>")), down))).alias("b"))  # one pass: sets are shuffled to their facts once
+    blocks = each.select(F.xxhash64("cc", "b.i", "b.j").alias("key"), "set_key", "label", "tokens")
     return links.union(in_groups(left.union(blocks), "a binary, b binary", lambda rows: joined(rows, percent)))
 
 
