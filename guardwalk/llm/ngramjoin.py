@@ -14,8 +14,8 @@ Of shingles that the very same classes share only the rarest stays, so a pair me
 of them: where both first meet is always kept. Within a shingle's group two classes are candidates if
 the positional filter lets them be, which holds the length filter too: what is left of
 either set from the shingle on must be able to reach the overlap that t asks for. Groups
-beyond SMALL members are dealt by length bands first; a band that is still large makes all
-its members candidates. Candidates' full sets then come together once, and are verified there, behind
+beyond SMALL members are dealt by length bands first; a band that is still large goes in chunks
+with shared pivots, and what these leave apart is compared with all of the band. Candidates' full sets then come together once, and are verified there, behind
 a suffix filter (fixed pivots cut sets into ranges; the ranges' differences in size bound
 the symmetric difference from below), each pair once at most; pairs that links have joined already
 aren't verified. Pairs are held in the tasks' memory only. No pair of linked texts is lost: prefix,
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -206,7 +206,7 @@ class Ranged:
 
 
 def may_link(rows: list[tuple], percent: int) -> list[tuple]:
-    """Candidate links (a, b) among (key, set_key, n, at, ranges) that the length, positional and suffix filters leave, as far as they join candidates."""
+    """Candidate links (a, b) among (key, set_key, n, at, ranges, and a label where some are joined already) that the length, positional and suffix filters leave, as far as they join candidates."""
     n, left = np.array([r[2] for r in rows], np.int64), np.array([r[2] - r[3] for r in rows], np.int64)
     if len(rows) == 2 and (100 + percent) * left.min() < percent * n.sum():
         return []
@@ -216,7 +216,7 @@ def may_link(rows: list[tuple], percent: int) -> list[tuple]:
         some = others[(100 + percent) * np.minimum(left[others], left[i]) >= percent * (n[others] + n[i])]
         return ranged.near(i, some, n[some] + n[i]) if len(some) else some
 
-    return [(rows[i][1], rows[j][1]) for i, j in spread(range(len(rows)), near)]
+    return [(rows[i][1], rows[j][1]) for i, j in spread([r[5] for r in rows] if len(rows[0]) > 5 else range(len(rows)), near)]
 
 
 class Suffixed(Sets):
@@ -250,11 +250,51 @@ def joined_classes(docs: DataFrame, id_col: str, text_col: str, width: int, perc
     dealt = near.filter(F.col("members") > SMALL).withColumn("band", F.explode(F.array(bands, bands - 1))).withColumn("key", F.xxhash64("token", "band")).drop("token", "band", "members")
     sized = cut(neardup.join_facts(dealt, "key", [F.col("set_key")], dealt.groupBy("key").agg(F.count("*").alias("members")), "members", dealt.count()))
     few = near.filter(F.col("members") <= SMALL).select(F.col("token").alias("key"), "set_key", "n", "at").union(sized.filter(F.col("members") <= SMALL).select("key", "set_key", "n", "at"))
-    small = few.union(blocks(sized.filter(F.col("members") > SMALL)))
-    told = small.join(reps.select("set_key", "ranges").hint("shuffle_hash"), "set_key").select("key", "set_key", "n", "at", "ranges")
-    edges = in_groups(told, "a binary, b binary", lambda rows: may_link(rows, percent))
-    small = small.select("key", "set_key")
-    return confirmed(docs, id_col, text_col, width, percent, sets, reps, edges, small, small.filter(F.lit(False)), t, verified)
+    large = sized.filter(F.col("members") > SMALL)
+    edges = candidate_links(few, large, reps, percent, cut)
+    pairs = lambda df: df.select("key", "set_key")
+    return confirmed(docs, id_col, text_col, width, percent, sets, reps, edges, pairs(few), pairs(large), t, verified)
+
+
+def candidate_links(few: DataFrame, large: DataFrame, reps: DataFrame, percent: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): what candidate links join, within groups `few` (key, set_key, n, at) and `large` (the same and members), whose rows go in chunks first.
+
+    A chunk also holds its group's pivots, so near copies of one text are joined across chunks. Of a large group only the rows outside its largest component
+    are held against all rows then. Rows grow with the groups, but for those that stay apart though they share a shingle and a size.
+    """
+    known = reps.select("set_key", "ranges")
+    parts = F.ceil(2 * F.col("members") / SMALL)
+    chunk = F.pmod(F.xxhash64("set_key", "key"), parts)
+    pivot = F.pmod(F.xxhash64("set_key", "key", F.lit(1)), F.col("members")) < SMALL // 16
+    across = F.when(pivot, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(chunk))
+    chunks = large.withColumn("c", F.explode(across)).select(F.xxhash64("key", "c").alias("key"), "set_key", "n", "at")
+
+    def linked(rows: DataFrame, *label: str) -> DataFrame:
+        told = rows.join(known.hint("shuffle_hash"), "set_key").select("key", "set_key", "n", "at", "ranges", *label)
+        return in_groups(told, "a binary, b binary", lambda rows: may_link(rows, percent))
+
+    first = cut(linked(few.union(chunks)))
+    if large.isEmpty():
+        return first
+    stars = cut(neardup.rooted(neardup.components(first, cut)).withColumnRenamed("component", "label"))
+    now = cut(large.drop("members").join(stars.hint("shuffle_hash"), F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_key")).drop("node"))
+    per = now.groupBy("key", "label").agg(F.count("*").alias("n_label"))
+    main = per.groupBy("key").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"), F.max("n_label").alias("n_main"), F.sum("n_label").alias("n_key"))
+    main = main.withColumn("n_rest", F.col("n_key") - F.col("n_main")).filter("n_rest > 0")
+    apart = cut(neardup.join_facts(now, "key", [F.col("set_key")], main, "n_key", now.count()).filter("n_rest > 0").withColumn("rest", F.col("label") != F.col("main")))
+    told = stars.select(F.col("node").alias("a"), F.col("label").alias("b"))  # what the chunks have joined, in place of their links
+    if apart.isEmpty():
+        return told
+    rows, cols = F.ceil(F.col("n_rest") / SMALL), F.ceil(F.col("n_main") / SMALL)
+    at = lambda n: F.pmod(F.xxhash64("set_key", F.lit(2)), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda i, j: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+    cells = F.when(F.col("rest"), F.transform(upto(cols), lambda j: cell(at(rows), j))).otherwise(F.transform(upto(rows), lambda i: cell(i, at(cols))))
+    grid = apart.withColumn("c", F.explode(cells)).select(F.xxhash64("key", F.lit("grid"), "c.i", "c.j").alias("key"), "set_key", "n", "at")
+    many = apart.filter(F.col("rest") & (F.col("n_rest") > SMALL)).select("key", "set_key", "n", "at", F.col("n_rest").alias("members"))
+    labels = apart.select("set_key", "label").distinct()
+    again = grid.union(blocks(many)).join(labels.hint("shuffle_hash"), "set_key")
+    return told.union(linked(again, "label"))
 
 
 def blocks(large: DataFrame) -> DataFrame:

@@ -235,6 +235,29 @@ def test_join_equals_all_pairs(spark, monkeypatch, small, chunk, seed):
     assert joined(ngramjoin.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == plain_join(rows)
 
 
+def test_large_groups_of_near_copies_grow_with_their_members(spark, monkeypatch):
+    """A hundredth of a shingle's classes resemble each other and not the rest, which do too: rows grow with the classes, and each side becomes one."""
+    sent, in_groups = [], ngramjoin.in_groups
+
+    def counted(rows, *more):
+        sent.append(rows.count())
+        return in_groups(rows, *more)
+
+    monkeypatch.setattr(ngramjoin, "in_groups", counted)
+    totals, t = [], neardup.Tables(spark)
+    for m in (1000, 4000):
+        sent.clear()
+        keys = [(k.to_bytes(2, "big"), bytes([4] * 16 + [0] * 16 if k % 100 else [0] * 16 + [4] * 16)) for k in range(m)]
+        reps = spark.createDataFrame(keys, "set_key binary, ranges binary")
+        large = reps.selectExpr("7L AS key", "set_key", "64 AS n", "0 AS at", f"{m}L AS members")
+        edges = ngramjoin.candidate_links(large.select("key", "set_key", "n", "at").limit(0), large, reps, 85, t.cut)
+        found = {int.from_bytes(bytes(x["node"]), "big"): int.from_bytes(bytes(x["component"]), "big") for x in neardup.rooted(neardup.components(edges, t.cut)).collect()}
+        assert found == {k: int(k % 100 > 0) for k in range(m)}
+        totals.append(sum(sent))
+    assert totals[1] < 6 * totals[0]
+    t.drop()
+
+
 def test_join_of_odd_rows(spark):
     rows = [(i, t) for i, t, _ in texts()]
     assert joined(ngramjoin.join_components(docs(spark))) == plain_join(rows)
