@@ -59,12 +59,14 @@ def replayed(calls: DataFrame, order: list[str], held: DataFrame, ends: DataFram
     """
     r = Rounds(calls.sparkSession)
     c = calls.select(F.struct(*[F.col(f"`{c}`") for c in calls.columns]).alias("called"), F.upper(F.col("op")).alias("op"), F.struct(*[F.col(f"`{c}`") for c in order]).alias("place"))
-    n = sequences.runs(c.withColumn("same", F.lit(0)), "op", ["place"], "same", r).select("called", "op", "call")
+    cold, hot, ops = sequences.parts(c.withColumn("same", F.lit(0)), "op", ["place"], "same", r)
+    n = cold.select("called", "op", "call").join(ends, "op", "left")
+    if hot is not None:  # of few operations: their endings go to every task
+        few = ends.join(F.broadcast(ops), F.col("op") == F.col("_key"), "left_semi")
+        n = n.union(hot.select("called", "op", "call").join(F.broadcast(few), "op", "left"))
     got = n.join(delivered(held), ["op", "call"], "left")
-    met, rest = got.filter("set IS NOT NULL"), got.filter("set IS NULL").drop("set")
-    over = rest.join(ends, "op", "left")
-    a = met.select("called", "call", F.lit("outcome").alias("source"), "set")
-    return r.last(a.union(over.select("called", "call", F.when(F.col("terminal").isNotNull(), "terminal").otherwise("none"), "terminal")))
+    source = F.when(F.col("set").isNotNull(), "outcome").when(F.col("terminal").isNotNull(), "terminal").otherwise("none")
+    return r.last(got.select("called", "call", source.alias("source"), F.coalesce("set", "terminal").alias("set")))
 
 
 def delivered(held: DataFrame) -> DataFrame:

@@ -31,6 +31,39 @@ def test_runs(spark, hot):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+class Counted(Rounds):
+    """Notes how many rows each cut writes."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.rows = []
+
+    def cut(self, df):
+        out = super().cut(df)
+        self.rows.append(out.count())
+        return out
+
+
+def test_only_hot_keys_go_by_ranges(spark, monkeypatch):
+    """Rows of other keys aren't written between; where hot keys (null among them) lie in ranges, numbers and runs are those of one sort."""
+    g = random.Random(7)
+    rows = [(g.choice([None, None, 1, 1, 1, 2, 3]), g.randrange(20), g.choice([None, True, False]), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, at long, v boolean, i long")
+    plain = Counted(spark)
+    want = sorted(map(tuple, sequences.runs(df, "k", ["at"], "v", plain).collect()), key=repr)
+    assert sum(plain.rows) == 0 and len(want) == 600
+    monkeypatch.setattr(sequences, "HOT", 120)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = Counted(spark)
+        got = sorted(map(tuple, sequences.runs(df, "k", ["at"], "v", hot).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+    n = sum(k in (None, 1) for k, *_ in rows)
+    assert hot.rows == [2, n, n]
+
+
 PLANNED, PROFILE = "op string, at long, set map<string,string>", "op string, fields array<string>, most int"
 OUTCOMES = [("r", 2, {"x": "2"}), ("R", 1, {"x": "1", "y": "9"}), ("R", 3, {"y": "3"}), ("R", 4, None), ("R", 5, {"X": "5"}), ("R", 6, {"X": "6"}), ("R", 7, {"Y": "7"}), ("W", 1, {"A": "1"}), ("N", 1, {"A": "1"}), (None, 1, {"A": "1"})]
 OFFERED = [("R", ["x"], 6), ("W", ["A"], None), ("E", ["A"], 0)]
@@ -80,3 +113,15 @@ def test_empty_tables(spark):
     ends = replay.endings(spark.createDataFrame([], "op string, set map<string,string>"), none)
     assert held.count() == 0 and ends.count() == 0
     assert [x["source"] for x in replay.replayed(spark.createDataFrame([("A", 1)], "op string, call_id long"), ["call_id"], held, ends).collect()] == ["none"]
+
+
+def test_hot_operations_get_the_same(spark, monkeypatch):
+    """Calls and outcomes of an operation that lies in ranges, with and without an ending."""
+    held, ends = tables(spark)
+    calls = spark.createDataFrame([(op, i) for i, op in enumerate([*"RRrRRRRRRR", "W", None, *"QQQQQQ", "E", None])], "op string, call_id long")
+    rows = lambda held: sorted((repr(x.asDict(True)) for x in replay.replayed(calls, ["call_id"], held, ends).collect()))
+    want = rows(held)
+    monkeypatch.setattr(sequences, "HOT", 4)
+    again, _ = tables(spark)
+    assert sorted(repr(x.asDict(True)) for x in again.collect()) == sorted(repr(x.asDict(True)) for x in held.collect())
+    assert rows(again) == want and sum("terminal" in x for x in want) == 5
