@@ -14,8 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardwalk.operators import settled
 from guardwalk.session import Rounds
 
+#: Rows of a plan that a task takes at once; plans of more go by rounds.
+SMALL = 1000
 _READ = "plan IS NOT NULL AND left IS NOT NULL AND (op IN ('=', '<', '<=', '>', '>=') AND (right IS NOT NULL OR value IS NOT NULL) OR op = '<>' AND right IS NULL AND value IS NOT NULL)"
 _STEP = "array<struct<field: string, id: string, by: bigint>>"
 
@@ -111,10 +114,29 @@ def solve(constraints: DataFrame, least: int, most: int) -> DataFrame:
     All fields lie in least to most. The values `lo` together meet all constraints that are taken, and so do the
     values `hi`. A conflict is the smallest, then least, of those found, one per field and circle. Without any one of its ids the
     others could hold, if it has no excluded values and the domain's own ends are left aside; where it is with
-    an end of the domain, that has no id. Every round is a join by plan and field.
+    an end of the domain, that has no id. Plans of up to SMALL rows are settled many at a time in one pass; larger ones, and those
+    that it leaves, go by rounds, each of which is a join by plan and field.
     """
     r = Rounds(constraints.sparkSession)
-    c = r.cut(constraints.filter(_READ).select("plan", F.col("id").cast("string").alias("id"), F.col("left").cast("string").alias("left"), "op", F.col("right").cast("string").alias("right"), F.col("value").cast("long").alias("value")).distinct())
+    c = r.cut(constraints.filter(_READ).select("plan", F.col("id").cast("string").alias("id"), F.col("left").cast("string").alias("left"), "op", F.col("right").cast("string").alias("right"), F.col("value").cast("long").alias("value")))
+    if not settled.known(c.schema["plan"].dataType):
+        out = r.kept(_by_rounds(c.distinct(), least, most, r))
+        r.close()
+        return out
+    large = r.cut(c.groupBy("plan").count().filter(F.col("count") > SMALL).select("plan"))
+    few = c if large.isEmpty() else c.join(large, "plan", "left_anti")
+    done = r.kept(settled.settle(few, least, most))
+    left = large.union(done.filter("left").select("plan"))
+    out = done.filter("NOT left").drop("left")
+    if not left.isEmpty():
+        out = out.union(r.kept(_by_rounds(c.join(left, "plan", "left_semi").distinct(), least, most, r)))
+    r.close()
+    return out
+
+
+def _by_rounds(constraints: DataFrame, least: int, most: int, r: Rounds) -> DataFrame:
+    """`solve` of plans of any size."""
+    c = r.cut(constraints)
     edges = r.cut(_edges(c))
     fields = r.cut(c.select("plan", F.col("left").alias("field")).union(c.filter("right IS NOT NULL").select("plan", "right")).distinct())
     gone = c.filter("op = '<>'").groupBy("plan", F.col("left").alias("field"), "value").agg(F.min("id").alias("id"))
@@ -135,4 +157,4 @@ def solve(constraints: DataFrame, least: int, most: int) -> DataFrame:
     high, _, _ = _least(fine(fields), fine(turned), fine(edges).select("plan", F.col("v").alias("u"), F.col("u").alias("v"), "by", "id"), out(-1), -most, r)
     both = fine(low).select("plan", "field", F.col("bound").alias("lo")).join(high.select("plan", "field", (-F.col("bound")).alias("hi")), ["plan", "field"])
     none = F.lit(None)
-    return r.last(both.withColumn("conflict", none.cast("array<string>")).unionByName(conflict.select("plan", none.cast("string").alias("field"), none.cast("long").alias("lo"), none.cast("long").alias("hi"), "conflict")))
+    return both.withColumn("conflict", none.cast("array<string>")).unionByName(conflict.select("plan", none.cast("string").alias("field"), none.cast("long").alias("lo"), none.cast("long").alias("hi"), "conflict"))

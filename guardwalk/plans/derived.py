@@ -72,10 +72,12 @@ def quantities(read) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")  # an order's own lines
     x = read("lineitem").withColumn("k", F.row_number().over(w))
     name = lambda p, k: F.concat(F.lit(p), F.lpad(k.cast("string"), 3, "0"))
+    k, q, nothing = F.col("k"), F.col("l_quantity").cast("long"), F.lit(None)
     own = F.when(F.col("l_returnflag") == "R", ">").when(F.col("l_returnflag") == "A", "<=").otherwise("<>")
-    a = x.select(F.col("l_orderkey").alias("plan"), name("own", F.col("k")).alias("id"), name("Q", F.col("k")).alias("left"), own.alias("op"), F.lit(None).cast("string").alias("right"), F.col("l_quantity").cast("long").alias("value"))
-    b = x.filter("k > 1").select("l_orderkey", name("up", F.col("k")), name("Q", F.col("k") - 1), F.when(F.col("l_linestatus") == "O", "<").otherwise("<="), name("Q", F.col("k")), F.lit(None).cast("long"))
-    return a.union(b)
+    row = lambda *of: F.struct(*[c.alias(n) for c, n in zip(of, ("id", "left", "op", "right", "value"), strict=True)])
+    a = row(name("own", k), name("Q", k), own, nothing.cast("string"), q)
+    b = row(name("up", k), name("Q", k - 1), F.when(F.col("l_linestatus") == "O", "<").otherwise("<="), name("Q", k), nothing.cast("long"))
+    return x.select(F.col("l_orderkey").alias("plan"), F.inline(F.when(k > 1, F.array(a, b)).otherwise(F.array(a))))
 
 
 _NAME = "'{}' || lpad({}::VARCHAR, 3, '0')".format

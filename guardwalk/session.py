@@ -55,6 +55,13 @@ class Rounds:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """A part of the answer, as Parquet that stays when the rounds' files go."""
+        self.n += 1
+        path = f"{self.folder}-kept/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def last(self, df: DataFrame) -> DataFrame:
         """The answer, checkpointed; the rounds' files go."""
         out = df.checkpoint()
