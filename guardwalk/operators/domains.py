@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardwalk.operators import settled
+from guardwalk.operators import settled, together
 from guardwalk.session import Rounds
 
 #: Rows of a plan that a task takes at once; plans of more go by rounds.
@@ -119,7 +119,7 @@ def solve(constraints: DataFrame, least: int, most: int) -> DataFrame:
     """
     r = Rounds(constraints.sparkSession)
     c = r.cut(constraints.filter(_READ).select("plan", F.col("id").cast("string").alias("id"), F.col("left").cast("string").alias("left"), "op", F.col("right").cast("string").alias("right"), F.col("value").cast("long").alias("value")))
-    if not settled.known(c.schema["plan"].dataType):
+    if not together.known(c.schema["plan"].dataType):
         out = r.kept(_by_rounds(c.distinct(), least, most, r))
         r.close()
         return out

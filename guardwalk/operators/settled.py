@@ -16,53 +16,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from guardwalk.operators.together import begins, groups, one
+
 #: Rows that are worked on together, whole plans of them.
 ROWS = 200_000
 #: Numbers beyond are left to the rounds.
 LARGE = 1 << 61
-KINDS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
-
-
-def known(plan: T.DataType) -> bool:
-    """Whether Arrow tells plans of this type apart as Spark does."""
-    return isinstance(plan, KINDS) or plan == T.StringType()
 
 
 def settle(constraints: DataFrame, least: int, most: int) -> DataFrame:
-    """(plan, field, lo, hi, conflict, left): a row per field, one with a conflict, or one that leaves the plan to the rounds. Rows must be `known`, taken ones."""
+    """(plan, field, lo, hi, conflict, left): a row per field, one with a conflict, or one that leaves the plan to the rounds. Plans are `together.known`, rows taken ones."""
     plan = constraints.schema["plan"].dataType
     schema = T.StructType([T.StructField("plan", plan), *T.StructType.fromDDL("field string, lo long, hi long, conflict array<string>, left boolean").fields])
     made = [("field", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("conflict", pa.list_(pa.string())), ("left", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            out = pa.schema([("plan", b.schema.field("plan").type), *made])
-            held.append(b)
-            rows += b.num_rows
-            if rows >= ROWS:
-                t = pa.Table.from_batches(held).combine_chunks()
-                cut = int(_begins(t.column("plan"))[-1])  # the last plan may go on
-                yield from _solved(t.slice(0, cut), least, most, out)
-                held = pa.Table.from_arrays([pa.concat_arrays(c.chunks) for c in t.slice(cut).columns], t.schema.names).to_batches()
-                rows -= cut
-        if rows:
-            yield from _solved(pa.Table.from_batches(held).combine_chunks(), least, most, out)
+        for t in groups(batches, "plan", ROWS):
+            yield from _solved(t, least, most, pa.schema([("plan", t.schema.field("plan").type), *made]))
 
     return constraints.select("plan", "id", "left", "op", "right", "value").repartition("plan").sortWithinPartitions("plan").mapInArrow(run, schema)
 
 
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
-
-
-def _begins(plan: pa.ChunkedArray) -> np.ndarray:
-    """Where plans begin."""
-    p = _one(plan)
-    return np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(p[1:], p[:-1]).to_numpy(zero_copy_only=False))]).astype(np.int64)
-
-
 def _coded(a: pa.Array) -> tuple[np.ndarray, pa.Array]:
     d = a.dictionary_encode()
     return d.indices.fill_null(-1).to_numpy().astype(np.int64), d.dictionary
@@ -139,18 +113,16 @@ def _risen(start: np.ndarray, u: np.ndarray, v: np.ndarray, by: np.ndarray, gone
 
 
 def _solved(t: pa.Table, least: int, most: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if not t.num_rows:
-        return
-    begins = _begins(t.column("plan"))
-    plans = _one(t.column("plan")).take(pa.array(begins))
-    n_plans, n = len(begins), t.num_rows
-    p = np.repeat(np.arange(n_plans), np.diff(np.append(begins, n)))
-    op = pc.index_in(_one(t.column("op")), pa.array(["=", "<", "<=", ">", ">=", "<>"])).to_numpy()
+    at = begins(t.column("plan"))
+    plans = one(t.column("plan")).take(pa.array(at))
+    n_plans, n = len(at), t.num_rows
+    p = np.repeat(np.arange(n_plans), np.diff(np.append(at, n)))
+    op = pc.index_in(one(t.column("op")), pa.array(["=", "<", "<=", ">", ">=", "<>"])).to_numpy()
     eq, lt, le, gt, ge, ne = (op == i for i in range(6))
-    value = _one(t.column("value")).fill_null(0).to_numpy()
-    code, names = _coded(pa.concat_arrays([_one(t.column("left")), _one(t.column("right"))]))
+    value = one(t.column("value")).fill_null(0).to_numpy()
+    code, names = _coded(pa.concat_arrays([one(t.column("left")), one(t.column("right"))]))
     two = code[n:] >= 0
-    id_, ids = _coded(_one(t.column("id")))
+    id_, ids = _coded(one(t.column("id")))
     left = np.zeros(n_plans, bool)
     left[p[(id_ < 0) | ~two & (abs(value) > LARGE)]] = True
     if max(abs(least), abs(most)) > LARGE:
@@ -164,7 +136,7 @@ def _solved(t: pa.Table, least: int, most: int, out: pa.Schema) -> Iterator[pa.R
     plan, name, n_fields = keys // len(names), keys % len(names), len(keys)
     a, b = at[:n], np.zeros(n, np.int64)
     b[two] = at[n:]
-    one = ~two
+    alone = ~two
     up, down = two & (lt | le | eq), two & (gt | ge | eq)
     gains = (lt | gt).astype(np.int64)
     u, v = np.concatenate([a[up], b[down]]), np.concatenate([b[up], a[down]])
@@ -173,9 +145,9 @@ def _solved(t: pa.Table, least: int, most: int, out: pa.Schema) -> Iterator[pa.R
     order = order[_firsts(v[order], u[order], by[order], edge[order])]
     order = order[~left[plan[v[order]]]]
     u, v, by, edge = u[order], v[order], by[order], edge[order]
-    turns = (np.bincount(plan, minlength=n_plans) + np.bincount(p[ne & one], minlength=n_plans) + 1)[plan]
+    turns = (np.bincount(plan, minlength=n_plans) + np.bincount(p[ne & alone], minlength=n_plans) + 1)[plan]
 
-    lows, caps, gone = one & (eq | gt | ge), one & (eq | lt | le), one & ne
+    lows, caps, gone = alone & (eq | gt | ge), alone & (eq | lt | le), alone & ne
     cap_at, cap, cap_id = a[caps], value[caps] - lt[caps], id_[caps]
     out_low = _Gone(a[gone], value[gone], id_[gone])
     start, own = _own(n_fields, a[lows], value[lows] + gt[lows], id_[lows], least)
@@ -270,7 +242,5 @@ def _clashes(hurt, left, plan, low, start, own, edges, gone: _Gone, caps, lowest
         q = int(plan[f])
         for i in last:
             every = tuple(sorted(ids.union(i)))
-            one = (len(every), every)
-            if q not in best_of or one < best_of[q]:
-                best_of[q] = one
+            best_of[q] = min(best_of.get(q, (len(every), every)), (len(every), every))
     return {q: c for q, (_, c) in best_of.items()}

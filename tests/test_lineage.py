@@ -67,3 +67,39 @@ def test_a_small_side_of_overlaps_is_told_to_all(spark):
     got = lineage.overlaps(a, b, lineage.Rounds(spark))
     assert got.selectExpr("sum(hi - lo)").first()[0] == 3000
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString() and "SortMergeJoin" not in got._jdf.queryExecution().toString()
+
+
+def test_records_of_few_writes_take_one_pass(spark, monkeypatch):
+    """Forty records over batches' ends, a struct that is never null as their order: one file for them, and blocks only for the records of very many writes."""
+    writes = some(5, 900, [f"R{i}" for i in range(40)], ["X", "Y", None], 90) + some(6, 120, ["hot"], ["X", "Y"], 40)
+    df = spark.createDataFrame(writes, WRITES).withColumn("seq", lineage.F.struct("seq", lineage.F.lit("t").alias("t")))
+    files, cut = [], lineage.Rounds.cut
+    monkeypatch.setattr(lineage.Rounds, "cut", lambda self, x: files.append(1) or cut(self, x))
+    monkeypatch.setattr(lineage, "ROWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        one = lineage.overlay(df).collect()
+        assert len(files) == 1
+        assert spread(one) == plain(writes)
+        monkeypatch.setattr(lineage, "SMALL", 60)
+        both = lineage.overlay(df).collect()
+        assert len(files) > 4
+        monkeypatch.setattr(lineage, "SMALL", 0)
+        blocks = lineage.overlay(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(one, key=str) == sorted(both, key=str) == sorted(blocks, key=str)
+
+
+def test_sources_without_a_place(spark):
+    """A null offset is an offset of its own, older than others of its seq and source."""
+    rows = [("A", 1, 0, 9, "s", None), ("A", 1, 2, 4, "s", 7), ("A", 1, 9, 12, "s", None)]
+    got = lineage.overlay(spark.createDataFrame(rows, WRITES)).orderBy("lo").collect()
+    assert [(x["lo"], x["hi"], x["source_lo"]) for x in got] == [(0, 2, None), (2, 4, 7), (4, 12, None)]
+
+
+def test_two_intervals_share_bytes_once(spark):
+    a = spark.createDataFrame([("r", 3, 61, 1), ("r", 61, 64, 2), ("q", 0, 9, 3)], "record string, lo long, hi long, a long")
+    b = spark.createDataFrame([("r", 1, 62, 1), ("r", 62, 200, 2), ("r", 5, 6, 3)], "record string, lo long, hi long, b long")
+    got = sorted((x["a"], x["b"], x["lo"], x["hi"]) for x in lineage.overlaps(a, b).collect())
+    assert got == [(1, 1, 3, 61), (1, 3, 5, 6), (2, 1, 61, 62), (2, 2, 62, 64)]
